@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lumenframe.functions.columns import col
+from lumenframe.plans.joins import match
 from lumenframe.plans.storage import materialize
 
 WINDOW_ROWS = 2_000_000
@@ -93,9 +94,7 @@ def with_position(
     if not keys:
         return placed.withColumnRenamed("_gpos", name)
     first = placed.groupBy(*[col(k) for k in keys]).agg(F.min("_gpos").alias("_first"))
-    same = [placed[k].eqNullSafe(first[k]) for k in keys]
-    joined = placed.join(first, same).select(*[placed[c] for c in df.columns], "_gpos", "_first")
-    return joined.withColumn(name, F.col("_gpos") - F.col("_first")).drop("_gpos", "_first")
+    return match(placed, first, keys).withColumn(name, F.col("_gpos") - F.col("_first")).drop("_gpos", "_first")
 
 
 def over_series(
@@ -196,8 +195,6 @@ def nearest_known(
     )
     w = Window.partitionBy("_chunk", *[col(k) for k in keys]).orderBy("_pos")
     inner = placed.select("*", *[c.alias(n) for n, c in local(w).items()])
-    same = [inner["_chunk"] == carry["_chunk"], *[inner[k].eqNullSafe(carry[k]) for k in keys]]
-    return inner.join(carry, same, "left").select(
-        *[inner[c] for c in df.columns],
-        *[F.coalesce(inner[n], carry[f"_c_{n}"]).alias(n) for n in found],
+    return match(inner, carry, ["_chunk", *keys], "left").select(
+        *[col(c) for c in df.columns], *[F.coalesce(col(n), col(f"_c_{n}")).alias(n) for n in found]
     )
