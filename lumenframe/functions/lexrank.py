@@ -1,0 +1,50 @@
+"""LexRank centrality of the sentences of one text (Erkan and Radev, 2004)."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+
+SIMILAR, SETTLED = 0.1, 0.1
+
+
+def lexrank(text: str, keep: int) -> str:
+    sentences = [s.strip() for s in re.findall(r"[^.!?\n]+[.!?]*", text) if re.search(r"\w", s)]
+    n = len(sentences)
+    if n <= keep:
+        return " ".join(sentences)
+    counts = [Counter(re.findall(r"\w+", s.lower())) for s in sentences]
+    spread = Counter(w for c in counts for w in c)
+    postings = defaultdict(lambda: ([], []))
+    weights = []
+    for i, c in enumerate(counts):
+        most = max(c.values())
+        w = {t: k / most * math.log(n / (1 + spread[t])) for t, k in c.items()}
+        size = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        weights.append({t: x / size for t, x in w.items() if x})
+        for t, x in weights[-1].items():
+            postings[t][0].append(i)
+            postings[t][1].append(x)
+    index = {t: (np.array(i), np.array(x)) for t, (i, x) in postings.items()}
+    neighbours = []
+    for w in weights:
+        row = np.zeros(n)
+        for t, x in w.items():
+            at, other = index[t]
+            row[at] += x * other
+        neighbours.append(np.flatnonzero(row > SIMILAR))
+    degree = np.array([max(1, len(a)) for a in neighbours])
+    rank = np.full(n, 1.0 / n)
+    for _ in range(100):
+        fresh = np.zeros(n)
+        for i, at in enumerate(neighbours):
+            fresh[at] += rank[i] / degree[i]
+        moved = float(np.linalg.norm(fresh - rank))
+        rank = fresh
+        if moved < SETTLED:
+            break
+    best = sorted(np.argsort(-rank, kind="stable")[:keep])
+    return " ".join(sentences[i] for i in best)
