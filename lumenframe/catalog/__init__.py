@@ -1,14 +1,6 @@
 """All registered queries; importing this package fills the registry."""
 
-import importlib
-
+from lumenframe.catalog import images, models, series, stats, tables, text  # noqa: F401
 from lumenframe.catalog.registry import ORACLES, QUERIES
 
-for _part in ("tables", "stats", "series", "text", "models", "images"):
-    try:
-        importlib.import_module(f"lumenframe.catalog.{_part}")
-    except ModuleNotFoundError as e:  # TEMPORARY
-        if f"lumenframe.catalog.{_part}" not in str(e):
-            raise
-
 __all__ = ["ORACLES", "QUERIES"]

@@ -61,12 +61,7 @@ def global_position(df: DataFrame, order, rows: int, name: str = "_pos", chunk_r
     chunk = chunk_rows or max(CHUNK_ROWS, rows // MAX_CHUNKS + 1)
     parts = max(1, -(-rows // chunk))
     sort = [_sort(o) for o in as_list_any(order)]
-    placed = materialize(
-        df.repartitionByRange(parts, *sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("_rid", F.monotonically_increasing_id())
-        .withColumn("_pid", F.shiftright("_rid", _ROW_BITS))
-    )
+    placed = _placed(df, sort, parts)
     # One row per partition, at most MAX_CHUNKS in all: small enough for one window and a broadcast.
     before = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -82,6 +77,39 @@ def global_position(df: DataFrame, order, rows: int, name: str = "_pos", chunk_r
     )
 
 
+def _placed(df: DataFrame, sort: list[Column], parts: int) -> DataFrame:
+    """Range-partitioned and sorted rows with partition and row ids, written down so that they stay fixed."""
+    return materialize(
+        df.repartitionByRange(parts, *sort)
+        .sortWithinPartitions(*sort)
+        .withColumn("_rid", F.monotonically_increasing_id())
+        .withColumn("_pid", F.shiftright("_rid", _ROW_BITS))
+    )
+
+
+def running_total(
+    df: DataFrame, order, sums: Mapping[str, str], window_rows: int | None = None, chunk_rows: int | None = None
+) -> DataFrame:
+    """Add running totals (``sums``: output name to summed column) over all rows in the given order."""
+    rows = df.count()
+    sort = [_sort(o) for o in as_list_any(order)]
+    if rows <= (WINDOW_ROWS if window_rows is None else window_rows):
+        w = Window.partitionBy(F.lit(0)).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(col(c)).over(w).alias(n) for n, c in sums.items()])
+    chunk = chunk_rows or max(CHUNK_ROWS, rows // MAX_CHUNKS + 1)
+    placed = _placed(df, sort, max(1, -(-rows // chunk)))
+    before = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("_pid")
+        .agg(*[F.sum(col(c)).alias(f"_t_{n}") for n, c in sums.items()])
+        .select("_pid", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums])
+    )
+    w = Window.partitionBy("_pid").orderBy("_rid").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(F.broadcast(starts), "_pid").select(
+        *[col(c) for c in df.columns], *[(F.col(f"_s_{n}") + F.sum(col(c)).over(w)).alias(n) for n, c in sums.items()]
+    )
+
+
 def with_position(
     df: DataFrame, order, key=None, name: str = "pos", window_rows: int | None = None, chunk_rows: int | None = None
 ) -> DataFrame:
