@@ -99,7 +99,7 @@ def _grow(rows: np.ndarray, rng: np.random.Generator, depth: int, limit: int, no
     nodes.append(None)
     spread = np.flatnonzero(rows.min(0) < rows.max(0)) if len(rows) > 1 else []
     if depth >= limit or len(spread) == 0:
-        nodes[at] = (-1, 0.0, depth + _expected_path(len(rows)), -1, -1)
+        nodes[at] = (0, 0.0, depth + _expected_path(len(rows)), at, at)  # a leaf leads to itself
         return at
     f = int(rng.choice(spread))
     cut = rng.uniform(rows[:, f].min(), rows[:, f].max())
@@ -132,28 +132,24 @@ def isolation_forest(df: DataFrame, cols=None, contamination: float = 0.05, key=
         return df.select("*", F.lit(None).cast("double").alias("score"), F.lit(False).alias("anomaly"))
     rng = np.random.default_rng(seed)
     size = min(TREE_ROWS, len(data))
+    depth = int(np.ceil(np.log2(max(size, 2))))
     forest = []
     for _ in range(TREES):
         nodes: list = []
-        _grow(data[rng.choice(len(data), size, replace=False)], rng, 0, int(np.ceil(np.log2(max(size, 2)))), nodes)
-        forest.append(np.array(nodes, dtype=float))
+        _grow(data[rng.choice(len(data), size, replace=False)], rng, 0, depth, nodes)
+        feature, cut, length, left, right = np.array(nodes, dtype=float).T
+        forest.append((feature.astype(int), cut, length, left.astype(int), right.astype(int)))
     scale = _expected_path(size) or 1.0
 
     @F.pandas_udf("double")
     def score(x: pd.DataFrame) -> pd.Series:
         values = x.to_numpy(dtype=float)
-        total = np.zeros(len(values))
-        for nodes in forest:
-            at = np.zeros(len(values), dtype=int)
-            while True:
-                feature = nodes[at, 0].astype(int)
-                inner = np.flatnonzero(feature >= 0)
-                if not len(inner):
-                    break
-                here = at[inner]
-                left = values[inner, feature[inner]] < nodes[here, 1]
-                at[inner] = np.where(left, nodes[here, 3], nodes[here, 4]).astype(int)
-            total += nodes[at, 2]
+        rows, total = np.arange(len(values)), np.zeros(len(values))
+        for feature, cut, length, left, right in forest:
+            at = np.zeros(len(values), dtype=np.int64)
+            for _ in range(depth):
+                at = np.where(values[rows, feature[at]] < cut[at], left[at], right[at])
+            total += length[at]
         return pd.Series(np.where(np.isnan(values).any(axis=1), np.nan, np.exp2(-total / len(forest) / scale)))
 
     complete = F.lit(True)

@@ -281,7 +281,7 @@ def topics(
     if method == "lda":
         terms = _terms(df, key, column, stopwords)
         vocabulary = _vectorizer().fit(terms)
-        counted = vocabulary.transform(terms)
+        counted = vocabulary.transform(terms).select(col(key), "counts").persist()  # read in every iteration
         lda = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="counts", topicDistributionCol="shares").fit(counted)
         listed = lda.describeTopics(words_per_topic)
         names = F.array(*[F.lit(w) for w in vocabulary.vocabulary]) if len(vocabulary.vocabulary) <= 1000 else None

@@ -183,17 +183,20 @@ def nearest_known(
     keys = as_list(key)
     largest, rows = largest_series(df, keys)
 
-    def local(w: WindowSpec) -> dict[str, Column]:
-        made = {}
-        for name, expr in found.items():
-            if directions[name] == "back":
-                made[name] = F.last(expr, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            else:
-                made[name] = F.first(expr, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        return made
+    def local(part: list[Column], by: list[str]) -> dict[str, Column]:
+        # A frame that runs to the end of its partition is rescanned for every row; the mirrored order
+        # with a frame from the start is a single pass.
+        sides = {
+            "back": Window.partitionBy(*part).orderBy(*[col(o).asc() for o in by]),
+            "on": Window.partitionBy(*part).orderBy(*[col(o).desc() for o in by]),
+        }
+        return {
+            name: F.last(expr, True).over(sides[directions[name]].rowsBetween(Window.unboundedPreceding, 0))
+            for name, expr in found.items()
+        }
 
     if largest <= (WINDOW_ROWS if window_rows is None else window_rows):
-        made = local(series_window(order, keys))
+        made = local([col(k) for k in keys] or [F.lit(0)], as_list(order))
         return df.select("*", *[c.alias(n) for n, c in made.items()])
     chunk = chunk_rows or max(CHUNK_ROWS, rows // MAX_CHUNKS + 1)
     placed = global_position(df, [*keys, *as_list_any(order)], rows, "_pos", chunk)
@@ -208,21 +211,16 @@ def nearest_known(
             for n in found
         ]
     )
-    across = Window.partitionBy(*([col(k) for k in keys] or [F.lit(0)])).orderBy("_chunk")
+    part = [col(k) for k in keys] or [F.lit(0)]
+    earlier = Window.partitionBy(*part).orderBy(col("_chunk").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*part).orderBy(col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = know.select(
         "_chunk",
         *keys,
-        *[
-            (
-                F.last(f"_k_{n}", True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-                if directions[n] == "back"
-                else F.first(f"_k_{n}", True).over(across.rowsBetween(1, Window.unboundedFollowing))
-            ).alias(f"_c_{n}")
-            for n in found
-        ],
+        *[F.last(f"_k_{n}", True).over(earlier if directions[n] == "back" else later).alias(f"_c_{n}") for n in found],
     )
-    w = Window.partitionBy("_chunk", *[col(k) for k in keys]).orderBy("_pos")
-    inner = placed.select("*", *[c.alias(n) for n, c in local(w).items()])
+    made = local([F.col("_chunk"), *[col(k) for k in keys]], ["_pos"])
+    inner = placed.select("*", *[c.alias(n) for n, c in made.items()])
     return match(inner, carry, ["_chunk", *keys], "left").select(
         *[col(c) for c in df.columns], *[F.coalesce(col(n), col(f"_c_{n}")).alias(n) for n in found]
     )
