@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.columns import col, numeric_columns
 from lumenframe.functions.distributions import normal_score
 from lumenframe.operators.clean import iqr_fences
+from lumenframe.plans.joins import lookup
 from lumenframe.plans.onepass import long_aggregate, one_row
 from lumenframe.plans.ordering import with_position
 from lumenframe.plans.quantiles import quantiles
@@ -103,13 +104,9 @@ def stratified_sample(df: DataFrame, column: str, n: int, key, seed: int = 42) -
     if total <= n:
         return df
     draw = F.xxhash64(F.lit(seed), *[col(k) for k in keys])
-    share = df.groupBy(col(column).alias("_stratum")).agg(F.floor(F.count(F.lit(1)) * F.lit(n / total)).alias("_take"))
+    share = df.groupBy(col(column)).agg(F.floor(F.count(F.lit(1)) * F.lit(n / total)).alias("_take"))
     ranked = with_position(df, [draw, *keys], column, "_rank")
-    return (
-        ranked.join(share, F.col(column).eqNullSafe(F.col("_stratum")))
-        .filter(F.col("_rank") < F.col("_take"))
-        .drop("_rank", "_stratum", "_take")
-    )
+    return lookup(ranked, share, [column]).filter(F.col("_rank") < F.col("_take")).drop("_rank", "_take")
 
 
 def quarter_slice(df: DataFrame, key, part: str) -> DataFrame:
@@ -173,9 +170,9 @@ def colour_scale(df: DataFrame, column: str) -> DataFrame:
         values = df.filter(col(column).isNotNull()).select(col(column).alias("_value")).distinct()
         codes = with_position(values, "_value", name="_code")
         top = codes.agg(F.max("_code")).first()[0] or 0
-        out = df.join(codes, col(column) == F.col("_value"), "left").withColumn(
+        out = lookup(df, codes.withColumnRenamed("_value", column), [column], "left").withColumn(
             "red", F.floor(F.col("_code") / F.lit(float(top or 1)) * 255).cast("int")
-        ).drop("_value", "_code")
+        ).drop("_code")
     return out.withColumn("green", F.lit(255) - F.col("red"))
 
 

@@ -13,6 +13,7 @@ from lumenframe.functions.columns import all_columns, col, numeric_columns, repl
 from lumenframe.functions.similarity import ratio_above, token_sort_key
 from lumenframe.functions.words import WORD_CHARS
 from lumenframe.operators.schema import convert_column
+from lumenframe.plans.joins import lookup
 from lumenframe.plans.onepass import one_row, value_counts
 from lumenframe.plans.ordering import with_position
 from lumenframe.plans.quantiles import quantiles
@@ -186,11 +187,11 @@ def _first_leader(leaders: list[tuple[str, str]], threshold: int):
 
 def merge_similar_categories(df: DataFrame, column: str, threshold: int = 85, batch: int = LEADER_BATCH) -> DataFrame:
     changes = category_leaders(df, column, threshold, batch).filter(F.col("value") != F.col("leader"))
-    # Only values that change are joined; Catalyst broadcasts them when they are measured to be few.
+    # Only values that change are looked up.
     names = changes.select(F.col("value").alias("_value"), F.col("leader").alias("_leader"))
-    joined = df.join(names, col(column).cast("string") == F.col("_value"), "left")
+    joined = lookup(df.withColumn("_value", col(column).cast("string")), names, ["_value"], "left")
     merged = F.coalesce(F.col("_leader"), col(column))
-    return joined.select(*[merged.alias(c) if c == column else df[c] for c in df.columns])
+    return joined.select(*[merged.alias(c) if c == column else col(c) for c in df.columns])
 
 
 # ---- dates ---------------------------------------------------------------------------------
@@ -267,8 +268,9 @@ def label_encode(df: DataFrame, cols=None) -> DataFrame:
     out = df
     for c in text_columns(df, cols):
         codes = label_codes(df, c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        joined = out.join(codes, F.coalesce(out[c].cast("string"), F.lit("nan")) == F.col("_value"))
-        out = joined.select(*[F.col("_code").alias(k) if k == c else out[k] for k in out.columns])
+        named = out.withColumn("_value", F.coalesce(col(c).cast("string"), F.lit("nan")))
+        joined = lookup(named, codes, ["_value"])
+        out = joined.select(*[F.col("_code").alias(k) if k == c else col(k) for k in out.columns])
     return out
 
 

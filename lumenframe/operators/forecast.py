@@ -18,11 +18,14 @@ from lumenframe.operators.timeseries import ORDER, at, attach, future_calendar,
 from lumenframe.plans.joins import match
 from lumenframe.plans.onepass import one_row
 from lumenframe.plans.ordering import as_list, largest_series
+from lumenframe.plans.storage import materialize
 
 MODEL_POINTS = 1_000_000  # longest series one task fits by recursion; see `_fit_by_series`
 
 
 def forecast(s: DataFrame, method: str, horizon: int, key=None, **params) -> DataFrame:
+    """The series is read several times (size, calendar, model), so a derived one is written down first."""
+    s = materialize(s)
     return {
         "naive": forecast_naive,
         "moving_average": forecast_moving_average,

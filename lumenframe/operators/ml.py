@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lumenframe.functions.columns import classify_columns, col, numeric_columns
 from lumenframe.operators.clean import modes
-from lumenframe.plans.joins import match
+from lumenframe.plans.joins import lookup, match
 from lumenframe.plans.onepass import one_row
 from lumenframe.plans.ordering import as_list, running_total, with_position
 from lumenframe.plans.quantiles import exact_quantiles
@@ -111,7 +111,7 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
-    return match(df, class_weights(df, target).select(target, F.col("weight").alias(out)), [target])
+    return lookup(df, class_weights(df, target).select(target, F.col("weight").alias(out)), [target])
 
 
 def impute_mean(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -166,7 +166,7 @@ def preprocess(df: DataFrame, target: str, problem: str, encoding: str = "target
 def count_encode(df: DataFrame, column: str) -> DataFrame:
     """The column replaced by how often its value occurs."""
     counts = df.groupBy(col(column)).agg(F.count(F.lit(1)).alias("_n"))
-    joined = match(df, counts, [column])
+    joined = lookup(df, counts, [column])
     return joined.select(*[F.col("_n").alias(c) if c == column else col(c) for c in df.columns])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import TEMPORAL, col, numeric_columns, replace_columns
 from lumenframe.functions.distributions import chi2_p_value, f_p_value, t_p_value
+from lumenframe.plans.storage import materialize
 
 
 def t_test(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -83,7 +84,8 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Empty cells enter through the margins, so the full table is never formed.
     """
-    cells = crosstab(df, a, b).select(col(a).alias("a"), col(b).alias("b"), "n")
+    # The counts are read for both margins and for the sum, so they are written down once.
+    cells = materialize(crosstab(df, a, b).select(col(a).alias("a"), col(b).alias("b"), "n"))
     rows = cells.groupBy("a").agg(F.sum("n").alias("row_n"))
     columns = cells.groupBy("b").agg(F.sum("n").alias("col_n"))
     side = lambda t, name: t.agg(F.count(F.lit(1)).alias("k"), F.sum(1 / F.col(name)).alias("inv"), F.sum(name).alias("n"))

@@ -20,7 +20,7 @@ from lumenframe.functions.words import (
     DATA_KEYWORDS, EMOJI, ENTITY_PATTERNS, POLARITY_EN, STOPWORDS_EN, WORD, WORD_CHARS,
 )
 from lumenframe.operators.charts import histogram
-from lumenframe.plans.joins import match
+from lumenframe.plans.joins import lookup, match
 from lumenframe.plans.ordering import with_position
 from lumenframe.plans.storage import materialize
 
@@ -248,18 +248,19 @@ def tfidf(
 ) -> DataFrame:
     """(key, term, tf, weight): tf x (ln((1+n)/(1+df)) + 1), each text scaled to length one.
 
-    The term counts are shuffled once by (key, term) and reused for the document frequencies. A term
-    found in a large share of the texts makes a skewed join key, which AQE splits.
+    The term counts are written down once and read for the document frequencies and the weights. The
+    vocabulary is broadcast if its size on disk allows; else a term found in a large share of the texts is a
+    skewed join key, which AQE splits.
     """
     n = df.count()
-    tf = (
+    tf = materialize(
         _terms(df, key, column, stopwords).select(col(key), F.explode("terms").alias("term"))
         .groupBy(col(key), "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     df_counts = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     kept = df_counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     idf = kept.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("_idf"))
-    weighed = tf.join(idf, "term").withColumn("_w", F.col("tf") * F.col("_idf"))
+    weighed = lookup(tf, idf, ["term"]).withColumn("_w", F.col("tf") * F.col("_idf"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(col(key))))  # one text's terms
     return weighed.select(col(key), "term", "tf", (F.col("_w") / length).alias("weight"))
 

@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 from lumenframe.functions.columns import col
 from lumenframe.functions.distributions import normal_cdf
 from lumenframe.operators.clean import as_timestamp
-from lumenframe.plans.joins import match
+from lumenframe.plans.joins import lookup, match
 from lumenframe.plans.onepass import one_row
 from lumenframe.plans.ordering import as_list, nearest_known, over_series, with_position
 from lumenframe.plans.quantiles import exact_quantiles
+from lumenframe.plans.storage import materialize
 
 ORDER = ["ts", "value"]  # equal times are put in order of value, so results do not depend on task order
 
@@ -44,7 +45,7 @@ def attach(df: DataFrame, stats: DataFrame, key=None) -> DataFrame:
         row = stats.first()
         types = {f.name: f.dataType for f in stats.schema.fields}
         return df.select("*", *[F.lit(row[n]).cast(types[n]).alias(n) for n in names])
-    return match(df, stats, keys)
+    return lookup(df, stats, keys)
 
 
 def series_overview(s: DataFrame, key=None) -> DataFrame:
@@ -348,7 +349,7 @@ def seasonal_decompose(s: DataFrame, model: str = "additive", period: int = 12,
     line through the nearest ``period`` trend points."""
     keys = as_list(key)
     known = s.filter(val().isNotNull()).select(*keys, "ts", "value")
-    placed = with_position(known, ORDER, keys, "_p", **sizes)
+    placed = materialize(with_position(known, ORDER, keys, "_p", **sizes))  # read by every step below
     half = period // 2
 
     def build(w):
@@ -358,7 +359,7 @@ def seasonal_decompose(s: DataFrame, model: str = "additive", period: int = 12,
             total = total - 0.5 * (F.lag(val(), half).over(w) + F.lead(val(), half).over(w))
         return {"_trend": F.when(F.count(val()).over(frame) == 2 * half + 1, total / period)}
 
-    smooth = over_series(placed, "_p", keys, build, half, half, **sizes)
+    smooth = materialize(over_series(placed, "_p", keys, build, half, half, **sizes))
     shape = smooth.groupBy(*keys).agg(
         F.min(F.when(F.col("_trend").isNotNull(), F.col("_p"))).alias("_front"),
         F.max(F.when(F.col("_trend").isNotNull(), F.col("_p"))).alias("_back"),

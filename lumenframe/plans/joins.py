@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import col
+from lumenframe.plans.storage import materialize
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -21,3 +22,13 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     other = right.select(*[col(k).alias(n) for k, n in named.items()], *[col(c) for c in right.columns if c not in named])
     on = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
     return left.join(other, on, how).drop(*named.values())
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``match`` with a derived table of one row per key (weights, codes, per-group statistics).
+
+    The derived table is computed once and written down. Its real size on disk is then known when the
+    join is planned: below ``spark.sql.autoBroadcastJoinThreshold`` the large side is not shuffled at all,
+    above it the join is a shuffle join whose skewed partitions AQE splits.
+    """
+    return match(left, materialize(right), keys, how)

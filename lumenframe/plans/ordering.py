@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lumenframe.functions.columns import col
-from lumenframe.plans.joins import match
+from lumenframe.plans.joins import lookup, match
 from lumenframe.plans.storage import materialize
 
 WINDOW_ROWS = 2_000_000
@@ -122,7 +122,7 @@ def with_position(
     if not keys:
         return placed.withColumnRenamed("_gpos", name)
     first = placed.groupBy(*[col(k) for k in keys]).agg(F.min("_gpos").alias("_first"))
-    return match(placed, first, keys).withColumn(name, F.col("_gpos") - F.col("_first")).drop("_gpos", "_first")
+    return lookup(placed, first, keys).withColumn(name, F.col("_gpos") - F.col("_first")).drop("_gpos", "_first")
 
 
 def over_series(
