@@ -1,0 +1 @@
+"""Column expressions, word lists and small numeric helpers."""

@@ -1,0 +1 @@
+"""Operators, one module per family; each is a function from DataFrame to DataFrame."""

@@ -12,6 +12,7 @@ from lumenframe.operators.clean import iqr_fences
 from lumenframe.plans.onepass import long_aggregate, one_row
 from lumenframe.plans.ordering import over_series
 from lumenframe.plans.quantiles import exact_quantiles
+from lumenframe.plans.spread import spread
 
 
 def _rules(df: DataFrame, method: str, cols, threshold, exact=True) -> dict[str, tuple[Column, float | None, float | None]]:
@@ -155,6 +156,6 @@ def isolation_forest(df: DataFrame, cols=None, contamination: float = 0.05, key=
     complete = F.lit(True)
     for c in cols:
         complete = complete & col(c).isNotNull()
-    scored = df.withColumn("score", F.when(complete, score(F.struct(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]))))
+    scored = spread(df).withColumn("score", F.when(complete, score(F.struct(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]))))
     cut = exact_quantiles(scored, ["score"], [1 - contamination])["score"][0]
     return scored.withColumn("anomaly", F.coalesce(F.col("score") > F.lit(cut), F.lit(False)))

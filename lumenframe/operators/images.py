@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.plans.joins import match
+from lumenframe.plans.spread import spread
 
 _NAMES = {1: ("grey",), 3: ("blue", "green", "red"), 4: ("blue", "green", "red", "alpha")}
 
 
 def _fields(images: DataFrame) -> DataFrame:
-    return images.select(*[F.col(f"image.{f}").alias(f) for f in ("origin", "height", "width", "nChannels", "data")])
+    return spread(images).select(*[F.col(f"image.{f}").alias(f) for f in ("origin", "height", "width", "nChannels", "data")])
 
 
 def _pixels(row) -> np.ndarray:

@@ -29,6 +29,8 @@ def profile_columns(df: DataFrame, cols=None, samples: int = 5, exact: bool = Tr
     facts = _labels(df, cols, lambda c: {"type": types[c]})
     if exact:
         counts = value_counts(df, cols)
+        # Nulls are ranked last rather than filtered, and both branches keep the same columns, so that the
+        # exchange of the distinct values is computed once and reused.
         known = F.col("value").isNotNull()
         totals = counts.groupBy("column").agg(
             F.count("value").alias("unique"),
@@ -36,9 +38,11 @@ def profile_columns(df: DataFrame, cols=None, samples: int = 5, exact: bool = Tr
             F.sum("n").alias("_rows"),
         )
         shown = (
-            _first_values(counts.filter(known), samples, F.col("value"))
+            _first_values(counts, samples, F.asc_nulls_last("value"), "n")
+            .filter(known)
             .groupBy("column")
-            .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("samples"))
+            .agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("_s"))
+            .select("column", F.array_join(F.transform("_s", lambda s: s["value"]), ", ").alias("samples"))
         )
         out = facts.join(totals, "column", "left").join(shown, "column", "left")
     else:
@@ -92,12 +96,12 @@ def describe_all(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
         )
     if texts:
         counts = value_counts(df, texts)
-        known = counts.filter(F.col("value").isNotNull())
         totals = counts.groupBy("column").agg(
             F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("count"),
             F.count("value").alias("unique"),
         )
-        top = _first_values(known, 1, F.desc("n"), F.col("value")).select(
+        ranked = _first_values(counts, 1, F.col("value").isNull(), F.desc("n"), F.col("value"))
+        top = ranked.filter(F.col("value").isNotNull()).select(
             "column", F.col("value").alias("top"), F.col("n").alias("freq")
         )
         parts.append(

@@ -22,6 +22,7 @@ from lumenframe.functions.words import (
 from lumenframe.operators.charts import histogram
 from lumenframe.plans.joins import lookup, match
 from lumenframe.plans.ordering import with_position
+from lumenframe.plans.spread import spread
 from lumenframe.plans.storage import materialize
 
 SPACE = r"\s\p{Z}"
@@ -73,7 +74,7 @@ def preprocess_text(
 def text_stats(df: DataFrame, column: str) -> DataFrame:
     """Corpus statistics in one row. A word is a run of non-space characters; a sentence ends with a run
     of '.', '!' or '?' or with the text, and holds at least one word."""
-    text = df.select(F.coalesce(col(column), F.lit("")).alias("t"))
+    text = spread(df.select(F.coalesce(col(column), F.lit("")).alias("t")))
     run = rf"[^{SPACE}]+"
     counted = (
         text.select(F.explode(F.regexp_extract_all("t", F.lit(run), 0)).alias("w"))
@@ -121,7 +122,7 @@ def word_frequency(df: DataFrame, column: str, k: int = 20, by: str | None = Non
     """The k most frequent words (per value of ``by``); ties in order of the word."""
     groups = [by] if by else []
     counts = (
-        df.select(*[col(g) for g in groups], F.explode(words(col(column))).alias("word"))
+        spread(df.select(*[col(g) for g in groups], col(column))).select(*[col(g) for g in groups], F.explode(words(col(column))).alias("word"))
         .groupBy(*groups, "word").agg(F.count(F.lit(1)).alias("n"))
     )
     if not by:
@@ -137,7 +138,7 @@ def top_ngrams(df: DataFrame, column: str, n: int = 2, k: int = 10, stopwords: S
     """The k most frequent n-grams of words (hyphens inside a word stay) after stop words are removed;
     an n-gram has at least one letter."""
     tokens = _without(words(col(column), NGRAM_TOKEN), STOPWORDS_EN if stopwords is None else stopwords)
-    lists = df.select(tokens.alias("w")).filter(F.size("w") >= n)
+    lists = spread(df.select(col(column))).select(tokens.alias("w")).filter(F.size("w") >= n)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
     counts = (
         lists.select(F.explode(grams).alias("ngram")).filter(F.col("ngram").rlike(r"\p{L}"))
@@ -166,7 +167,7 @@ def sentiment(df: DataFrame, column: str, lexicon: Mapping[str, float] | None =
     by_weight: dict[float, list[str]] = {}
     for word, weight in (lexicon or POLARITY_EN).items():
         by_weight.setdefault(float(weight), []).append(word)
-    hits = df.withColumn("_w", words(col(column)))
+    hits = spread(df).withColumn("_w", words(col(column)))
     counts = {w: F.size(_only("_w", ws)) for w, ws in by_weight.items()}
     total = sum((F.lit(w) * n for w, n in counts.items()), F.lit(0.0))
     size = sum((F.lit(abs(w)) * n for w, n in counts.items()), F.lit(0.0))
@@ -227,7 +228,7 @@ def entities(df: DataFrame, key: str, column: str, patterns: Mapping[str, str] |
         return F.transform(hits, lambda e: F.struct(F.lit(name).alias("type"), e.alias("entity")))
 
     found = [matches(name, p) for name, p in (patterns or ENTITY_PATTERNS).items()]
-    return df.select(col(key), F.inline(F.concat(*found)))
+    return spread(df.select(col(key), col(column))).select(col(key), F.inline(F.concat(*found)))
 
 
 def entity_counts(found: DataFrame) -> DataFrame:
@@ -240,7 +241,7 @@ TERM = rf"[{WORD_CHARS}]{{2,}}"
 
 
 def _terms(df: DataFrame, key: str, column: str, stopwords: Sequence[str] | None) -> DataFrame:
-    return df.select(col(key), _without(words(col(column), TERM), STOPWORDS_EN if stopwords is None else stopwords).alias("terms"))
+    return spread(df.select(col(key), col(column))).select(col(key), _without(words(col(column), TERM), STOPWORDS_EN if stopwords is None else stopwords).alias("terms"))
 
 
 def tfidf(
@@ -327,7 +328,7 @@ def summarize(df: DataFrame, key: str, column: str, sentences: int = 3) -> DataF
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: "" if t is None else lexrank(t, sentences))
 
-    return df.select(col(key), run(col(column)).alias("summary"))
+    return spread(df.select(col(key), col(column))).select(col(key), run(col(column)).alias("summary"))
 
 
 def cluster_text(

@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.columns import col
+from lumenframe.functions.columns import classify_columns, col
+from lumenframe.plans.spread import spread
 
 
 def one_row(df: DataFrame, stats: Mapping[str, Column]) -> dict:
@@ -46,8 +47,6 @@ def long_aggregate(
 
 def value_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Unpivot to (column, value, number); ``number`` orders numeric columns as numbers."""
-    from lumenframe.functions.columns import classify_columns
-
     numeric = set(classify_columns(df)["numeric"])
     cells = [
         F.struct(
@@ -57,7 +56,7 @@ def value_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         )
         for c in cols
     ]
-    return df.select(F.inline(F.array(*cells)))
+    return spread(df.select(*[col(c) for c in cols])).select(F.inline(F.array(*cells)))
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

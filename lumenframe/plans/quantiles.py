@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import col
 from lumenframe.plans.onepass import one_row
+from lumenframe.plans.spread import spread
 
 DIRECT_CELLS = 4_000_000
 BRACKET_ROWS = 100_000
@@ -31,6 +32,7 @@ def exact_quantiles(
     cols = list(dict.fromkeys(cols))
     if not cols:
         return {}
+    df = spread(df.select(*[col(c) for c in cols]))
     if df.count() * len(cols) <= limit:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         row = one_row(df, {c: F.percentile(col(c).cast("double"), wanted) for c in cols})

@@ -260,3 +260,30 @@ def test_knn_tiles_equal_broadcast(spark):
     a = ml.knn(*args, skip_self=True).toPandas().sort_values("id")
     b = ml.knn(*args, skip_self=True, block=0, tile=17).toPandas().sort_values("id")
     assert a["prediction"].tolist() == b["prediction"].tolist()
+
+
+def test_row_wise_operators_take_a_stream(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Hi @you #Tag!"), (2, "see http://x.y now")], "id int, t string")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = clean.text_case(sqltables.delete_where(tx.clean_social(stream, "t"), "id > 5"), "upper", ["cleaned_text"])
+    q = out.writeStream.format("memory").queryName("cleaned").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.cleaned_text for r in spark.table("cleaned").collect()) == ["HI TAG", "SEE NOW"]
+
+
+def test_profile_counts_nulls_and_shows_values(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "s string")
+    r = one(profile.profile_columns(df))
+    assert (r.unique, r.missing, r.missing_pct, r.samples) == (2, 1, 25.0, "a, b")
+    d_ = one(profile.describe_all(df))
+    assert (d_["count"], d_["unique"], d_["top"], d_["freq"]) == (3, 2, "b", 2)
+
+
+def test_multiclass_boosting_and_svm_fit(spark):
+    pdf = pd.DataFrame({"id": range(90), "x": [i % 3 + (i % 7) / 10 for i in range(90)], "c": [str(i % 3) for i in range(90)]})
+    df = spark.createDataFrame(pdf)
+    for name in ("gradient_boosting", "svm"):
+        m = ml.train(df, ["x"], "c", name, {"maxIter": 3})
+        assert set(r.predicted for r in ml.predict(m, df).select("predicted").distinct().collect()) <= {"0", "1", "2"}
