@@ -104,8 +104,8 @@ query("ts17_seasonal_decompose", f"""WITH {MO}, n AS (SELECT ts, value, row_numb
   f AS (SELECT regr_slope(tr, p) AS fs, regr_intercept(tr, p) AS fi FROM t0 WHERE p >= 6 AND p < 18), b AS (SELECT regr_slope(tr, p) AS bs, regr_intercept(tr, p) AS bi FROM t0 WHERE p >= n - 7 - 12 AND p < n - 7),
   t1 AS (SELECT ts, value, p, CASE WHEN p < 6 THEN fs * p + fi WHEN p > n - 7 THEN bs * p + bi ELSE tr END AS trend FROM t0, f, b),
   a AS (SELECT p % 12 AS slot, avg(value - trend) AS avg FROM t1 GROUP BY 1), z AS (SELECT slot, avg - (SELECT avg(avg) FROM a) AS seasonal FROM a)
-  SELECT ts, round(value, 3) AS value, round(trend, 3) AS trend, round(seasonal, 3) AS seasonal, round(value - trend - seasonal, 3) AS resid FROM t1 JOIN z ON p % 12 = slot""")(
-    lambda t: rounded(ts.seasonal_decompose(monthly(t), "additive", 12), 3)
+  SELECT ts, round(value, 6) AS value, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(value - trend - seasonal, 6) AS resid FROM t1 JOIN z ON p % 12 = slot""")(
+    lambda t: rounded(ts.seasonal_decompose(monthly(t), "additive", 12), 6)
 )
 query("ts18_every_nth", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS p FROM events) WHERE p % 7 = 0")(
     lambda t: ts.every_nth(t.events, 7, order=["ts", "event_id"]).select("event_id")

@@ -20,7 +20,7 @@ from lumenframe.plans.onepass import one_row
 from lumenframe.plans.ordering import as_list, largest_series
 from lumenframe.plans.storage import materialize
 
-MODEL_POINTS = 1_000_000  # longest series one task fits by recursion; see `_fit_by_series`
+MODEL_POINTS = 10_000_000  # longest series one task fits by recursion; see `_fit_by_series`
 
 
 def forecast(s: DataFrame, method: str, horizon: int, key=None, **params) -> DataFrame:

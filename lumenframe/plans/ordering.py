@@ -78,10 +78,16 @@ def global_position(df: DataFrame, order, rows: int, name: str = "_pos", chunk_r
 
 
 def _placed(df: DataFrame, sort: list[Column], parts: int) -> DataFrame:
-    """Range-partitioned and sorted rows with partition and row ids, written down so that they stay fixed."""
+    """Range-partitioned and sorted rows with partition and row ids, written down so that they stay fixed.
+
+    Rows that are equal in the whole order could not be split over partitions, so each row first gets a
+    number of its own. It is written down before it is used: the ranges then never depend on a rerun.
+    """
+    numbered = materialize(df.withColumn("_tie", F.monotonically_increasing_id()))
     return materialize(
-        df.repartitionByRange(parts, *sort)
-        .sortWithinPartitions(*sort)
+        numbered.repartitionByRange(parts, *sort, F.col("_tie"))
+        .sortWithinPartitions(*sort, F.col("_tie"))
+        .drop("_tie")
         .withColumn("_rid", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright("_rid", _ROW_BITS))
     )

@@ -102,3 +102,11 @@ def test_shuffle_column_is_a_permutation(spark):
         out = ml.shuffle_column(df, "v", "id", **sizes).toPandas()
         assert sorted(out["v"]) == list(range(0, 100, 2))
         assert (out["v"] != out["id"] * 2).any()
+
+
+def test_equal_rows_are_split_over_partitions(spark):
+    df = spark.range(400).select(F.when(F.col("id") < 300, 1).otherwise(F.col("id")).alias("v"))
+    placed = ordering._placed(df, [F.col("v")], 8)
+    assert placed.groupBy("_pid").count().agg(F.max("count")).first()[0] < 150
+    pos = ordering.with_position(df, "v", **BIG).toPandas()["pos"]
+    assert sorted(pos) == list(range(400))
