@@ -112,9 +112,18 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ts_to_epoch(df: DataFrame, cols=None) -> DataFrame:
-    """Date and time columns as seconds since 1970."""
+    """Date and time columns as seconds since 1970; times without a zone do not depend on the session's."""
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, TEMPORAL)]
-    return replace_columns(df, {c: F.unix_seconds(col(c).cast("timestamp")) for c in cols})
+    types = dict(df.dtypes)
+
+    def seconds(c: str):
+        if types[c] == "timestamp":
+            return F.unix_seconds(col(c))
+        start = F.lit("1970-01-01").cast("timestamp_ntz")
+        micros = F.timestamp_diff("MICROSECOND", start, col(c).cast("timestamp_ntz"))
+        return F.floor(micros / F.lit(1_000_000))
+
+    return replace_columns(df, {c: seconds(c) for c in cols})
 
 
 def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
