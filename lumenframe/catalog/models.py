@@ -38,7 +38,13 @@ def vectors(t):
 query("ml1_detect_problem", "SELECT 'l_linenumber' AS target, count(DISTINCT l_linenumber) AS distinct_values, CASE WHEN count(DISTINCT l_linenumber) < 20 THEN 'classification' ELSE 'regression' END AS problem FROM lineitem")(
     lambda t: ml.detect_problem(t.lineitem, "l_linenumber")
 )
-query("ml2_recommend_models")(lambda t: ml.recommend_models(flagged(t), "l_returnflag"))
+_TIERS = ("[['Highly Recommended', 'Logistic Regression'], ['Highly Recommended', 'Decision Tree'], ['Recommended', 'Random Forest'], ['Recommended', 'SVM'], ['Optional', 'KNN'], ['Optional', 'Naive Bayes']]",
+          "[['Highly Recommended', 'Random Forest'], ['Highly Recommended', 'XGBoost'], ['Recommended', 'LightGBM'], ['Recommended', 'CatBoost'], ['Optional', 'SVM'], ['Optional', 'MLP']]",
+          "[['Highly Recommended', 'LightGBM'], ['Highly Recommended', 'CatBoost'], ['Recommended', 'XGBoost'], ['Recommended', 'Random Forest'], ['Optional', 'SVM'], ['Optional', 'Logistic Regression']]")
+query("ml2_recommend_models", f"""WITH c AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT sum(n) AS n, min(n) / sum(n) AS least FROM c),
+  r AS (SELECT unnest(CASE WHEN n < 1000 THEN {_TIERS[0]} WHEN n < 100000 THEN {_TIERS[1]} ELSE {_TIERS[2]} END) AS p FROM s
+        UNION ALL SELECT unnest(CASE WHEN least < 0.2 THEN [['Highly Recommended', 'Balanced Random Forest'], ['Recommended', 'Class Weighted Models']] ELSE [] END) FROM s)
+  SELECT p[1] AS level, p[2] AS model FROM r""")(lambda t: ml.recommend_models(flagged(t), "l_returnflag"))
 _U = "CAST(CAST('0x' || substr(md5(concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
 query("ml3_split", f"""WITH s AS (SELECT CASE WHEN {_U} < 0.8 THEN 'train' ELSE 'test' END AS part, l_returnflag FROM lineitem)
   SELECT part, l_returnflag, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY part) AS DOUBLE), 8) AS share FROM s GROUP BY 1, 2""")(
@@ -127,8 +133,31 @@ query("ml23_stack_models")(lambda t: ml.regression_metrics(ml.stack_models(price
 query("ml24_actual_vs_predicted")(lambda t: ml.actual_vs_predicted(ml.train(priced(t), LX, "l_extendedprice", "linear", {}, "regression"), priced(t), "l_extendedprice", "l_quantity"))
 
 
-@query("ml25_predict")
+# at the mean of its inputs a least-squares model predicts the mean of its target
+@query("ml25_predict", "SELECT round(avg(l_quantity), 4) AS l_quantity, round(avg(l_discount), 4) AS l_discount, round(avg(l_tax), 4) AS l_tax, round(avg(l_extendedprice), 3) AS prediction FROM lineitem")
 def _(t):
     path = scratch(t)
     ml.save_model(ml.train(priced(t), LX, "l_extendedprice", "linear", {}, "regression"), path)
-    return ml.predict(ml.load_model(path), ml.default_inputs(priced(t), LX)).select(*LX, "prediction")
+    made = ml.predict(ml.load_model(path), ml.default_inputs(priced(t), LX))
+    return made.select(*[F.round(c, 4).alias(c) for c in LX], F.round("prediction", 3).alias("prediction"))
+
+
+# with one feature, least squares has a closed form in SQL
+_OLS = "m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)"
+
+
+def line(t):
+    return ml.train(priced(t), ["l_quantity"], "l_extendedprice", "linear", {}, "regression")
+
+
+query("ml6_linear_one_feature", f"""WITH {_OLS}, p AS (SELECT l_extendedprice AS y, a + b * l_quantity AS p FROM lineitem, m), s AS (SELECT avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae, var_pop(y) AS v FROM p)
+  SELECT round(1 - mse / v, 8) AS r2, round(mae, 4) AS mae, round(sqrt(mse), 4) AS rmse FROM s""")(
+    lambda t: ml.regression_metrics(line(t).transform(priced(t)), ml.LABEL, "prediction").select(*[F.round(c, d).alias(c) for c, d in (("r2", 8), ("mae", 4), ("rmse", 4))])
+)
+query("ml24_actual_vs_predicted_one_feature", f"WITH {_OLS} SELECT l_quantity, l_extendedprice AS actual, round(a + b * l_quantity, 4) AS predicted FROM lineitem, m")(
+    lambda t: rounded(ml.actual_vs_predicted(line(t), priced(t), "l_extendedprice", "l_quantity"), 4)
+)
+query("ml22_partial_dependence_one_feature", f"""WITH {_OLS}, q AS (SELECT quantile_cont(l_quantity, 0.05) AS lo, quantile_cont(l_quantity, 0.95) AS hi FROM lineitem)
+  SELECT round(lo + (hi - lo) * range / 19, 6) AS value, round(a + b * (lo + (hi - lo) * range / 19), 3) AS prediction FROM range(20), q, m""")(
+    lambda t: ml.partial_dependence(line(t), priced(t), "l_quantity").select(F.round("value", 6).alias("value"), F.round("prediction", 3).alias("prediction"))
+)

@@ -89,7 +89,8 @@ def _(t):
     return t.nation.select(F.col("n_name").alias("dropped"))
 
 
-@query("snk6_history_table")
+@query("snk6_history_table", """SELECT 'query' AS kind, CAST(count(*) AS DOUBLE) AS value FROM orders UNION ALL SELECT 'query', CAST(count(DISTINCT o_custkey) AS DOUBLE) FROM orders
+  UNION ALL SELECT 'query', CAST(count(*) AS DOUBLE) FROM orders WHERE o_totalprice > 1000""")
 def _(t):
     path = scratch(t)
     for text in ("SELECT * FROM orders", "SELECT DISTINCT o_custkey FROM orders", "SELECT * FROM orders WHERE o_totalprice > 1000"):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.catalog.inputs import rounded
 from lumenframe.catalog.registry import query
-from lumenframe.functions.words import DATA_KEYWORDS, EMOJI, ENTITY_PATTERNS, STOPWORDS_EN, WORD, WORD_CHARS
+from lumenframe.functions.words import DATA_KEYWORDS, EMOJI, ENTITY_PATTERNS, POLARITY_EN, STOPWORDS_EN, WORD, WORD_CHARS
 from lumenframe.operators import text as tx
 from lumenframe.operators.text import NGRAM_TOKEN, SENTENCE, SPACE, TERM
 
@@ -64,7 +64,9 @@ def scored(t):
 query("tx7_sentiment", f"WITH {SENT} SELECT doc_id, sentiment, round(sentiment_score, 8) AS sentiment_score, round(confidence, 8) AS confidence FROM sent")(
     lambda t: rounded(scored(t).drop("text"), 8)
 )
-query("tx7_sentiment_default")(lambda t: tx.sentiment(t.conversations, "text").groupBy("sentiment").count())
+_POS, _NEG = (", ".join(f"'{w}'" for w, v in POLARITY_EN.items() if v == x) for x in (1.0, -1.0))
+query("tx7_sentiment_default", f"""WITH t AS (SELECT regexp_extract_all(lower(text), '{WORD}') AS t FROM conversations), s AS (SELECT len(list_filter(t, lambda x: x IN ({_POS}))) - len(list_filter(t, lambda x: x IN ({_NEG}))) AS s FROM t)
+  SELECT CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END AS sentiment, count(*) AS count FROM s GROUP BY 1""")(lambda t: tx.sentiment(t.conversations, "text").groupBy("sentiment").count())
 query("tx8_sentiment_summary", f"""WITH {SENT}, a AS (SELECT count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative, count(*) AS total, avg(sentiment_score) AS average FROM sent),
   m AS (SELECT sentiment AS majority, count(*) AS c FROM sent GROUP BY 1 ORDER BY c DESC, 1 LIMIT 1)
   SELECT positive, neutral, negative, total, round(average, 6) AS average, round(positive / total, 6) AS positive_share, round(neutral / total, 6) AS neutral_share, round(negative / total, 6) AS negative_share, majority,
