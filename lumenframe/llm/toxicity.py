@@ -144,7 +144,8 @@ def train(
         slope, shift = scale(np.array([bias + weights[np.isin(buckets, r, assume_unique=True)].sum() for r in rows]), y)
         return pd.DataFrame({"bucket": np.append(buckets, -1), "w": np.append(weights * slope, bias * slope + shift)})
 
-    fitted = sample.mapInArrow(encode, "doc_id long, y double, x binary").groupBy(F.lit(0)).applyInPandas(fit, "bucket long, w double")
+    encoded = sample.mapInArrow(encode, "doc_id long, y double, x binary")
+    fitted = encoded.withColumn("model", F.lit(0)).groupBy("model").applyInPandas(fit, "bucket long, w double")
     table = fitted.toPandas().sort_values("bucket")  # bounded by the sample
     if not len(table):
         return Weights(-35.0, np.empty(0, np.int64), np.empty(0))
