@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import toxicity
+from lumenframe.llm import ngram_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,8 @@ def _query(name: str, *tables: str, sql: str | None = None):
 @_query("op3_toxicity", "documents", "labels")
 def _op3(documents, labels):
     return toxicity.toxicity(documents, labels)
+
+
+@_query("op7_ngram_join", "documents")
+def _op7(documents):
+    return ngram_join.ngram_join(documents)
