@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import ngram_join, toxicity
+from lumenframe.llm import decontaminate, ngram_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,8 @@ def _op3(documents, labels):
 @_query("op7_ngram_join", "documents")
 def _op7(documents):
     return ngram_join.ngram_join(documents)
+
+
+@_query("op1_decontaminate", "documents", "benchmark")
+def _op1(documents, benchmark):
+    return decontaminate.decontaminate(documents, benchmark)
