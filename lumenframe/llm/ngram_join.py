@@ -11,8 +11,9 @@ A text's set holds the distinct hashes of its 4-word shingles. Two sets of Jacca
 3. Prefix entries meet by token. Short runs give all their pairs; a pair stays if it shares ``r`` entries. Entries of long
    runs and of heavy tokens form stars around one node, in rounds, and are paired exhaustively only across components
    that are still apart. A near-copy group of any size costs edges in proportion to its nodes.
-4. The sets of the nodes in a candidate pair are read again; a pair must share ``r`` prefix tokens under each further
-   order, and then have the exact intersection.
+4. A candidate pair is first bounded by the counts of its sets' tokens in ``BINS`` bins: their differences sum to at most
+   the symmetric difference. Of the pairs left, the nodes' sets are read again; a pair must share ``r`` prefix tokens
+   under each further order, and then have the exact intersection.
 
 Nodes carry the smallest doc_id of equal sets. The set fingerprint has 128 bits, a token 64.
 """
@@ -33,6 +34,7 @@ BLOCK = 2_000_000  # tokens counted together when looking for heavy ones
 HEAVY = 2000  # a token in more than 1 of so many texts is heavy
 RUN = 48  # prefix entries of one token that are paired at once
 STARS = 2  # star rounds before the exhaustive one
+BINS = 64
 SMALL = 2_000_000  # ids that may be broadcast
 
 
@@ -77,23 +79,25 @@ def _heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n, key (fingerprint of the set), prefix (ranks under the first order)."""
+    """doc_id, n, key (fingerprint of the set), prefix (ranks under the first order), bins (token counts)."""
 
     def run(batches):
         for b in batches:
-            n, key, prefix = [], [], []
+            n, key, prefix, bins = [], [], [], []
             for w in bt.words(b.column("text")):
                 for s in bt.shingles(w, size):
                     rank = _ordered(s, heavy, SEEDS[0])
                     take = int(_needs(len(s), percent)[0])
                     n.append(len(s))
+                    bins.append(np.minimum(np.bincount((rank % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                     key.append(np.array([bt.mix(s).sum(), bt.mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum()], np.uint64).tobytes())
                     prefix.append((np.partition(rank, take - 1)[:take] if take < len(rank) else rank).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "key", "prefix"]
+                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bins, pa.binary())],
+                ["doc_id", "n", "key", "prefix", "bins"],
             )
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>"))
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, bins binary"))
 
 
 def _runs(batches):
@@ -134,29 +138,34 @@ def _runs(batches):
         yield from emit(*rest)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """node, n, tokens (sorted, 8 bytes each), orders (prefix ranks under the further orders) of the given nodes."""
+def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, tokens (sorted, 8 bytes each) of the given nodes."""
 
     def run(batches):
         for b in batches:
-            n, tokens = [], []
-            for w in bt.words(b.column("text")):
-                for s in bt.shingles(w, size):
-                    n.append(len(s))
-                    tokens.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("node").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())], ["node", "n", "tokens"])
+            tokens = [s.tobytes() for w in bt.words(b.column("text")) for s in bt.shingles(w, size)]
+            yield pa.RecordBatch.from_arrays([b.column("node").cast(pa.int64()), pa.array(tokens, pa.binary())], ["node", "tokens"])
 
     nodes = materialize(nodes)
     if nodes.count() <= SMALL:
         nodes = F.broadcast(nodes)
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
-    return materialize(texts.mapInArrow(run, "node long, n long, tokens binary"))
+    return materialize(texts.mapInArrow(run, "node long, tokens binary"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, heavy: np.ndarray) -> DataFrame:
-    """The pairs (a, b) whose sets pass the further orders and then the exact test."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> DataFrame:
+    """The pairs (a, b) whose sets pass the bins, the further orders and the exact test; ``nodes`` has node, n, bins."""
 
-    def run(batches):
+    def bound(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.array([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(c)], np.int16) for c in ("xa", "xb"))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], ["a", "b"])
+
+    def exact(batches):
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             keep = np.zeros(len(a), bool)
@@ -172,9 +181,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, heavy: np.ndarray
                     keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
+    low = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bins").alias("xa"))
+    high = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("xb"))
+    bounded = materialize(pairs.join(high, "b").join(low, "a").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a long, b long"))
+    sets = _sets(docs, bounded.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size)
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return materialize(bounded.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
 
 
 def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -186,7 +199,8 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     docs = docs.select("doc_id", "text")
     heavy = _heavy_tokens(docs, size)
     rows = _prefixes(docs, size, percent, heavy)
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
+    classes = materialize(classes)
     entries = classes.select("node", "n", F.explode("prefix").alias("token"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = materialize(entries.where("token >= 0").select("token", "node", "n").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_runs, "kind long, a long, b long, na long, nb long"))
@@ -195,11 +209,9 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"))
         .where(F.col("shared") >= 1 + F.floor(F.least("na", "nb") / 50)).select("a", "b")
     )
-    pairs = materialize(pairs)
     big = materialize(met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("nb").alias("n")).union(entries.where("token < 0").select("token", "node", "n")))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(big.select("node")).distinct()
-    sets = _sets(docs, nodes, size, percent, heavy)
-    links = _verified(pairs, sets, percent, heavy)
+    nodes = classes.select("node", "n", "bins")
+    links = _verified(pairs, nodes, docs, size, percent, heavy)
     roots = components(links)
     for turn in range(STARS + 1):
         here = big.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -215,7 +227,7 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
             x, y = labelled.alias("x"), labelled.alias("y")
             near = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
             new = x.join(y, (F.col("x.token") == F.col("y.token")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        more = _verified(new, sets, percent, heavy)
+        more = _verified(new, nodes, docs, size, percent, heavy)
         links = links.union(more)
         roots = components(links)
         big = big.select("token", "node", "n")
