@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontaminate, ngram_join, toxicity
+from lumenframe.llm import decontaminate, mixing, ngram_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,8 @@ def _op7(documents):
 @_query("op1_decontaminate", "documents", "benchmark")
 def _op1(documents, benchmark):
     return decontaminate.decontaminate(documents, benchmark)
+
+
+@_query("op9_mixing", "documents", sql=mixing.MIX_SQL)
+def _op9(documents):
+    return mixing.mix(documents)
