@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontaminate, mixing, ngram_join, toxicity
+from lumenframe.llm import decontaminate, mixing, ngram_join, token_blocks, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,14 @@ def _op1(documents, benchmark):
 @_query("op9_mixing", "documents", sql=mixing.MIX_SQL)
 def _op9(documents):
     return mixing.mix(documents)
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query("op5_token_blocks", "documents")
+def _op5(documents):
+    return token_blocks.token_blocks(documents, vocabulary())
