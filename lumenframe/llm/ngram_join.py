@@ -100,7 +100,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> Da
     return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, bins binary"))
 
 
-def _runs(batches):
+def _runs(batches, percent: int):
     """Sorted (token, node, n) rows: pairs of short runs as kind 0 (a, b, na, nb); rows of long runs as kind 1 (token, node, 0, n)."""
     rest = None
 
@@ -118,7 +118,7 @@ def _runs(batches):
             if not len(i):
                 break
             x, y, nx, ny = node[i], node[i + gap], n[i], n[i + gap]
-            ok = (x != y) & (100 * np.minimum(nx, ny) >= 85 * np.maximum(nx, ny))
+            ok = (x != y) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
             x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
             swap = x > y
             out.append((np.zeros(len(x), np.int64), np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ny, nx), np.where(swap, nx, ny)))
@@ -203,7 +203,7 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     classes = materialize(classes)
     entries = classes.select("node", "n", F.explode("prefix").alias("token"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = materialize(entries.where("token >= 0").select("token", "node", "n").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_runs, "kind long, a long, b long, na long, nb long"))
+    met = materialize(entries.where("token >= 0").select("token", "node", "n").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(lambda batches: _runs(batches, percent), "kind long, a long, b long, na long, nb long"))
     # short runs: pairs that share enough entries
     pairs = (
         met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontaminate, mixing, ngram_join, token_blocks, toxicity
+from lumenframe.llm import decontaminate, exact_dedup, mixing, ngram_join, token_blocks, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def vocabulary() -> str:
 @_query("op5_token_blocks", "documents")
 def _op5(documents):
     return token_blocks.token_blocks(documents, vocabulary())
+
+
+@_query("op10_exact_dedup", "documents", sql=exact_dedup.DEDUP_SQL)
+def _op10(documents):
+    return exact_dedup.exact_dedup(documents)
