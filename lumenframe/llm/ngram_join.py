@@ -11,8 +11,8 @@ A text's set holds the distinct hashes of its 4-word shingles. Two sets of Jacca
 3. Prefix entries meet by token. Short runs give all their pairs; a pair stays if it shares ``r`` entries. Entries of long
    runs and of heavy tokens form stars around one node, in rounds, and are paired exhaustively only across components
    that are still apart. A near-copy group of any size costs edges in proportion to its nodes.
-4. A candidate pair is first bounded by the counts of its sets' tokens in ``BINS`` bins: their differences sum to at most
-   the symmetric difference. Of the pairs left, the nodes' sets are read again; a pair must share ``r`` prefix tokens
+4. A candidate pair is first bounded by the counts of its sets' tokens in bins, about one for eight tokens: the counts'
+   differences sum to at most the symmetric difference. Of the pairs left, the nodes' sets are read again; a pair must share ``r`` prefix tokens
    under each further order, and then have the exact intersection.
 
 Nodes carry the smallest doc_id of equal sets. The set fingerprint has 128 bits, a token 64.
@@ -34,7 +34,6 @@ BLOCK = 2_000_000  # tokens counted together when looking for heavy ones
 HEAVY = 2000  # a token in more than 1 of so many texts is heavy
 RUN = 48  # prefix entries of one token that are paired at once
 STARS = 2  # star rounds before the exhaustive one
-BINS = 64
 SMALL = 2_000_000  # ids that may be broadcast
 
 
@@ -53,6 +52,21 @@ def _ordered(tokens: np.ndarray, heavy: np.ndarray, seed: int) -> np.ndarray:
     return rank
 
 
+def _bins(rank: np.ndarray) -> bytes:
+    """Counts of the tokens by their low bits; a power of two of bins. Counts stop at 255."""
+    many = max(16, 1 << (len(rank) >> 3).bit_length())
+    return np.minimum(np.bincount((rank & np.uint64(many - 1)).astype(np.int64), minlength=many), 255).astype(np.uint8).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference; the finer bins are folded onto the coarser."""
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if max(x.max(), y.max()) >= 255:
+        return 0  # a full bin cannot be folded
+    many = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, many).sum(axis=0) - y.reshape(-1, many).sum(axis=0)).sum())
+
+
 def _heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         def count(sets):
@@ -89,7 +103,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> Da
                     rank = _ordered(s, heavy, SEEDS[0])
                     take = int(_needs(len(s), percent)[0])
                     n.append(len(s))
-                    bins.append(np.minimum(np.bincount((rank % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                    bins.append(_bins(rank))
                     key.append(np.array([bt.mix(s).sum(), bt.mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum()], np.uint64).tobytes())
                     prefix.append((np.partition(rank, take - 1)[:take] if take < len(rank) else rank).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -160,8 +174,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.array([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(c)], np.int16) for c in ("xa", "xb"))
-            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True)], np.int64)
             near = (100 + percent) * apart <= (100 - percent) * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], ["a", "b"])
 
