@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontaminate, exact_dedup, mixing, ngram_join, token_blocks, toxicity
+from lumenframe.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, token_blocks, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ def _op5(documents):
 @_query("op10_exact_dedup", "documents", sql=exact_dedup.DEDUP_SQL)
 def _op10(documents):
     return exact_dedup.exact_dedup(documents)
+
+
+@_query("op2_quality", "documents", "labels")
+def _op2(documents, labels):
+    return quality.quality(documents, labels)
