@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, token_blocks, toxicity
+from lumenframe.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, quality, token_blocks, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def _op10(documents):
 @_query("op2_quality", "documents", "labels")
 def _op2(documents, labels):
     return quality.quality(documents, labels)
+
+
+@_query("op8_html_text", "pages")
+def _op8(pages):
+    return html_text.html_text(pages)
