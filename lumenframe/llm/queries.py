@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, quality, token_blocks, toxicity
+from lumenframe.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, pii, quality, token_blocks, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def _op2(documents, labels):
 @_query("op8_html_text", "pages")
 def _op8(pages):
     return html_text.html_text(pages)
+
+
+@_query("op4_pii", "documents")
+def _op4(documents):
+    return pii.pii(documents)
