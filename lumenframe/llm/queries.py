@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, pii, quality, token_blocks, toxicity
+from lumenframe.llm import decontaminate, exact_dedup, html_text, licenses, mixing, ngram_join, pii, quality, token_blocks, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def _op8(pages):
 @_query("op4_pii", "documents")
 def _op4(documents):
     return pii.pii(documents)
+
+
+@_query("op6_licenses", "documents")
+def _op6(documents):
+    return licenses.license_scan(documents, licenses.template_table(documents.sparkSession))
