@@ -7,7 +7,8 @@ a hit fixes an alignment, and the whole item is then compared with the text alon
 that is too short for a window is hashed under a contiguous mask of its own length.
 
 Only DataFrame functions are used. The words of a text are hashed once; windows are generated, hashed and probed in one
-generated loop against the benchmark's hashes, without shuffling texts. The benchmark side is broadcast when its hashes
+generated loop against the benchmark's hashes; only the distinct alignments leave it. They are gathered by text, and the few texts
+that have any are read again for the comparison. The benchmark side is broadcast when its hashes
 number at most ``SMALL``; a larger one is joined by shuffle. Words are compared as 64-bit hashes of their lower-case form.
 """
 
@@ -16,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.plans.storage import materialize
+
 #: offsets that a mask looks at; each spans 12 words or fewer and ignores three or more, so any two of them
 #: differ in what a substitution may touch
 MASKS = ((0, 1, 2, 4, 5, 8, 9, 11), (0, 2, 3, 5, 7, 8, 10, 11), (0, 1, 3, 4, 6, 7, 9, 10))
 SPAN = 12
 SMALL = 1_000_000  # benchmark window hashes that may be broadcast
+FEW = 50_000  # alignments that may be broadcast to the texts that have them
 
 
 def word_hashes(text: Column) -> Column:
@@ -36,44 +40,51 @@ def _windows(words: DataFrame, key: str, masks: list[tuple[int, ...]]) -> DataFr
     """
     at = words.select(key, "h", F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)))).alias("at"))
     seeds = F.array(*[F.xxhash64(F.lit(k), *[F.get("h", F.col("at") + o) for o in mask]) for k, mask in enumerate(masks)])
-    return at.select(key, "h", "at", F.explode(seeds).alias("seed"))
+    return at.select(key, "at", F.explode(seeds).alias("seed"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, passage: int = 13, shortest: int = 5) -> DataFrame:
-    """One row per (doc_id, item_id) in which the text holds the item: matched and item_words
-    counts, score of the best stretch, and the start of the best place.
+    """One row per (doc_id, item_id) in which the text holds the item: the most equal words
+    on an alignment (matched) of item_words, the score of the best stretch, and where the item starts on the first such alignment.
 
     A pair is reported when, along an alignment found by a hit, at least ``percent`` of the item's words are equal, or
     some stretch scores ``passage``: the number of equal words less, for every substitution, what makes ``percent`` break
-    even (4 words for 80). So a passage of 13 words of an item is enough, or one of 17 words with one substitution. Insertions and deletions break an alignment; substitutions do not. Items with fewer than ``shortest`` words are
-    never reported. Rows of ``docs`` or ``benchmark`` with a null id are ignored; null and empty texts hold nothing.
+    even (4 words for 80). So a passage of 13 words of an item is enough, or one of 17 words with one substitution. Insertions
+    and deletions break an alignment; substitutions do not. Items with fewer than ``shortest`` words are never reported. Rows of ``docs`` or ``benchmark`` with a null id are ignored; null and empty texts hold nothing.
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are not read.
     """
     texts = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("h"))
     items = benchmark.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") >= shortest).distinct()
     lengths = sorted(r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect())  # fewer than SPAN values
     masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
-    seeds = _windows(items, "item_id", masks).select("item_id", F.col("h").alias("item"), F.col("at").alias("item_at"), "seed")
+    seeds = _windows(items, "item_id", masks).select("item_id", F.col("at").alias("item_at"), "seed")
     small = seeds.count() <= SMALL
+    # narrow rows only: generating, probing and making distinct stay in one generated loop that copies no word arrays
     hits = _windows(texts, "doc_id", masks).join(F.broadcast(seeds) if small else seeds, "seed")
-    start = F.col("at") - F.col("item_at")  # where the item begins in the text; may lie before the text
-    first, n = F.greatest(start, F.lit(0)), F.size("item")
-    here = F.slice("h", first + 1, F.least(n, F.size("h") - first))
-    there = F.slice("item", first - start + 1, n)
-    equal = F.zip_with(here, there, lambda a, b: F.when(a == b, 1).otherwise(0))
-    matched = F.aggregate(equal, F.lit(0), lambda acc, e: acc + e)
+    hits = materialize(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct())
+    held = hits.join(items.withColumnRenamed("h", "item"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "item")).alias("hits"))
+    held = F.broadcast(held) if hits.count() <= FEW else held
+    again = docs.where("doc_id is not null").select("doc_id", "text").join(held, "doc_id").select("doc_id", "hits", word_hashes(F.col("text")).alias("h"))
     # best stretch: a match counts 1, a mismatch as much as makes ``percent`` break even
     cost = -(percent // (100 - percent))
-    stretch = F.aggregate(
-        equal,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda acc, e: F.struct(
-            F.greatest(acc["now"] + F.when(e == 1, 1).otherwise(cost), F.lit(0)).alias("now"),
-            F.greatest(acc["best"], acc["now"] + F.when(e == 1, 1).otherwise(cost)).alias("best"),
-        ),
-        lambda acc: acc["best"],
-    )
-    found = hits.select("doc_id", "item_id", matched.alias("matched"), n.alias("item_words"), stretch.alias("stretch"), start.alias("start"))
+
+    def compared(hit):
+        start, n = hit["start"], F.size(hit["item"])  # where the item begins in the text; may lie before the text
+        first = F.greatest(start, F.lit(0))
+        here = F.slice("h", first + 1, F.greatest(F.least(n, F.size("h") - first), F.lit(0)))
+        equal = F.zip_with(here, F.slice(hit["item"], first - start + 1, n), lambda a, b: F.when(a == b, 1).otherwise(cost))
+        grown = lambda acc, e: F.struct(
+            (acc["matched"] + F.when(e == 1, 1).otherwise(0)).alias("matched"), F.greatest(acc["now"] + e, F.lit(0)).alias("now"), F.greatest(acc["best"], acc["now"] + e).alias("best")
+        )
+        zero = F.struct(F.lit(0).alias("matched"), F.lit(0).alias("now"), F.lit(0).alias("best"))
+        return F.struct(hit["item_id"].alias("item_id"), start.alias("start"), n.alias("item_words"), F.aggregate(equal, zero, grown).alias("m"))
+
+    found = again.select("doc_id", F.explode(F.transform("hits", compared)).alias("f"))
+    found = found.select("doc_id", "f.item_id", "f.start", "f.item_words", F.col("f.m.matched").alias("matched"), F.col("f.m.best").alias("stretch"))
     found = found.where((100 * F.col("matched") >= percent * F.col("item_words")) | (F.col("stretch") >= passage))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "stretch", (-F.col("start")).alias("before"), "item_words")).alias("m"))
-    return best.select("doc_id", "item_id", "m.matched", "m.item_words", "m.stretch", (-F.col("m.before")).alias("start"))
+    # most equal words, then the earliest start, in one number: hash aggregation carries no arrays through a sort
+    place = F.shiftleft(F.col("matched").cast("long"), 34) + (F.lit(1 << 33) - F.col("start").cast("long"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(place).alias("place"), F.max("item_words").alias("item_words"), F.max("stretch").alias("stretch"))
+    matched = F.shiftright("place", 34)
+    start = F.lit(1 << 33) - (F.col("place") - F.shiftleft(matched, 34))
+    return best.select("doc_id", "item_id", matched.cast("int").alias("matched"), "item_words", "stretch", start.cast("int").alias("start"))

@@ -8,8 +8,8 @@ allows for the window's offset against the text, all but 7 in 10,000. Then the s
 window and a stride around it is counted exactly, and at least ``contained`` is reported.
 
 A window without any template shingle cannot collide, so windows are formed only around positions whose shingle occurs in
-a template; these are found in one generated loop over the texts' word hashes, which also is the only full scan. Texts
-are not shuffled. Template tables are broadcast when they have at most ``SMALL`` rows and joined by shuffle beyond it.
+a template; these are found in one generated loop over the texts' word hashes. Only the windows' places leave it; the few texts
+that have any are read again. Template tables are broadcast when they have at most ``SMALL`` rows and joined by shuffle beyond it.
 Only DataFrame functions are used.
 """
 
@@ -18,9 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.plans.storage import materialize
+
 SIZE = 5
 BANDS = 8
 SMALL = 1_000_000
+FEW = 200_000  # windows that may be broadcast to the texts that have them
 
 #: fixed values: notices and headers of common licenses
 TEMPLATES = (
@@ -99,19 +102,31 @@ def license_scan(docs: DataFrame, templates: DataFrame, contained: float = 0.8)
     classes = known.select(F.explode("own").alias("shingle"), "w").distinct()
     texts = docs.where("doc_id is not null").select("doc_id", _hashes(F.col("text")).alias("h"))
     at = texts.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - SIZE, F.lit(0)))).alias("at"))
-    hits = at.withColumn("shingle", _shingle(F.col("at"))).join(bounded(classes), "shingle")
-    last = F.size("h") - SIZE  # of the text's shingles
+    # narrow rows only: generating, probing and making distinct stay in one generated loop that copies no word arrays
+    hits = at.select("doc_id", "at", _shingle(F.col("at")).alias("shingle")).join(bounded(classes), "shingle")
     stride = F.greatest(F.floor(F.col("w") / 8), F.lit(1)).cast("int")
-    first = F.greatest(F.ceil((F.col("at") - F.col("w") + 1) / stride), F.lit(0)).cast("int")
-    windows = hits.where(last >= 0).select("doc_id", "h", "w", stride.alias("stride"), F.explode(F.sequence(first, F.greatest(first, F.floor(F.col("at") / stride).cast("int")))).alias("step"))
-    begin = F.col("step") * F.col("stride")
-    windows = windows.select("doc_id", "h", "w", "stride", begin.alias("begin"))
-    windows = windows.withColumn("near", _shingles(F.col("begin"), F.least(F.col("begin") + F.col("w") - 1, last)))
-    banded = windows.select("doc_id", "h", "w", "stride", "begin", F.explode(_bands(F.col("near"))).alias("band"))
+    hits = hits.select("doc_id", "at", "w", stride.alias("stride"))
+    first = F.greatest(F.ceil((F.col("at") - F.col("w") + 1) / F.col("stride")), F.lit(0)).cast("int")
+    steps = F.sequence(first, F.greatest(first, F.floor(F.col("at") / F.col("stride")).cast("int")))
+    windows = hits.select("doc_id", "w", "stride", F.explode(steps).alias("step")).select("doc_id", "w", "stride", (F.col("step") * F.col("stride")).alias("begin"))
+    windows = materialize(windows.distinct())
+    held = windows.groupBy("doc_id").agg(F.collect_list(F.struct("w", "stride", "begin")).alias("windows"))
+    held = F.broadcast(held) if windows.count() <= FEW else held
+    again = docs.where("doc_id is not null").select("doc_id", "text").join(held, "doc_id").select("doc_id", "windows", _hashes(F.col("text")).alias("h"))
+    last = F.size("h") - SIZE  # of the text's shingles
+
+    def read(x):
+        end = x["begin"] + x["w"] - 1
+        near, around = _shingles(x["begin"], F.least(end, last)), _shingles(F.greatest(x["begin"] - x["stride"], F.lit(0)), F.least(end + x["stride"], last))
+        return F.struct(x["w"].alias("w"), x["begin"].alias("begin"), near.alias("near"), around.alias("around"))
+
+    windows = again.select("doc_id", F.explode(F.transform("windows", read)).alias("x")).select("doc_id", "x.*").where(F.size("near") > 0)
+    banded = windows.select("doc_id", "w", "begin", "around", F.explode(_bands(F.col("near"))).alias("band"))
     template_bands = known.select("template_id", "license", "own", "w", F.explode(_bands(F.col("own"))).alias("band"))
     met = banded.join(bounded(template_bands), ["band", "w"])
-    around = _shingles(F.greatest(F.col("begin") - F.col("stride"), F.lit(0)), F.least(F.col("begin") + F.col("w") - 1 + F.col("stride"), last))
-    share = F.size(F.array_intersect("own", around)) / F.size("own")
+    share = F.size(F.array_intersect("own", "around")) / F.size("own")
     found = met.select("doc_id", "license", share.alias("containment"), F.col("begin").alias("word")).where(F.col("containment") >= contained)
-    best = found.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("word")).alias("before"))).alias("m"))
-    return best.select("doc_id", "license", "m.containment", (-F.col("m.before")).alias("word"))
+    # the best share and its first window in one number, for hash aggregation carries no arrays through a sort
+    place = F.floor(F.col("containment") * 1_000_000_000) * (1 << 32) + ((1 << 32) - 1 - F.col("word"))
+    best = found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.max(place).alias("place"))
+    return best.select("doc_id", "license", "containment", ((1 << 32) - 1 - F.col("place") % (1 << 32)).cast("int").alias("word"))
