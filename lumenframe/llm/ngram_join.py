@@ -10,7 +10,7 @@ A text's set holds the distinct hashes of its 4-word shingles. Two sets of Jacca
 2. One scan gives every text's set size, set fingerprint and prefix under the first order. Equal sets become one node.
 3. Prefix entries meet by token. Short runs give all their pairs; a pair stays if it shares ``r`` entries. Entries of long
    runs and of heavy tokens form stars around one node, in rounds, and are paired exhaustively only across components
-   that are still apart. A near-copy group of any size costs edges in proportion to its nodes.
+   that are still apart, and only where what follows the shared token leaves room for the intersection that is needed. A near-copy group of any size costs edges in proportion to its nodes.
 4. A candidate pair is first bounded by the counts of its sets' tokens in bins, about one for eight tokens: the counts'
    differences sum to at most the symmetric difference. Of the pairs left, the nodes' sets are read again; a pair must share ``r`` prefix tokens
    under each further order, and then have the exact intersection.
@@ -105,7 +105,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> Da
                     n.append(len(s))
                     bins.append(_bins(rank))
                     key.append(np.array([bt.mix(s).sum(), bt.mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum()], np.uint64).tobytes())
-                    prefix.append((np.partition(rank, take - 1)[:take] if take < len(rank) else rank).view(np.int64))
+                    prefix.append(np.sort(np.partition(rank, take - 1)[:take] if take < len(rank) else rank).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bins, pa.binary())],
                 ["doc_id", "n", "key", "prefix", "bins"],
@@ -115,16 +115,16 @@ def _prefixes(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> Da
 
 
 def _runs(batches, percent: int):
-    """Sorted (token, node, n) rows: pairs of short runs as kind 0 (a, b, na, nb); rows of long runs as kind 1 (token, node, 0, n)."""
+    """Sorted (token, node, n, pos) rows: pairs of short runs as kind 0 (a, b, na, nb); rows of long runs as kind 1 (token, node, pos, n)."""
     rest = None
 
-    def emit(token, node, n):
+    def emit(token, node, n, pos):
         edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
         length = np.diff(edge)
         out = []
         long = np.repeat(length > RUN, length)
         if long.any():
-            out.append((np.ones(long.sum(), np.int64), token[long], node[long], np.zeros(long.sum(), np.int64), n[long]))
+            out.append((np.ones(long.sum(), np.int64), token[long], node[long], pos[long], n[long]))
         for gap in range(1, min(RUN, int(length.max(initial=0)))):
             # rows whose run goes on for ``gap`` more rows
             i = np.flatnonzero(token[:-gap] == token[gap:])
@@ -140,7 +140,7 @@ def _runs(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["kind", "a", "b", "na", "nb"])
 
     for batch in batches:
-        rows = [batch.column(c).to_numpy() for c in ("token", "node", "n")]
+        rows = [batch.column(c).to_numpy() for c in ("token", "node", "n", "pos")]
         if rest is not None:
             rows = [np.concatenate(p) for p in zip(rest, rows, strict=True)]
         if not len(rows[0]):
@@ -214,36 +214,46 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     rows = _prefixes(docs, size, percent, heavy)
     classes = rows.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
     classes = materialize(classes)
-    entries = classes.select("node", "n", F.explode("prefix").alias("token"))
+    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = materialize(entries.where("token >= 0").select("token", "node", "n").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(lambda batches: _runs(batches, percent), "kind long, a long, b long, na long, nb long"))
+    met = materialize(entries.where("token >= 0").select("token", "node", "n", "pos").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(lambda batches: _runs(batches, percent), "kind long, a long, b long, na long, nb long"))
     # short runs: pairs that share enough entries
     pairs = (
         met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"))
         .where(F.col("shared") >= 1 + F.floor(F.least("na", "nb") / 50)).select("a", "b")
     )
-    big = materialize(met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("nb").alias("n")).union(entries.where("token < 0").select("token", "node", "n")))
+    big = materialize(met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("na").alias("pos")).union(entries.where("token < 0").select("token", "node", "n", "pos")))
     nodes = classes.select("node", "n", "bins")
+    # a node with few tokens of its own is near the middle of its copies: stars form around such nodes first
+    weight = materialize(big.groupBy("node").agg(F.count("*").alias("weight")))
     links = _verified(pairs, nodes, docs, size, percent, heavy)
     roots = components(links)
     for turn in range(STARS + 1):
-        here = big.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-        apart = here.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("center")).where("low <> high")
-        big = materialize(here.drop("root").join(apart.select("token", "center"), "token"))
+        here = big.join(roots, "node", "left").join(weight, "node").select("token", "node", "n", "pos", "weight", F.coalesce("root", "node").alias("root"))
+        rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("weight")
+        apart = here.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("node", F.struct(rank, "node")).alias("center")).where("low <> high")
+        big = materialize(here.drop("root", "weight").join(apart.select("token", "center"), "token"))
         if not big.take(1):
             break
-        labelled = big.join(roots, "node", "left").select("token", "center", "node", "n", F.coalesce("root", "node").alias("root"))
+        labelled = big.join(roots, "node", "left").select("token", "center", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
         if turn < STARS:
             best = labelled.where("node <> center").groupBy("node", "center").count().groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
             new = best.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
         else:
-            x, y = labelled.alias("x"), labelled.alias("y")
-            near = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            new = x.join(y, (F.col("x.token") == F.col("y.token")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+            # if a token is the first that two sets share, what follows it bounds their intersection; places in
+            # sets of a size are compared before nodes are
+            places = materialize(labelled.groupBy("token", "n", "pos").agg(F.min("root").alias("low"), F.max("root").alias("high")))
+            x, y = places.alias("x"), places.alias("y")
+            both = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+            fits = ((100 + percent) * both >= percent * (F.col("x.n") + F.col("y.n"))) & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
+            meet = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select("x.token", "x.n", "x.pos", F.col("y.n").alias("n2"), F.col("y.pos").alias("pos2"))
+            other = labelled.select("token", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("node").alias("node2"), F.col("root").alias("root2"))
+            new = labelled.join(meet, ["token", "n", "pos"]).join(other, ["token", "n2", "pos2"]).where("node < node2 and root <> root2")
+            new = new.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
         more = _verified(new, nodes, docs, size, percent, heavy)
         links = links.union(more)
         roots = components(links)
-        big = big.select("token", "node", "n")
+        big = big.select("token", "node", "n", "pos")
     names = rows.where("n > 0 and doc_id is not null").select("doc_id", "key", "n").join(classes.select("key", "n", "node"), ["key", "n"])
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return names.join(roots, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id")).union(alone)
