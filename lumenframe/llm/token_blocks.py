@@ -26,7 +26,7 @@ from lumenframe.plans.storage import shared_folder
 BLOCK = 2048
 PERCENTILE = 90
 END = 1  # the id appended to every text
-CACHED = 200_000  # distinct white-space separated pieces whose ids a task remembers
+CACHED = 1_000_000  # distinct white-space separated pieces whose ids a worker remembers (some 200 MB)
 SCHEMA = (
     "shard int, block int, start long, count int, base long, width int, packed binary, positions binary, values binary, "
     "texts array<struct<doc_id: long, begin: long, offset: int, length: int>>"
@@ -66,19 +66,35 @@ def _encoder(tokenizer: str):
     The vocabulary splits at white space and drops it, so a text's ids are those of its pieces one after another;
     the pieces' ids are remembered, for words repeat.
     """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer)
-    known: dict[str, bytes] = {}
+    import tokenizers
+
+    # kept at the library's module, so that the tasks of one worker process share it
+    shared = tokenizers.__dict__.setdefault("_lumenframe_pieces", {})
+    if tokenizer not in shared:
+        shared[tokenizer] = (tokenizers.Tokenizer.from_file(tokenizer), {"": b""})
+    tok, known = shared[tokenizer]
+
+    def plain(piece: str) -> tuple[str, str]:
+        """A piece as a lower-case stem and a mark that the vocabulary always parts from the letter before it."""
+        stem, mark = (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha() else (piece, "")
+        return (stem.lower() if stem.isascii() and "<" not in stem else stem), mark
+
+    def learn(pieces) -> None:
+        parts = {p: plain(p) for p in pieces}
+        new = [x for x in {x for pair in parts.values() for x in pair} if x not in known]
+        for x, ids in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
+            known[x] = np.array(ids.ids, "<u4").tobytes()
+        for p, (stem, mark) in parts.items():
+            known[p] = known[stem] + known[mark]
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
         pieces = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({p for row in pieces for p in row if p not in known})
+        new = set().union(*pieces).difference(known)
         if len(known) + len(new) > CACHED:
             known.clear()
-            new = list({p for row in pieces for p in row})
-        for piece, ids in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            known[piece] = np.array(ids.ids, "<u4").tobytes()
+            known[""] = b""
+            new = set().union(*pieces)
+        learn(new)
         end = np.array([END], "<u4").tobytes()
         return [np.frombuffer(b"".join([*map(known.__getitem__, row), end]), "<u4") for row in pieces]
 
@@ -131,53 +147,33 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, parts: int) -> None
     dealt.mapInArrow(run, SCHEMA).write.parquet(path)
 
 
-def _crc_shift(crc: int, length: int) -> int:
-    """The crc32 of ``length`` zero bytes continued from ``crc``, less their own: moves a part's crc in front of what follows."""
-
-    def times(matrix, vector):
-        out = 0
-        for row in matrix:
-            if vector & 1:
-                out ^= row
-            vector >>= 1
-        return out
-
-    matrix = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-    for _ in range(3):  # one zero byte
-        matrix = [times(matrix, row) for row in matrix]
-    while length:
-        if length & 1:
-            crc = times(matrix, crc)
-        length >>= 1
-        if length:
-            matrix = [times(matrix, row) for row in matrix]
-    return crc
-
-
-def join_crcs(crcs, lengths) -> int:
-    """crc32 of the parts' concatenation from the parts' own."""
-    out = 0
-    for crc, n in zip(crcs, lengths, strict=True):
-        out = (_shift(out, int(n)) if out else 0) ^ int(crc)
+def _times(matrix: np.ndarray, crcs: np.ndarray) -> np.ndarray:
+    """The 32 by 32 bit matrix (a column per bit) times each crc."""
+    out = np.zeros_like(crcs)
+    for bit in range(32):
+        out ^= np.where((crcs >> np.uint32(bit)) & np.uint32(1), matrix[bit], np.uint32(0))
     return out
 
 
-_tables: dict[int, list[int]] = {}
+def _zero_bytes() -> list[np.ndarray]:
+    """Matrices that append 1, 2, 4 ... zero bytes to what a crc has read."""
+    one_bit = np.array([0xEDB88320, *(1 << i for i in range(31))], np.uint32)
+    out = [one_bit]
+    for _ in range(3 + 40):
+        out.append(_times(out[-1], out[-1]))
+    return out[3:]
 
 
-def _shift(crc: int, length: int) -> int:
-    table = _tables.get(length)
-    if table is None:
-        table = [_crc_shift(1 << i, length) for i in range(32)]
-        if len(_tables) < 4096:
-            _tables[length] = table
-    out, i = 0, 0
-    while crc:
-        if crc & 1:
-            out ^= table[i]
-        crc >>= 1
-        i += 1
-    return out
+def join_crcs(crcs: list[list[int]], lengths: list[list[int]]) -> np.ndarray:
+    """For each row, the crc32 of its parts' concatenation from the parts' own and their byte lengths."""
+    zeros, out = _zero_bytes(), np.array([c[0] for c in crcs], np.uint32)
+    for j in range(1, max(map(len, crcs), default=0)):
+        rows = np.array([i for i, c in enumerate(crcs) if len(c) > j])
+        length, moved = np.array([lengths[i][j] for i in rows], np.int64), out[rows]
+        for k in range(int(length.max()).bit_length()):
+            moved = np.where((length >> k) & 1, _times(zeros[k], moved), moved)
+        out[rows] = moved ^ np.array([crcs[i][j] for i in rows], np.uint32)
+    return out.astype(np.int64)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -201,7 +197,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     @F.pandas_udf("long")
     def joined(parts: pd.Series) -> pd.Series:
-        return pd.Series([p[0]["crc"] if len(p) == 1 else join_crcs([x["crc"] for x in p], [4 * x["length"] for x in p]) for p in parts], dtype="int64")
+        return pd.Series(join_crcs([[x["crc"] for x in p] for p in parts], [[4 * x["length"] for x in p] for p in parts]))
 
     pieces = blocks.mapInArrow(decode, "shard int, begin long, doc_id long, block int, length int, crc long")
     texts = pieces.groupBy("shard", "begin").agg(F.first("doc_id").alias("doc_id"), F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("block", "length", "crc"))).alias("parts"))
