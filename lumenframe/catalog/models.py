@@ -154,6 +154,14 @@ query("ml6_linear_one_feature", f"""WITH {_OLS}, p AS (SELECT l_extendedprice AS
   SELECT round(1 - mse / v, 8) AS r2, round(mae, 4) AS mae, round(sqrt(mse), 4) AS rmse FROM s""")(
     lambda t: ml.regression_metrics(line(t).transform(priced(t)), ml.LABEL, "prediction").select(*[F.round(c, d).alias(c) for c, d in (("r2", 8), ("mae", 4), ("rmse", 4))])
 )
+# penalised slopes of one feature: soft threshold of the covariance over the variance and the squared part's weight
+for _m, _cut, _square in (("ridge", "0", "1.0 / n"), ("lasso", "1.0", "0"), ("elastic_net", "0.5", "0.5")):
+    query(f"ml6_{_m}_one_feature", f"""WITH s AS (SELECT covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v, count(*) AS n FROM lineitem)
+  SELECT round(sign(c) * greatest(abs(c) - {_cut}, 0) / (v + {_square}), 3) AS slope FROM s""")(
+        lambda t, _m=_m: t.spark.createDataFrame(
+            [(float(ml.train(priced(t), ["l_quantity"], "l_extendedprice", _m, {"tol": 1e-10, "maxIter": 500}, "regression").stages[-1].coefficients[0]),)], "slope double"
+        ).select(F.round("slope", 3).alias("slope"))
+    )
 query("ml24_actual_vs_predicted_one_feature", f"WITH {_OLS} SELECT l_quantity, l_extendedprice AS actual, round(a + b * l_quantity, 4) AS predicted FROM lineitem, m")(
     lambda t: rounded(ml.actual_vs_predicted(line(t), priced(t), "l_extendedprice", "l_quantity"), 4)
 )

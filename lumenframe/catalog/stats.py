@@ -40,8 +40,9 @@ query("src3_read_csv_encoded", "SELECT doc_id AS doc_id, left(regexp_extract(tex
         lambda s, p: readers.read_csv_encoded(s, p),
     ).select(F.col("doc_id").cast("long"), "word")
 )
-query("src4_read_sampled")(
-    lambda t: readers.read_sampled(t.spark, f"{t.folder}/lineitem.parquet", 0.1, threshold=1000)
+query("src4_read_sampled", """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+  WHERE CAST('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber), 1, 8) AS BIGINT) / 4294967296.0 < 0.1""")(
+    lambda t: readers.read_sampled(t.spark, f"{t.folder}/lineitem.parquet", 0.1, key=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_quantity")
 )
 query("src5_text_lines", "SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda l: trim(l, ' ') <> '')) AS text FROM documents")(
     lambda t: readers.text_lines(t.documents, "text", ["doc_id"])
@@ -110,7 +111,7 @@ query("sql2_build_query", """SELECT o_orderpriority, count(o_orderkey) AS count_
     lambda t: rounded(sqltables.build_query({"orders": t.orders}, {
         "table": "orders", "filters": [("o_totalprice", ">", 1000), ("o_orderstatus", "IN", ["F", "O"])],
         "aggregates": [("COUNT", "o_orderkey"), ("SUM", "o_totalprice")], "group_by": ["o_orderpriority"],
-        "order_by": ("o_orderpriority", "ASC")}), 2)
+        "order_by": ("o_orderpriority", "ASC"), "limit": 1000}), 2)
 )
 _FILTERS = [("c_acctbal", ">", 0), ("c_acctbal", "<=", 9000), ("c_acctbal", "!=", 5), ("c_name", "LIKE", "Customer#%1%"), ("c_mktsegment", "IN", ["BUILDING", "MACHINERY"]),
             ("c_nationkey", "BETWEEN", (2, 20)), ("c_custkey", "IS NOT NULL"), ("c_nationkey", ">=", 3), ("c_nationkey", "<", 20)]
@@ -127,7 +128,7 @@ query("sql4_aggregates", """SELECT l_returnflag, count(l_quantity) AS count_l_qu
         "aggregates": [(f, "l_quantity") for f in ("COUNT", "SUM", "AVG", "MIN", "MAX", "STDDEV", "VARIANCE")]}))
 )
 query("sql5_order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 1000")(
-    lambda t: sqltables.build_query({"o": t.orders}, {"table": "o", "columns": ["o_orderkey", "o_totalprice"], "order_by": ("o_orderkey", "DESC")})
+    lambda t: sqltables.build_query({"o": t.orders}, {"table": "o", "columns": ["o_orderkey", "o_totalprice"], "order_by": ("o_orderkey", "DESC"), "limit": 1000})
 )
 for _how in ("INNER", "LEFT", "RIGHT", "FULL"):
     query(f"sql6_join_{_how.lower()}", f"""SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, c_name FROM (SELECT * FROM orders WHERE o_totalprice > 100000) o
@@ -262,7 +263,10 @@ query("viz2_kde", """WITH s AS (SELECT count(*) AS n, min(p_retailprice) AS lo,
   g AS (SELECT CAST(range AS INTEGER) AS point FROM range(100))
   SELECT point, round(lo + point * (hi - lo) / 99, 6) AS x, round(sum(exp(-0.5 * pow((p_retailprice - (lo + point * (hi - lo) / 99)) / h, 2))) / (n * h * sqrt(2 * pi())) * n * (hi - lo) / 50, 6) AS y
   FROM part, s, g GROUP BY point, lo, hi, n, h""")(lambda t: rounded(charts.kde(t.part, "p_retailprice"), 6))
-query("viz3_qq_points")(lambda t: charts.qq_points(t.lineitem, "l_extendedprice"))
+query("viz3_qq_points", """WITH r AS (SELECT CAST(l_extendedprice AS DOUBLE) AS value, row_number() OVER (ORDER BY l_extendedprice) AS i, count(*) OVER () AS n FROM lineitem)
+  SELECT value, round(CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END, 9) AS position FROM r""")(
+    lambda t: charts.qq_points(t.lineitem, "l_extendedprice").select("value", F.round("position", 9).alias("position"))
+)
 query("viz4_box_stats", " UNION ALL ".join(f"""SELECT '{c}' AS "column", min({c}) AS min, round(any_value(q1), 6) AS q1, round(any_value(q2), 6) AS median, round(any_value(q3), 6) AS q3, max({c}) AS max, round(avg({c}), 6) AS mean,
   min({c}) FILTER ({c} >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max({c}) FILTER ({c} <= q3 + 1.5 * (q3 - q1)) AS whisker_high
   FROM {tab}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3 FROM {tab})""" for tab, c in (("events", "value"),)))(

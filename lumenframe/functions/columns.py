@@ -59,3 +59,10 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """One projection that swaps the named columns and keeps the order of the others."""
     return df.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
+
+
+def unit_draw(key, seed: int = 42) -> Column:
+    """Repeatable number in [0, 1) per key, the same on any engine: the first 32 bits of an MD5."""
+    keys = [key] if isinstance(key, str) else list(key)
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))

@@ -51,23 +51,20 @@ def kde(df: DataFrame, column: str, points: int = 100, bins: int = 50) -> DataFr
     return mass.select("point", (F.lit(lo) + F.col("point") * step).alias("x"), (F.col("mass") * factor).alias("y"))
 
 
-def qq_points(df: DataFrame, column: str, max_points: int = 10_000) -> DataFrame:
-    """Ordered values against normal quantiles at Filliben's medians.
+def qq_points(df: DataFrame, column: str, step: int | None = None) -> DataFrame:
+    """Every ordered value (``value``) with its median position (``position``, Filliben) and normal quantile (``theoretical``).
 
-    Above ``max_points`` rows a quantile grid of that many points over all rows is returned.
+    ``step`` thins the points for drawing: every step-th one, and both ends always.
     """
     known = df.filter(col(column).isNotNull()).select(col(column).cast("double").alias("value"))
     placed = with_position(known, "value", name="i")
     n = known.count()
-    if n > max_points:
-        step = n / max_points
-        placed = placed.filter(F.floor(F.col("i") / step) != F.floor((F.col("i") - 1) / step))
     i = F.col("i") + 1
+    if step:
+        placed = placed.filter((F.col("i") % step == 0) | (i == n))
     ends = 0.5 ** (1.0 / max(n, 1))
-    p = (
-        F.when(i == 1, F.lit(1 - ends)).when(i == n, F.lit(ends)).otherwise((i - 0.3175) / F.lit(n + 0.365))
-    )
-    return placed.select(normal_score(p).alias("theoretical"), "value")
+    p = F.when(i == n, F.lit(ends)).when(i == 1, F.lit(1 - ends)).otherwise((i - 0.3175) / F.lit(n + 0.365))
+    return placed.select(normal_score(p).alias("theoretical"), "value", p.alias("position"))
 
 
 def box_stats(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:

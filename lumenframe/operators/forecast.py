@@ -144,9 +144,9 @@ def arima(y: np.ndarray, horizon: int, order=(1, 1, 1), seasonal=(0, 0, 0), peri
     for k in steps:
         levels.append((k, x[-k:].copy()))
         x = x[k:] - x[:-k]
-    ar = list(range(1, p + 1)) + [period * i for i in range(1, sp + 1)]
-    ma = list(range(1, q + 1)) + [period * i for i in range(1, sq + 1)]
-    ar, ma = sorted(set(ar)), sorted(set(ma))
+    # the lags of the product of the plain and the seasonal polynomial; each has a coefficient of its own
+    ar = sorted({i + period * j for i in range(p + 1) for j in range(sp + 1)} - {0})
+    ma = sorted({i + period * j for i in range(q + 1) for j in range(sq + 1)} - {0})
     long = min(max(10, max(ar + ma, default=0) + 2), max(1, len(x) // 4))
     top = max(ar + ma + [0])
     if len(x) < 2 * (len(ar) + len(ma)) + top + long + 3:

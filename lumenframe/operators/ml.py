@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.functions.columns import classify_columns, col, numeric_columns
+from lumenframe.functions.columns import classify_columns, col, numeric_columns, unit_draw
 from lumenframe.operators.clean import modes
 from lumenframe.plans.joins import lookup, match
 from lumenframe.plans.onepass import one_row
@@ -81,12 +81,6 @@ def recommend_models(df: DataFrame, target: str) -> DataFrame:
 
 # ---- split, weights, preparation -------------------------------------------------------------
 
-def unit_draw(key, seed: int = 42) -> Column:
-    """Repeatable number in [0, 1) per key, the same on any engine: the first 32 bits of an MD5."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in as_list(key)])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-
-
 def split(df: DataFrame, key, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``part``: 'train' or 'test' by the key alone, so it never changes between runs or executors."""
     return df.withColumn("part", F.when(unit_draw(key, seed) < 1.0 - test, "train").otherwise("test"))
@@ -175,9 +169,9 @@ def count_encode(df: DataFrame, column: str) -> DataFrame:
 _TREES = {"seed": 42}
 _MODELS = {
     ("linear", "regression"): (R.LinearRegression, {}),
-    ("ridge", "regression"): (R.LinearRegression, {"regParam": 1.0, "elasticNetParam": 0.0}),
-    ("lasso", "regression"): (R.LinearRegression, {"regParam": 1.0, "elasticNetParam": 1.0}),
-    ("elastic_net", "regression"): (R.LinearRegression, {"regParam": 1.0, "elasticNetParam": 0.5}),
+    ("ridge", "regression"): (R.LinearRegression, {"alpha": 1.0}),
+    ("lasso", "regression"): (R.LinearRegression, {"alpha": 1.0}),
+    ("elastic_net", "regression"): (R.LinearRegression, {"alpha": 1.0, "l1_ratio": 0.5}),
     ("decision_tree", "regression"): (R.DecisionTreeRegressor, _TREES),
     ("random_forest", "regression"): (R.RandomForestRegressor, _TREES),
     ("gradient_boosting", "regression"): (R.GBTRegressor, _TREES),
@@ -199,7 +193,7 @@ def model_names(problem: str) -> list[str]:
 
 def _estimator(model: str, problem: str, params: Mapping, classes: int, width: int, weight: str | None):
     cls, defaults = _MODELS[(model, problem)]
-    options = {**defaults, **params}
+    options = {k: v for k, v in {**defaults, **params}.items() if k not in ("alpha", "l1_ratio")}
     if model == "neural_net":
         options["layers"] = [width, *options.pop("hidden", [16]), classes]
     est = cls(featuresCol="features", labelCol=LABEL, **options)
@@ -211,6 +205,21 @@ def _estimator(model: str, problem: str, params: Mapping, classes: int, width: i
     return est
 
 
+def _penalty(df: DataFrame, target: str, model: str, params: Mapping) -> dict:
+    """Spark's parameters for the usual objectives on features as they are:
+
+    ridge |y - Xb|^2 + alpha |b|^2; lasso |y - Xb|^2 / 2n + alpha |b|_1; elastic net with both, alpha l1_ratio |b|_1 and
+    alpha (1 - l1_ratio) / 2 |b|^2. Spark divides the label, and with it the squared part's weight, by its deviation.
+    """
+    given = {**_MODELS[(model, "regression")][1], **params}
+    alpha, ratio = given.pop("alpha"), given.pop("l1_ratio", 1.0 if model == "lasso" else 0.0)
+    seen = df.agg(F.stddev_samp(col(target)).alias("sd"), F.count(col(target)).alias("n")).first()
+    sd = seen["sd"] or 1.0
+    squared = alpha * sd / max(seen["n"], 1) if model == "ridge" else alpha * (1 - ratio) * sd
+    whole = alpha * ratio + squared
+    return {**given, "regParam": whole, "elasticNetParam": alpha * ratio / whole if whole else 0.0, "standardization": False}
+
+
 def train(
     df: DataFrame, features: Sequence[str], target: str, model: str, params: Mapping | None = None,
     problem: str | None = None, weight: str | None = None, early_stop: str | None = None,
@@ -227,7 +236,8 @@ def train(
     else:
         classes = 0
         stages.append(SQLTransformer(statement=f"SELECT *, CAST(`{target}` AS DOUBLE) AS {LABEL} FROM __THIS__"))
-    est = _estimator(model, problem, params or {}, classes, len(features), weight)
+    params = _penalty(known, target, model, params or {}) if model in ("ridge", "lasso", "elastic_net") else params or {}
+    est = _estimator(model, problem, params, classes, len(features), weight)
     if early_stop and model == "gradient_boosting" and not isinstance(est, C.OneVsRest):
         est.setValidationIndicatorCol(early_stop)
     stages.append(est)
@@ -302,10 +312,11 @@ def knn(
     returns k candidates per query row, and the k best of all candidates are taken.
     """
     x = col(features).cast("array<double>") if isinstance(features, str) else F.array(*[col(c).cast("double") for c in features])
-    t = train_df.select(col(key).cast("long").alias("tid"), x.alias("x"), col(target).cast("double").alias("label"))
+    kind = "string" if dict(train_df.dtypes)[target] == "string" else "double"
+    t = train_df.select(col(key).cast("long").alias("tid"), x.alias("x"), col(target).cast(kind).alias("label"))
     q = query_df.select(col(key).cast("long").alias("qid"), x.alias("x"))
     n_query = q.count()
-    schema = "qid long, tid long, d double, label double"
+    schema = f"qid long, tid long, d double, label {kind}"
     if n_query <= block:
         rows = q.collect()  # at most `block` rows
         ids, points = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)
@@ -339,7 +350,7 @@ def knn(
     if problem == "regression":
         return top.groupBy(F.col("qid").alias(key)).agg(F.avg("label").alias("prediction"))
     votes = top.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy(F.col("qid").alias(key)).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("prediction"))
+    return votes.groupBy(F.col("qid").alias(key)).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("prediction"))
 
 
 # ---- metrics -------------------------------------------------------------------------------

@@ -69,10 +69,11 @@ def profile_columns(df: DataFrame, cols=None, samples: int = 5, exact: bool = Tr
 
 
 def describe_all(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
-    """Numeric: count, mean, std, min, quartiles, max. Categorical: count, unique, top, freq."""
+    """Numeric: count, mean, std, min, quartiles, max. All others: count, unique, top, freq."""
     kinds = classify_columns(df.select(*[col(c) for c in all_columns(df, cols)]))
     parts = []
-    numbers, texts = kinds["numeric"], kinds["categorical"]
+    numbers = kinds["numeric"]
+    texts = [c for c in all_columns(df, cols) if c not in numbers]
     absent = lambda t: F.lit(None).cast(t)
     if numbers:
         q = quantiles(df, numbers, [0.25, 0.5, 0.75], exact)
@@ -114,6 +115,8 @@ def describe_all(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
                 "freq",
             )
         )
+    if not parts:
+        raise ValueError("a table without columns cannot be described")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

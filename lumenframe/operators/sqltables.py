@@ -71,7 +71,7 @@ def condition(filters: Sequence[tuple]) -> Column:
 
 
 def build_query(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
-    """``spec`` keys: table, joins, filters, columns, aggregates, group_by, order_by, limit (default 1000)."""
+    """``spec`` keys: table, joins, filters, columns, aggregates, group_by, order_by, limit (default none)."""
     df = tables[spec["table"]]
     for j in spec.get("joins") or []:
         df = join_tables(df, tables[j["table"]], j["left"], j["right"], j.get("how", "inner"), j.get("term"))
@@ -84,8 +84,7 @@ def build_query(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
         df = df.select(*[col(c) for c in spec["columns"]])
     for c, direction in [spec["order_by"]] if spec.get("order_by") else []:
         df = df.orderBy(col(c).desc() if direction.upper() == "DESC" else col(c).asc())
-    limit = spec.get("limit", 1000)
-    return df.limit(limit) if limit is not None else df
+    return df.limit(spec["limit"]) if spec.get("limit") is not None else df
 
 
 _HOW = {"INNER": "inner", "LEFT": "left", "RIGHT": "right", "FULL": "full"}

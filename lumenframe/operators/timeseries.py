@@ -392,12 +392,9 @@ def seasonal_decompose(s: DataFrame, model: str = "additive", period: int = 12,
 
 # ---- thinning and splitting ----------------------------------------------------------------
 
-def every_nth(s: DataFrame, step: int | None = None, max_points: int = 10_000, order=ORDER, **sizes) -> DataFrame:
-    """Every step-th row; without a step, the step that leaves about ``max_points`` rows."""
-    if step is None:
-        n = s.count()
-        step = max(1, n // min(max_points, n)) if n else 1
-    return with_position(s, order, name="_p", **sizes).filter(F.col("_p") % step == 0).drop("_p")
+def every_nth(s: DataFrame, step: int, order=ORDER, key=None, **sizes) -> DataFrame:
+    """Every step-th row, of every series if ``key`` is given."""
+    return with_position(s, order, as_list(key), name="_p", **sizes).filter(F.col("_p") % step == 0).drop("_p")
 
 
 def train_test_by_time(s: DataFrame, test: float = 0.2, key=None, order=ORDER, **sizes) -> DataFrame:

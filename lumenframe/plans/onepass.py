@@ -48,10 +48,12 @@ def long_aggregate(
 def value_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Unpivot to (column, value, number); ``number`` orders numeric columns as numbers."""
     numeric = set(classify_columns(df)["numeric"])
+    floats = {c for c, kind in df.dtypes if kind in ("double", "float")}
+    plain = lambda c: col(c) + 0.0 if c in floats else col(c)  # noqa: E731  -0.0 becomes 0.0
     cells = [
         F.struct(
             F.lit(c).alias("column"),
-            col(c).cast("string").alias("value"),
+            plain(c).cast("string").alias("value"),
             (col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"),
         )
         for c in cols

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SPLIT_BYTES = 128 * 1024 * 1024
+SMALL_BYTES = 1 << 30
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input to every core in front of an expensive step.
 
-    A file with one row group is read by one task however many cores there are. Only an input that
-    Catalyst estimates below one full split per core is dealt out; anything larger has splits enough
-    and is left alone, so no large table is ever shuffled for this.
+    A file with one row group is read by one task however many cores there are. Only an input that Catalyst estimates
+    below ``SMALL_BYTES`` is dealt out, whatever the number of cores; a larger one has splits enough and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < cores * SPLIT_BYTES else df
+    return df.repartition(cores) if estimate < SMALL_BYTES else df

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions.columns import col, nan_to_null
+from lumenframe.functions.columns import col, nan_to_null, unit_draw
 from lumenframe.operators.schema import table_name
 
 
@@ -47,12 +47,9 @@ def _csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return nan_to_null(spark.read.option("header", True).option("inferSchema", True).option("encoding", encoding).csv(path))
 
 
-def read_sampled(
-    spark: SparkSession, path: str, fraction: float, seed: int = 42, threshold: int = 100_000, format: str | None = None
-) -> DataFrame:
-    """A seeded sample of a table above ``threshold`` rows, the whole table otherwise."""
-    df = read_table(spark, path, format)
-    return df.sample(fraction, seed) if df.count() > threshold else df
+def read_sampled(spark: SparkSession, path: str, fraction: float, key: str | Sequence[str], seed: int = 42, format: str | None = None) -> DataFrame:
+    """The rows whose draw by ``key`` is below ``fraction``: the same rows in every run and on any number of executors."""
+    return read_table(spark, path, format).where(unit_draw(key, seed) < fraction)
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:

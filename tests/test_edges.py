@@ -287,3 +287,82 @@ def test_multiclass_boosting_and_svm_fit(spark):
     for name in ("gradient_boosting", "svm"):
         m = ml.train(df, ["x"], "c", name, {"maxIter": 3})
         assert set(r.predicted for r in ml.predict(m, df).select("predicted").distinct().collect()) <= {"0", "1", "2"}
+
+
+# --- results keep every row, whatever the size
+
+
+def test_qq_points_keep_every_row_and_both_ends(spark):
+    from lumenframe.operators.charts import qq_points
+
+    df = spark.range(25_001).selectExpr("cast(id as double) as v")
+    got = qq_points(df, "v")
+    assert got.count() == 25_001 and got.agg({"value": "max"}).first()[0] == 25_000.0
+    thin = sorted(r.value for r in qq_points(df, "v", step=1000).collect())
+    assert thin[0] == 0.0 and thin[-1] == 25_000.0 and len(thin) == 26
+
+
+def test_build_query_has_no_limit_of_its_own(spark):
+    from lumenframe.operators.sqltables import build_query
+
+    assert build_query({"t": spark.range(1500).toDF("x")}, {"table": "t", "columns": ["x"]}).count() == 1500
+
+
+def test_every_nth_within_series(spark):
+    from lumenframe.operators.timeseries import every_nth
+
+    df = spark.createDataFrame([(k, i) for k in "ab" for i in range(10)], "k string, ts int")
+    assert sorted(map(tuple, every_nth(df, 4, order=["ts"], key="k").collect())) == [(k, i) for k in "ab" for i in (0, 4, 8)]
+
+
+def test_describe_all_of_dates_only(spark):
+    from lumenframe.operators.profile import describe_all
+
+    df = spark.sql("SELECT DATE '2024-01-01' AS d UNION ALL SELECT DATE '2024-01-01' UNION ALL SELECT NULL")
+    assert [(r["column"], r["count"], r["unique"], r["top"], r["freq"]) for r in describe_all(df).collect()] == [("d", 2, 1, "2024-01-01", 2)]
+
+
+def test_negative_zero_is_zero(spark):
+    from lumenframe.operators.profile import profile_columns
+
+    df = spark.sql("SELECT 0.0D AS v UNION ALL SELECT -0.0D")
+    assert [r["unique"] for r in profile_columns(df).collect()] == [1]
+
+
+def test_knn_votes_on_text_labels(spark):
+    from lumenframe.operators.ml import knn
+
+    rows = spark.createDataFrame([(i, float(i), "low" if i < 5 else "high") for i in range(10)], "id long, x double, label string")
+    asked = spark.createDataFrame([(100, 0.4), (101, 8.6)], "id long, x double")
+    assert dict(map(tuple, knn(rows, asked, ["x"], "label", "id", k=3).collect())) == {100: "low", 101: "high"}
+    assert dict(map(tuple, knn(rows, asked, ["x"], "label", "id", k=3, block=1, tile=4).collect())) == {100: "low", 101: "high"}
+
+
+def test_seasonal_models_use_the_product_lags():
+    import numpy as np
+
+    from lumenframe.operators.forecast import arima
+
+    rng = np.random.default_rng(0)
+    y = np.zeros(900)
+    for t in range(13, 900):
+        y[t] = 0.7 * y[t - 1] + 0.6 * y[t - 12] - 0.42 * y[t - 13] + rng.normal()
+    got = arima(y, 1, (1, 0, 0), (1, 0, 0), 12)[0]
+    assert abs(got - (0.7 * y[-1] + 0.6 * y[-12] - 0.42 * y[-13])) < 0.4
+
+
+def test_package_functions_run_where_the_package_is_not(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from lumenframe.session import local_session
+from lumenframe.operators.text import summarize
+s = local_session(cores=2, app="elsewhere")
+df = s.createDataFrame([(i, "One thing. Another thing here. A third thing here.") for i in range(3)], "id int, t string")
+print("ROWS", len(summarize(df, "id", "t", 1).collect()))
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS 3" in out.stdout, out.stderr[-2000:]
