@@ -95,7 +95,7 @@ query("tx12_dominant_topic")(lambda t: tx.dominant_topic(tx.topics(t.documents,
 query("tx13_topics_nmf")(lambda t: tx.topics(t.documents, "doc_id", "text", 4, "nmf", iterations=5)[0])
 query("tx14_summarize")(lambda t: tx.summarize(t.documents, "doc_id", "text"))
 query("tx15_cluster_text")(lambda t: tx.cluster_sizes(tx.cluster_text(t.documents, "doc_id", "text")))
-query("tx15_cluster_map")(lambda t: tx.cluster_map(tx.cluster_text(t.documents, "doc_id", "text", vocabulary=200), "doc_id"))
+query("tx15_cluster_map")(lambda t: tx.cluster_map(tx.cluster_text(t.documents, "doc_id", "text", width=1024), "doc_id"))
 query("tx16_cluster_vectors")(lambda t: tx.cluster_sizes(tx.cluster_vectors(t.embeddings, "vec_id", "embedding")))
 query("tx17_search_text", "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'tion the')")(
     lambda t: tx.search_text(t.documents, "text", "Tion THE").select("doc_id", "lang")

@@ -6,10 +6,10 @@ import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -266,8 +266,9 @@ def tfidf(
     return weighed.select(col(key), "term", "tf", (F.col("_w") / length).alias("weight"))
 
 
-def _vectorizer(min_df=2, max_df=0.95, vocabulary=1 << 18) -> CountVectorizer:
-    return CountVectorizer(inputCol="terms", outputCol="counts", minDF=min_df, maxDF=max_df, vocabSize=vocabulary)
+def _vectorizer(min_df=2, max_df=0.95) -> CountVectorizer:
+    """Counts of every term in the bounds. The vocabulary is part of a topic model and lies on the driver, as its topics do."""
+    return CountVectorizer(inputCol="terms", outputCol="counts", minDF=min_df, maxDF=max_df, vocabSize=(1 << 31) - 1)
 
 
 def topics(
@@ -298,6 +299,8 @@ def topics(
         return words_, shares
     if method != "nmf":
         raise ValueError(f"unknown topic method {method!r}")
+    if df.count() >= 1 << 31:
+        raise ValueError("the factorisation numbers texts with 31 bits")
     weights = materialize(tfidf(df, key, column, stopwords=stopwords))  # read by every iteration's set-up
     term_ids = with_position(weights.select("term").distinct(), "term", name="_tid")
     text_ids = with_position(weights.select(col(key)).distinct(), key, name="_did")
@@ -332,16 +335,17 @@ def summarize(df: DataFrame, key: str, column: str, sentences: int = 3) -> DataF
 
 
 def cluster_text(
-    df: DataFrame, key: str, column: str, k: int = 5, vocabulary: int = 5000, seed: int = 42, stopwords: Sequence[str] | None = ()
+    df: DataFrame, key: str, column: str, k: int = 5, width: int = 1 << 18, seed: int = 42, stopwords: Sequence[str] | None = ()
 ) -> DataFrame:
-    """(key, cluster, features) by k-means on tf-idf vectors."""
-    terms = _terms(df, key, column, stopwords)
-    stages = [
-        _vectorizer(1, 1e9, vocabulary),
-        IDF(inputCol="counts", outputCol="features"),
-        KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster"),
-    ]
-    return Pipeline(stages=stages).fit(terms).transform(terms).select(col(key), "cluster", "features")
+    """(key, cluster, features) by k-means on tf-idf vectors of length one, the weights of ``tfidf``.
+
+    All terms count; each goes to one of ``width`` places by its hash, so no vocabulary is collected.
+    """
+    counted = HashingTF(numFeatures=width, inputCol="terms", outputCol="counts").transform(_terms(df, key, column, stopwords))
+    idf = IDF(inputCol="counts", outputCol="_idf").fit(counted)
+    weighed = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="counts", outputCol="_weights").transform(counted)
+    unit = Normalizer(inputCol="_weights", outputCol="features").transform(weighed).select(col(key), "features")
+    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(unit).transform(unit).select(col(key), "cluster", "features")
 
 
 def cluster_vectors(df: DataFrame, key: str, column: str, k: int = 5, seed: int = 42) -> DataFrame:

@@ -366,3 +366,17 @@ print("ROWS", len(summarize(df, "id", "t", 1).collect()))
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "ROWS 3" in out.stdout, out.stderr[-2000:]
+
+
+def test_text_clusters_are_those_of_unit_tfidf_vectors(spark):
+    from lumenframe.operators.text import cluster_text, tfidf
+
+    rows = spark.createDataFrame([(1, "apple pie apple"), (2, "apple pie"), (3, "rocket engine"), (4, "rocket engine fuel")], "id long, t string")
+    got = cluster_text(rows, "id", "t", k=2).collect()
+    by = {r.id: r.cluster for r in got}
+    assert by[1] == by[2] != by[3] == by[4]
+    want = {}
+    for r in tfidf(rows, "id", "t", min_df=1, max_df=1.0, stopwords=()).collect():
+        want.setdefault(r.id, []).append(r.weight)
+    for r in got:
+        assert sorted(r.features.values) == pytest.approx(sorted(want[r.id]))
