@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import col, numeric_columns
@@ -13,6 +13,7 @@ from lumenframe.plans.onepass import long_aggregate, one_row
 from lumenframe.plans.ordering import over_series
 from lumenframe.plans.quantiles import exact_quantiles
 from lumenframe.plans.spread import spread
+from lumenframe.plans.storage import materialize
 
 
 def _rules(df: DataFrame, method: str, cols, threshold, exact=True) -> dict[str, tuple[Column, float | None, float | None]]:
@@ -117,28 +118,39 @@ def _expected_path(n: int) -> float:
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def isolation_forest(df: DataFrame, cols=None, contamination: float = 0.05, key=None, seed: int = 42) -> DataFrame:
+def isolation_forest(
+    df: DataFrame, cols=None, contamination: float = 0.05, key=None, seed: int = 42, trees: int = TREES, tree_rows: int = TREE_ROWS
+) -> DataFrame:
     """Adds ``score`` and ``anomaly``; the share ``contamination`` with the highest scores is flagged.
 
-    Every tree of an isolation forest is grown on a few hundred rows, so the sample that reaches the
-    driver is bounded by TREES x TREE_ROWS whatever the table. Scoring runs on the executors.
+    Each of ``trees`` trees has its own sample of ``tree_rows`` rows, drawn by a hash of ``key`` from all complete rows,
+    and is grown by a task of its own. What reaches the driver are the trees, at most ``2 * trees * tree_rows`` nodes.
+    Scores are written down once and then read for the cut and the result.
     """
     cols = numeric_columns(df, cols)
     keys = [key] if isinstance(key, str) else list(key or cols)
     known = df.dropna("any", subset=cols)
-    pick = known.orderBy(F.xxhash64(F.lit(seed), *[col(k) for k in keys]), *[col(k) for k in keys])
-    sample = pick.select(*[col(c).cast("double") for c in cols]).limit(TREES * TREE_ROWS).collect()
-    data = np.array([tuple(r) for r in sample], dtype=float).reshape(-1, len(cols))
-    if not len(data):
+    n = known.count()
+    if not n:
         return df.select("*", F.lit(None).cast("double").alias("score"), F.lit(False).alias("anomaly"))
-    rng = np.random.default_rng(seed)
-    size = min(TREE_ROWS, len(data))
+    size = min(tree_rows, n)
     depth = int(np.ceil(np.log2(max(size, 2))))
+    # about twice the rows that a tree needs, then the first of them
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(t, F.lit(seed), *[col(k) for k in keys]), F.lit(n)) < 2 * tree_rows)
+    values = F.array(*[col(c).cast("double") for c in cols])
+    drawn = known.select(F.explode(drawn).alias("tree"), values.alias("x"), F.xxhash64(F.lit(seed + 1), *[col(k) for k in keys]).alias("h"))
+    first = Window.partitionBy("tree").orderBy("h", "x")
+    drawn = drawn.withColumn("r", F.row_number().over(first)).where(F.col("r") <= tree_rows).select("tree", "x")
+
+    def grown(part: pd.DataFrame) -> pd.DataFrame:
+        tree, nodes = int(part["tree"].iloc[0]), []
+        rows = np.stack(part["x"])
+        _grow(rows[np.lexsort(rows.T[::-1])], np.random.default_rng([seed, tree]), 0, depth, nodes)
+        return pd.DataFrame({"tree": [tree], "nodes": [np.array(nodes, dtype=float).ravel().tolist()]})
+
     forest = []
-    for _ in range(TREES):
-        nodes: list = []
-        _grow(data[rng.choice(len(data), size, replace=False)], rng, 0, depth, nodes)
-        feature, cut, length, left, right = np.array(nodes, dtype=float).T
+    for r in drawn.groupBy("tree").applyInPandas(grown, "tree int, nodes array<double>").orderBy("tree").collect():
+        feature, cut, length, left, right = np.array(r["nodes"]).reshape(-1, 5).T
         forest.append((feature.astype(int), cut, length, left.astype(int), right.astype(int)))
     scale = _expected_path(size) or 1.0
 
@@ -156,6 +168,6 @@ def isolation_forest(df: DataFrame, cols=None, contamination: float = 0.05, key=
     complete = F.lit(True)
     for c in cols:
         complete = complete & col(c).isNotNull()
-    scored = spread(df).withColumn("score", F.when(complete, score(F.struct(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]))))
+    scored = materialize(spread(df).withColumn("score", F.when(complete, score(F.struct(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])))))
     cut = exact_quantiles(scored, ["score"], [1 - contamination])["score"][0]
     return scored.withColumn("anomaly", F.coalesce(F.col("score") > F.lit(cut), F.lit(False)))
