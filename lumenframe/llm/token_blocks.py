@@ -12,6 +12,7 @@ length inside the block. A block is decoded without any other, so reading needs
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -66,8 +67,11 @@ def _encoder(tokenizer: str):
     The vocabulary splits at white space and drops it, so a text's ids are those of its pieces one after another;
     the pieces' ids are remembered, for words repeat.
     """
+    from array import array
+
     import tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
     # kept at the library's module, so that the tasks of one worker process share it
     shared = tokenizers.__dict__.setdefault("_lumenframe_pieces", {})
     if tokenizer not in shared:
@@ -83,7 +87,7 @@ def _encoder(tokenizer: str):
         parts = {p: plain(p) for p in pieces}
         new = [x for x in {x for pair in parts.values() for x in pair} if x not in known]
         for x, ids in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            known[x] = np.array(ids.ids, "<u4").tobytes()
+            known[x] = array("I", ids.ids).tobytes()
         for p, (stem, mark) in parts.items():
             known[p] = known[stem] + known[mark]
 
