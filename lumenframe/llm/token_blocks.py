@@ -27,7 +27,8 @@ from lumenframe.plans.storage import shared_folder
 BLOCK = 2048
 PERCENTILE = 90
 END = 1  # the id appended to every text
-CACHED = 1_000_000  # distinct white-space separated pieces whose ids a worker remembers (some 200 MB)
+CACHED = 500_000  # pieces in each of the two generations that a worker remembers (some 200 MB together)
+MARKS = "%*#$&!.,;:?)"
 SCHEMA = (
     "shard int, block int, start long, count int, base long, width int, packed binary, positions binary, values binary, "
     "texts array<struct<doc_id: long, begin: long, offset: int, length: int>>"
@@ -75,16 +76,23 @@ def _encoder(tokenizer: str):
     # kept at the library's module, so that the tasks of one worker process share it
     shared = tokenizers.__dict__.setdefault("_lumenframe_pieces", {})
     if tokenizer not in shared:
-        shared[tokenizer] = (tokenizers.Tokenizer.from_file(tokenizer), {"": b""})
-    tok, known = shared[tokenizer]
+        shared[tokenizer] = (tokenizers.Tokenizer.from_file(tokenizer), {"": b""}, {})
+    tok, known, older = shared[tokenizer]
 
     def plain(piece: str) -> tuple[str, str]:
-        """A piece as a lower-case stem and a mark that the vocabulary always parts from the letter before it."""
-        stem, mark = (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha() else (piece, "")
-        return (stem.lower() if stem.isascii() and "<" not in stem else stem), mark
+        """A piece as a lower-case stem and the marks after it, which the vocabulary always parts from a letter."""
+        stem = piece.rstrip(MARKS)
+        if not stem or not stem[-1].isalpha():
+            stem = piece
+        return (stem.lower() if stem.isascii() and "<" not in stem else stem), piece[len(stem) :]
 
     def learn(pieces) -> None:
-        parts = {p: plain(p) for p in pieces}
+        parts = {}
+        for p in pieces:
+            if (ids := older.get(p)) is not None:
+                known[p] = ids
+            else:
+                parts[p] = plain(p)
         new = [x for x in {x for pair in parts.values() for x in pair} if x not in known]
         for x, ids in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
             known[x] = array("I", ids.ids).tobytes()
@@ -94,7 +102,9 @@ def _encoder(tokenizer: str):
     def encode(texts: list[str | None]) -> list[np.ndarray]:
         pieces = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set().union(*pieces).difference(known)
-        if len(known) + len(new) > CACHED:
+        if len(known) + len(new) > CACHED:  # what is used again soon is taken over from the older generation
+            older.clear()
+            older.update(known)
             known.clear()
             known[""] = b""
             new = set().union(*pieces)

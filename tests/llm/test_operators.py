@@ -291,7 +291,7 @@ def test_token_blocks_by_the_tokenizer_itself(spark, docs, empty, monkeypatch):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary())
-    more = [(100 + i, t, "s", None) for i, t in enumerate([*random_texts(60, 4), "<|endoftext|> a<|startoftext|>b", "don't \x1c x y   z", "é ́a Σας", "12a3 ... !?"])]
+    more = [(100 + i, t, "s", None) for i, t in enumerate([*random_texts(60, 4), "<|endoftext|> a<|startoftext|>b", "don't \x1c x y   z", "é ́a Σας", "12a3 ... !?", "Word%%% word*** ABC!! x.) ?? a&&&.,b é$$$ 5### it's. <b>!! A.B.. é!É"])]
     rows = sorted([*odd_rows(), *more], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want, at = [], 0
     for doc, text, *_ in rows:
