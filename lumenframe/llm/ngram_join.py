@@ -10,7 +10,8 @@ A text's set holds the distinct hashes of its 4-word shingles. Two sets of Jacca
 2. One scan gives every text's set size, set fingerprint and prefix under the first order. Equal sets become one node.
 3. Prefix entries meet by token. Short runs give all their pairs; a pair stays if it shares ``r`` entries. Entries of long
    runs and of heavy tokens form stars around one node, in rounds, and are paired exhaustively only across components
-   that are still apart, and only where what follows the shared token leaves room for the intersection that is needed. A near-copy group of any size costs edges in proportion to its nodes.
+   that are still apart, and only where what follows the shared token, with ``r - 1`` tokens of short runs before it, leaves room for the
+   intersection that is needed. A near-copy group of any size costs edges in proportion to its nodes.
 4. A candidate pair is first bounded by the counts of its sets' tokens in bins, about one for eight tokens: the counts'
    differences sum to at most the symmetric difference. Of the pairs left, the nodes' sets are read again; a pair must share ``r`` prefix tokens
    under each further order, and then have the exact intersection.
@@ -240,12 +241,14 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
             best = labelled.where("node <> center").groupBy("node", "center").count().groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
             new = best.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
         else:
-            # if a token is the first that two sets share, what follows it bounds their intersection; places in
-            # sets of a size are compared before nodes are
+            # if a token is the first of these that two sets share, the shared tokens before it are of short runs and fewer
+            # than ``r`` (else the pair was formed there), so they and what follows the token bound the intersection;
+            # places in sets of a size are compared before nodes are
             places = materialize(labelled.groupBy("token", "n", "pos").agg(F.min("root").alias("low"), F.max("root").alias("high")))
             x, y = places.alias("x"), places.alias("y")
             both = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-            fits = ((100 + percent) * both >= percent * (F.col("x.n") + F.col("y.n"))) & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
+            before = F.floor(F.least("x.n", "y.n") / 50)  # r - 1
+            fits = ((100 + percent) * (both + before) >= percent * (F.col("x.n") + F.col("y.n"))) & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
             meet = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select("x.token", "x.n", "x.pos", F.col("y.n").alias("n2"), F.col("y.pos").alias("pos2"))
             other = labelled.select("token", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("node").alias("node2"), F.col("root").alias("root2"))
             new = labelled.join(meet, ["token", "n", "pos"]).join(other, ["token", "n2", "pos2"]).where("node < node2 and root <> root2")

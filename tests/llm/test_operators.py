@@ -379,6 +379,26 @@ def test_ngram_join_by_brute_force(spark, monkeypatch, size, percent, run):
     assert got == brute_components(rows, size, percent)
 
 
+def common_passage_pairs():
+    """Groups of texts that are nearly all one frequent passage, with few shingles of their own, some of them shared."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"p{j}" for j in range(93)) + f" own{i} " + " ".join(f"x{x}" for x in rng.integers(0, 10**9, 40 + i % 60)), "s", None) for i in range(60)]
+    for i in range(24):
+        # the members of a group share their first shingles before the passage (fewer than r), and end apart
+        shared = " ".join(f"g{i // 2}w{j}" for j in range(1 + i // 2 % 4))
+        rows.append((100 + i, f"{shared} " + " ".join(f"p{j}" for j in range(93)) + "".join(f" e{i}v{j}" for j in range(8 - i // 2 % 3)), "s", None))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_ngram_join_of_texts_of_one_passage_with_a_few_shared_shingles(spark, percent):
+    rows = common_passage_pairs()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(table(spark, rows), 4, percent).collect()}
+    want = brute_components(rows, 4, percent)
+    assert any(want[100 + i][1] != 100 + i for i in range(24))
+    assert got == want
+
+
 def test_ngram_join_of_odd_rows(docs, empty):
     got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect())
     assert len(got) == len(odd_rows())
