@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +136,49 @@ def test_decontamination_by_brute_force(spark):
     assert {p for p, v in best.items() if v >= 0.92} <= got <= {p for p, v in best.items() if v >= 0.8}
 
 
+@pytest.mark.parametrize("percent", [75, 80, 90])
+def test_light_seeds_leave_no_pattern_of_substitutions(percent):
+    block = decontaminate._split(percent)[0]
+    for n in range(5, 2000):
+        k, seen = n * (100 - percent) // 100, [set(x) for x in decontaminate._left_out(n, percent)]
+        assert seen or n // block > k
+        if seen and k <= 3:
+            assert all(any(x.isdisjoint(gone) for x in seen) for gone in combinations(range(n), k))
+
+
+def test_decontamination_down_to_the_bounds(spark):
+    rng = np.random.default_rng(8)
+    items = [[f"i{n}w{j}" for j in range(n)] for n in (*range(5, 32), 50, 77)]
+    rows, want = [], set()
+    for i, item in enumerate(items):
+        for turn in range(12):
+            body, copy, n = ["pad"] * 30, list(item), len(item)
+            changes = n // 5 + turn % 2  # every second text has one substitution too many
+            for j in rng.choice(n, changes, replace=False) if turn % 3 else range(4, n, 5):  # no five equal words in a row
+                copy[j] = "changed"
+            at = (0, 10, 30)[turn // 4]
+            body[at:at] = copy
+            rows.append((100 * i + turn, " ".join(body), "s", None))
+    rows.append((9000, " ".join(items[-1][20:29] + ["changed"] + items[-1][30:38]), "s", None))  # 18 words, one substitution
+    rows.append((9001, " ".join(items[-1][20:29] + ["changed"] + items[-1][30:37]), "s", None))  # 17 words
+    rows.append((9002, " ".join(items[0][1:] + ["pad"] * 4), "s", None))  # begins before the text
+    got = {(r.doc_id, r.item_id): (r.matched, r.stretch) for r in decontaminate.decontaminate(table(spark, rows), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
+    for doc, text, *_ in rows:
+        w = text.split()
+        for k, item in enumerate(items):
+            matched = best = 0
+            for s in range(1 - len(item), len(w)):
+                equal, now = [0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(item)], 0
+                matched = max(matched, sum(equal))
+                for e in equal:
+                    now = max(0, now + (1 if e else -4))
+                    best = max(best, now)
+            if 100 * matched >= 80 * len(item) or best >= 13:
+                want.add((doc, k))
+    assert (9000, len(items) - 1) in want and (9001, len(items) - 1) not in want and (9002, 0) in want
+    assert set(got) == want
+
+
 def test_decontamination_of_odd_and_empty_tables(spark, docs, empty):
     bench = spark.createDataFrame([(1, "word " * 20)], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {6}
