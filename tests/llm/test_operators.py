@@ -300,6 +300,16 @@ def test_terms_that_reveal_an_entity_are_spans(spark):
     assert clean[10] == rows[4][1]
 
 
+def test_a_rare_term_beside_an_entity_of_one_text_is_a_span(spark):
+    rows = [(1, "common words before zebedee wrote from zeb@mail.example.org about common words", "s", None)]
+    rows += [(2, "common words before quillon called from +49 30 1234567 about common words", "s", None)]
+    rows += [(10 + i, "common words about nothing wrote called from before", "s", None) for i in range(40)]
+    clean = {r.doc_id: r.text for r in pii.sanitised(table(spark, rows)).collect()}
+    assert clean[1] == "common words before [TERM] wrote from [EMAIL] about common words"
+    assert clean[2] == "common words before [TERM] called from [PHONE] about common words"
+    assert clean[10] == rows[2][1]
+
+
 def test_personal_data_of_odd_rows(docs, empty):
     got = pii.pii(docs).collect()
     assert len(got) == len(odd_rows()) and {r.spans for r in got} == {""}
