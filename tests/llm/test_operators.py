@@ -486,6 +486,21 @@ def test_pages_without_an_article_use_the_template(spark):
     assert html_text.html_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><article class="post no-comments"><p>kept</p></article></body>',
+        '<body class="sidebar"><main id="content-with-menu"><p>kept</p></main></body>',
+        '<body><article class="notice"><div class="related-works notice-text"><p>kept</p></div><div class="notice">no</div></article></body>',
+        '<body><div class="widget"><article><p>kept</p><div class="comments">no</div></article></div><p>no</p></body>',
+        '<body><div class="widget"><p>kept</p></div></body>',
+        '<body><article><p>kept</p></article><section class="comments"><article><p>a longer comment</p></article></section></body>',
+    ],
+)
+def test_class_names_do_not_discard_the_article(page):
+    assert html_text.main_text(page, None) == "kept"
+
+
 # --- mixing
 
 
