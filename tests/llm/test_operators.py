@@ -501,6 +501,14 @@ def test_class_names_do_not_discard_the_article(page):
     assert html_text.main_text(page, None) == "kept"
 
 
+def test_repeated_notices_inside_articles_are_template(spark):
+    rows = [(i, f"http://h.example.com/{i}", PAGE.format(f'<article><h1>Title {i}</h1><p>{"text %d " % i * 30}</p><div class="hint">Read us daily</div></article>')) for i in range(9)]
+    # two near copies alone do not make a template
+    rows += [(50 + i, f"http://two.example.com/{i}", PAGE.format(f'<article><h1 class="x">Same</h1><p class="y">body {i}</p></article>')) for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Title {i}\n" + ("text %d " % i * 30).strip() for i in range(9)}, 50: "Same\nbody 0", 51: "Same\nbody 1"}
+
+
 # --- mixing
 
 
