@@ -1,4 +1,4 @@
-"""Registered queries over the ten operators, with SQL twins where SQL can express them."""
+"""Registered queries over the dealt operators, with SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontaminate, exact_dedup, html_text, licenses, mixing, ngram_join, pii, quality, token_blocks, toxicity
+from lumenframe.llm import alignment, decontaminate, exact_dedup, html_text, licenses, mixing, ngram_join, pii, quality, token_blocks, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,10 @@ def _op4(documents):
 @_query("op6_licenses", "documents")
 def _op6(documents):
     return licenses.license_scan(documents, licenses.template_table(documents.sparkSession))
+
+
+@_query("op13_tokenizer_alignment", "documents")
+def _op13(documents):
+    import public_tokenizers
+
+    return alignment.align_documents(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
