@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import alignment, decontaminate, exact_dedup, html_text, licenses, mixing, ngram_join, pii, quality, token_blocks, toxicity
+from lumenframe.llm import alignment, decontaminate, exact_dedup, html_text, licenses, mixing, ngram_join, pii, quality, sharding, token_blocks, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def _op13(documents):
     import public_tokenizers
 
     return alignment.align_documents(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op12_histogram_shards", "documents", sql=sharding.SHARD_SQL)
+def _op12(documents):
+    return sharding.shard_query(documents)
