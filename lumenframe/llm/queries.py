@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import alignment, decontaminate, exact_dedup, html_text, licenses, mixing, ngram_join, pii, quality, sharding, token_blocks, toxicity
+from lumenframe.llm import alignment, decontaminate, exact_dedup, html_text, licenses, merkle, mixing, ngram_join, pii, quality, sharding, token_blocks, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,8 @@ def _op13(documents):
 @_query("op12_histogram_shards", "documents", sql=sharding.SHARD_SQL)
 def _op12(documents):
     return sharding.shard_query(documents)
+
+
+@_query("op11_merkle_manifest", "documents", sql=merkle.MANIFEST_SQL)
+def _op11(documents):
+    return merkle.manifest_query(documents)
