@@ -14,6 +14,7 @@ nearly all texts hold; every chunk then gets the counts of its own pairs back. N
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -23,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.plans.spread import spread
 from lumenframe.plans.storage import materialize
 
-BLOCK = 1 << 20  # bytes of text aligned at a time
-CHUNK = 8 << 20  # bytes of text that share one list of pairs
+BLOCK = 1 << 19  # bytes of text aligned at a time
+CHUNK = 4 << 20  # bytes of text that share one list of pairs
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 _CHUNKS = pa.schema(
     [
@@ -60,19 +60,44 @@ class Vocabulary:
         self.names = np.array(names, object)
 
 
+#: how a byte-level vocabulary parts a text before it merges bytes; a fixed value of these vocabularies
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def byte_level(path: str) -> Vocabulary:
-    """A byte-level vocabulary of the tokenizers library; it sees a space before the text."""
+    """A byte-level vocabulary in the tokenizers library's file; it sees a space before the text.
+
+    Where the file's merges are in the order of their ids, as the usual ones are, an id is a rank and the merging is done
+    by the faster tiktoken from the same file's entries; any other file is left to the tokenizers library.
+    """
+    alphabet = byte_alphabet()
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, parts = file["model"], file.get("pre_tokenizer") or {}
+    entries = model["vocab"]
+    size = 1 + max([*entries.values(), *(t["id"] for t in file.get("added_tokens", []))])
+    pieces = [b""] * size  # an added token never comes from a text, so its bytes do not matter
+    for entry, i in entries.items():
+        if all(c in alphabet for c in entry):
+            pieces[i] = bytes(alphabet[c] for c in entry)
+    made = [entries["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    ranked = made == list(range(made[0], made[0] + len(made))) and sorted(entries.values())[: made[0]] == list(range(made[0]))
+    plain = parts.get("type") == "ByteLevel" and parts.get("use_regex") and not parts.get("add_prefix_space") and not file.get("normalizer")
+    if ranked and plain and not model.get("ignore_merges"):
+        import tiktoken
+
+        enc = tiktoken.Encoding("byte_level", pat_str=PARTS, mergeable_ranks={p: i for i, p in enumerate(pieces) if p}, special_tokens={})
+        return Vocabulary(lambda texts: [enc.encode_ordinary(" " + t) for t in texts], pieces)
+    return Vocabulary(library_encoder(path), pieces)
+
+
+def library_encoder(path: str):
     import tokenizers
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
     tok = tokenizers.Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    alphabet = byte_alphabet()
-    pieces = [b""] * tok.get_vocab_size()
-    for entry, i in tok.get_vocab().items():
-        # an added token that is no byte-level entry never comes from a text
-        pieces[i] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else b""
-    return Vocabulary(lambda texts: [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], pieces)
+    return lambda texts: [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 def sentence_pieces(path: str) -> Vocabulary:
@@ -88,24 +113,27 @@ def sentence_pieces(path: str) -> Vocabulary:
 def common_cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the tokens of each side that end at a common offset; the two end arrays have the same last offset."""
     ea, eb = array("q", a.astype(np.int64).tobytes()), array("q", b.astype(np.int64).tobytes())
-    n, i, j = len(ea), 0, 0
+    raw_a, raw_b = ea.tobytes(), eb.tobytes()  # slices of bytes compare fastest
+    n, i, j, known = len(ea), 0, 0, 0  # known: 1 if the tokens at i and j are known to end together
     at_a, at_b, length = array("q"), array("q"), array("q")
+    add_a, add_b, add_length = at_a.append, at_b.append, length.append
     while i < n:
-        run, step = 0, 1
-        while i + run < n and ea[i + run : i + run + step] == eb[j + run : j + run + step]:
+        x, y, left = 8 * (i + known), 8 * (j + known), 8 * (n - i - known)
+        run, step = 0, 16
+        while run < left and raw_a[x + run : x + run + step] == raw_b[y + run : y + run + step]:
             run += step
             step *= 2
-        run = min(run, n - i)
-        while step > 1 and i + run < n:  # how much of the last slice still agreed
-            step //= 2
-            if ea[i + run : i + run + step] == eb[j + run : j + run + step]:
-                run = min(run + step, n - i)
+        while step > 8 and run < left:  # how much of the last slice still agreed
+            step >>= 1
+            if raw_a[x + run : x + run + step] == raw_b[y + run : y + run + step]:
+                run += step
+        run = known + (min(run, left) >> 3)
         if run:
-            at_a.append(i)
-            at_b.append(j)
-            length.append(run)
+            add_a(i)
+            add_b(j)
+            add_length(run)
             i, j = i + run, j + run
-        if i < n:  # an irregular group, up to the next common offset
+        if i < n:  # an irregular group, up to the next common offset, which sets the new shift
             x, y = ea[i], eb[j]
             while x != y:
                 if x < y:
@@ -114,10 +142,7 @@ def common_cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 else:
                     j += 1
                     y = eb[j]
-            at_a.append(i)
-            at_b.append(j)
-            length.append(1)
-            i, j = i + 1, j + 1
+            known = 1
     size = np.frombuffer(length, np.int64) if length else np.empty(0, np.int64)
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     return tuple(np.repeat(np.frombuffer(s, np.int64) if s else np.empty(0, np.int64), size) + inside for s in (at_a, at_b))
@@ -260,9 +285,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """
     wide = len(sentence_pieces(b_path).pieces)
     chunks = materialize(
-        spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(
-            lambda batches: _chunks(batches, a_path, b_path), _SCHEMA
-        )
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _chunks(batches, a_path, b_path), _SCHEMA)
     )
     held = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "texts")).alias("place", "p")).select("chunk", "place", F.col("p.pairs").alias("pair"), F.col("p.texts").alias("texts"))
     counts = held.groupBy("pair").agg(F.sum("texts").alias("count")).withColumn("id_a", F.expr(f"pair div {wide}"))

@@ -79,6 +79,14 @@ def test_cuts_are_the_common_ends():
         assert np.array_equal(x, i) and np.array_equal(y, j)
 
 
+def test_ids_are_those_of_the_library():
+    rng = np.random.default_rng(7)
+    points = np.array([c for c in range(0x20000) if not 0xD800 <= c < 0xE000])
+    texts = [f"a{chr(c)}b1{chr(c)} {chr(c)}.{chr(c)}" for c in points] + ["".join(map(chr, rng.choice(points, rng.integers(1, 60)))) for _ in range(3000)]
+    texts += [t for t in odd_texts() if t]
+    assert alignment.byte_level(A).encode(texts) == alignment.library_encoder(A)(texts)
+
+
 def test_a_long_diagonal_costs_few_comparisons():
     ends = np.arange(1, 3_000_001)
     x, y = alignment.common_cuts(ends, ends)
