@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.columns import all_columns, col, numeric_columns, replace_columns, text_columns
-from lumenframe.functions.similarity import ratio_above, token_sort_key
 from lumenframe.functions.words import WORD_CHARS
+from lumenframe.operators.categories import category_leaders
 from lumenframe.operators.schema import convert_column
 from lumenframe.plans.joins import lookup
 from lumenframe.plans.onepass import one_row, value_counts
@@ -19,8 +19,6 @@ from lumenframe.plans.ordering import with_position
 from lumenframe.plans.quantiles import quantiles
 from lumenframe.plans.storage import materialize
 
-LEADER_BATCH = 2_000
-
 
 # ---- missing cells and duplicates ---------------------------------------------------------
 
@@ -133,60 +131,8 @@ def string_ops(df: DataFrame, ops: Sequence[str], cols=None) -> DataFrame:
 
 # ---- near-equal categories -----------------------------------------------------------------
 
-def category_leaders(df: DataFrame, column: str, threshold: int = 85, batch: int = LEADER_BATCH) -> DataFrame:
-    """(value, leader) for every distinct value, in the order frequency descending, then value.
-
-    A value joins the first earlier leader it resembles, or becomes a leader. The distinct values
-    are taken in batches in that order. Only one batch and its new leaders are ever on the driver;
-    all later values are compared with those leaders on the executors, and the ones that find no
-    leader form the input of the next round. So the result equals the sequential scan, with no
-    self-join of values and no pair that does not involve a leader.
-    """
-    counts = df.filter(col(column).isNotNull()).groupBy(col(column).cast("string").alias("value")).count()
-    ranked = with_position(counts, [F.desc("count"), F.col("value")], name="rank").select("value", "rank")
-    open_values = materialize(ranked)
-    decided: list[DataFrame] = []
-    while True:
-        head = open_values.orderBy("rank").limit(batch).collect()  # at most `batch` names
-        if not head:
-            break
-        leaders: list[tuple[str, str]] = []
-        for row in head:
-            key = token_sort_key(row["value"])
-            if not any(ratio_above(key, other, threshold) for _, other in leaders):
-                leaders.append((row["value"], key))
-
-        judged = materialize(open_values.withColumn("leader", _first_leader(leaders, threshold)(F.col("value"))))
-        decided.append(judged.filter(F.col("leader").isNotNull()).select("value", "leader"))
-        if len(head) < batch:
-            break
-        open_values = judged.filter(F.col("leader").isNull()).select("value", "rank")
-    if not decided:
-        return counts.select("value", F.col("value").alias("leader"))
-    out = decided[0]
-    for part in decided[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _first_leader(leaders: list[tuple[str, str]], threshold: int):
-    own = {v for v, _ in leaders}
-
-    def find(value: str) -> str | None:
-        if value in own:
-            return value
-        key = token_sort_key(value)
-        return next((v for v, k in leaders if ratio_above(key, k, threshold)), None)
-
-    @F.pandas_udf("string")
-    def assign(values: pd.Series) -> pd.Series:
-        return values.map(find)
-
-    return assign
-
-
-def merge_similar_categories(df: DataFrame, column: str, threshold: int = 85, batch: int = LEADER_BATCH) -> DataFrame:
-    changes = category_leaders(df, column, threshold, batch).filter(F.col("value") != F.col("leader"))
+def merge_similar_categories(df: DataFrame, column: str, threshold: int = 85) -> DataFrame:
+    changes = category_leaders(df, column, threshold).filter(F.col("value") != F.col("leader"))
     # Only values that change are looked up.
     names = changes.select(F.col("value").alias("_value"), F.col("leader").alias("_leader"))
     joined = lookup(df.withColumn("_value", col(column).cast("string")), names, ["_value"], "left")

@@ -21,9 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/lumenframe/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: survives the loss of executors,
     freezes anything that depends on task placement, and is read column by column."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lumenframe/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions import distributions as d
-from lumenframe.functions.similarity import ratio_above, token_sort_key
 from lumenframe.operators import charts, clean, ml, profile, schema, sqltables, stats
 from lumenframe.operators import forecast as fc
 from lumenframe.operators import images as im
@@ -57,23 +56,6 @@ def test_unicode_string_ops(spark):
     assert out == "café naïve x"
 
 
-def greedy(values, threshold=85):
-    leaders = {}
-    for v in values:
-        hit = next((k for k in leaders if ratio_above(token_sort_key(v), token_sort_key(k), threshold)), None)
-        leaders.setdefault(hit or v, []).append(v)
-    return {v: k for k, vs in leaders.items() for v in vs}
-
-
-@pytest.mark.parametrize("batch", [1, 3, 1000])
-def test_category_leaders_equal_the_sequential_scan(spark, batch):
-    names = ["New York", "new york", "New  York!", "York New", "Boston", "Bostn", "Bosston", "Chicago", "Chicag", "LA", "Boston MA", "Bostonn"]
-    data = [(n,) for i, n in enumerate(names) for _ in range(len(names) - i)]
-    df = spark.createDataFrame(data, "c string")
-    got = {r["value"]: r["leader"] for r in clean.category_leaders(df, "c", batch=batch).collect()}
-    assert got == greedy(names)
-
-
 def test_tail_probabilities():
     # textbook values
     assert d.t_two_sided(2.228, 10) == pytest.approx(0.05, abs=1e-4)
