@@ -131,6 +131,11 @@ def by_day(t):
 
 query("fc3_forecast_holt_winters")(lambda t: fc.forecast(by_day(t), "holt_winters", 7, "event_type", period=7))
 query("fc4_forecast_arima")(lambda t: fc.forecast(monthly(t), "arima", 6, order=(1, 1, 1)))
+query("fc4_forecast_ar1", f"""WITH {MO}, cal AS (SELECT CAST(range + 1 AS INTEGER) AS step, CAST(last_day(CAST(date_trunc('month', (SELECT max(ts) FROM mo)) AS DATE) + to_months(CAST(range + 1 AS INTEGER))) AS TIMESTAMP) AS ts FROM range(6)),
+  l AS (SELECT value, lag(value) OVER (ORDER BY ts) AS prev FROM mo), m AS (SELECT regr_slope(value, prev) AS phi, regr_intercept(value, prev) AS c FROM l)
+  SELECT ts, round(pow(phi, step) * (SELECT max_by(value, ts) FROM mo) + c * (1 - pow(phi, step)) / (1 - phi), 2) AS forecast FROM cal, m""")(
+    lambda t: rounded(fc.forecast(monthly(t), "arima", 6, order=(1, 0, 0)), 2)
+)
 query("fc5_forecast_sarima")(lambda t: fc.forecast(monthly(t), "arima", 6, order=(1, 0, 0), seasonal=(1, 0, 0), period=12))
 query("fc6_forecast_seasonal_regression")(lambda t: fc.forecast(ts.resample(ts.prepare_series(t.orders, "o_orderdate", "o_totalprice"), "D"), "seasonal_regression", 14))
 query("fc7_forecast_band", f"WITH {MO}, {_AHEAD} SELECT ts, round((SELECT max_by(value, ts) FROM mo), 4) AS forecast, round((SELECT max_by(value, ts) FROM mo) * 1.1, 4) AS upper, round((SELECT max_by(value, ts) FROM mo) * 0.9, 4) AS lower FROM cal")(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import col
 from lumenframe.functions.similarity import ratio_above
-from lumenframe.plans.joins import lookup
+from lumenframe.plans.joins import match
 from lumenframe.plans.ordering import with_position
 from lumenframe.plans.storage import materialize, scratch_path
 
@@ -149,23 +149,28 @@ def _decide(names: DataFrame, threshold: int, pairs: int) -> DataFrame:
     """(rank, leader) of every name (rank, key), leaders named by rank."""
     spark = names.sparkSession
     path, schema = scratch_path(spark), "rank long, leader long"
-    spark.createDataFrame([], schema).write.parquet(path)
-    open_ = names
-    while rows := open_.count():
+    open_, rows = names, names.count()
+    if not rows:
+        return spark.createDataFrame([], schema)
+    while rows:
         limit = max(LEAST, pairs * rows)
-        entries = materialize(segments(open_, threshold))
-        bound = _longest(entries, open_, rows, limit, True)
-        prefix, near = open_.where(F.col("rank") < bound), entries.where(F.col("rank") < bound)
+        entries, bound = segments(open_, threshold), None
+        if rows * rows > limit:  # else all pairs would be within the limit
+            entries = materialize(entries)
+            bound = _longest(entries, open_, rows, limit, True)
+        prefix, near = (open_, entries) if bound is None else (open_.where(F.col("rank") < bound), entries.where(F.col("rank") < bound))
         short = near.where(~F.col("long")).select("sig", F.col("rank").alias("a"))
         longer = near.where("long").select("sig", F.col("rank").alias("b"))
         met = short.join(longer, "sig").where("a <> b").select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier"))
         edges = _alike(met, prefix, threshold)
-        leaders = materialize(first_independent_set(prefix, edges).select("rank"))
+        leaders = first_independent_set(prefix, edges)
         led = edges.join(leaders.withColumnRenamed("rank", "earlier"), "earlier", "left_semi")
         joined = led.groupBy(F.col("later").alias("rank")).agg(F.min("earlier").alias("leader"))
         joined.unionByName(leaders.select("rank", F.col("rank").alias("leader"))).write.mode("append").parquet(path)
+        if bound is None:
+            break
         rest = materialize(open_.where(F.col("rank") >= bound))
-        while not rest.isEmpty() and (n := leaders.count()):
+        while (rows := rest.count()) and (n := leaders.count()):
             who = leaders.select("rank", F.lit(True).alias("leads")).unionByName(rest.select("rank", F.lit(False).alias("leads")))
             marked = materialize(entries.join(who, "rank"))
             upto = _longest(marked, leaders, n, limit, False)
@@ -192,7 +197,7 @@ def category_leaders(df: DataFrame, column: str, threshold: int = 85, pairs: int
     if threshold >= 100:
         return ranked.select("value", F.col("value").alias("leader"))
     names = materialize(ranked.where("key <> ''").groupBy("key").agg(F.min("rank").alias("rank")))
-    decided = lookup(names, _decide(names, threshold, pairs), ["rank"])
-    by_key = lookup(decided.select("key", F.col("leader").alias("rank")), ranked.select("rank", F.col("value").alias("leader")), ["rank"])
-    named = lookup(ranked.select("value", "key"), by_key.select("key", "leader"), ["key"], "left")
+    decided = match(names, _decide(names, threshold, pairs), ["rank"])
+    by_key = match(decided.select("key", F.col("leader").alias("rank")), ranked.select("rank", F.col("value").alias("leader")), ["rank"])
+    named = match(ranked.select("value", "key"), by_key.select("key", "leader"), ["key"], "left")
     return named.select("value", F.coalesce("leader", "value").alias("leader"))

@@ -5,23 +5,23 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenframe.functions.columns import col
+from lumenframe.operators import smoothing
+from lumenframe.operators.arima import Order, arima_forecast
+from lumenframe.operators.arima import ahead as arima_ahead
+from lumenframe.operators.arima import fit as fit_arima
 from lumenframe.operators.timeseries import ORDER, at, attach, future_calendar, val
 from lumenframe.plans.joins import match
 from lumenframe.plans.onepass import one_row
-from lumenframe.plans.ordering import as_list, largest_series
+from lumenframe.plans.ordering import as_list
 from lumenframe.plans.storage import materialize
 
-MODEL_POINTS = 10_000_000  # longest series one task fits by recursion; see `_fit_by_series`
-
 
 def forecast(s: DataFrame, method: str, horizon: int, key=None, **params) -> DataFrame:
     """The series is read several times (size, calendar, model), so a derived one is written down first."""
@@ -59,127 +59,38 @@ def forecast_moving_average(s: DataFrame, horizon: int, key=None, window: int =
     return _on_calendar(s, level, horizon, key)
 
 
-# ---- recursive models, one series per group --------------------------------------------------
-
-def _fit_by_series(s: DataFrame, horizon: int, key, predict) -> DataFrame:
-    """Run ``predict(values, horizon) -> array`` on each series and lay the result on its calendar.
+# ---- recursive models, fitted over chunks of a series -----------------------------------------
 
-    A recursion needs its series in order in one task. These models are meant for series on a
-    calendar (see ``resample``), whose length is bounded by the number of periods; a series with
-    more points than MODEL_POINTS is refused rather than thinned.
-    """
+def _on_steps(s: DataFrame, made: DataFrame, horizon: int, key) -> DataFrame:
     keys = as_list(key)
-    known = s.filter(val().isNotNull())
-    largest, _ = largest_series(known, keys)
-    if largest > MODEL_POINTS:
-        raise ValueError(f"a series has {largest} points; resample it to at most {MODEL_POINTS} periods first")
-    schema = T.StructType(
-        [*[s.schema[k] for k in keys], T.StructField("step", T.IntegerType()), T.StructField("forecast", T.DoubleType())]
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(ORDER)["value"].to_numpy(dtype=float)
-        try:
-            out = np.asarray(predict(y, horizon), dtype=float)
-            if not np.isfinite(out).all():
-                raise ValueError("not finite")
-        except (ValueError, np.linalg.LinAlgError):
-            out = np.full(horizon, y.mean())
-        made = pd.DataFrame({"step": np.arange(1, horizon + 1), "forecast": out})
-        for k in keys:
-            made[k] = pdf[k].iloc[0]
-        return made[[*keys, "step", "forecast"]]
-
-    made = known.groupBy(*keys).applyInPandas(run, schema)
-    calendar = future_calendar(s, horizon, keys)
-    return match(calendar, made, [*keys, "step"]).select(*[col(k) for k in keys], "ts", "forecast")
-
-
-def _holt_winters_run(y, m, a, b, g):
-    """Squared one-step errors and final state of additive smoothing for arrays of parameters."""
-    level = np.full(a.shape, y[:m].mean())
-    trend = np.full(a.shape, (y[m : 2 * m].mean() - y[:m].mean()) / m)
-    season = np.repeat((y[:m] - y[:m].mean())[:, None], len(a), axis=1)
-    sse = np.zeros(a.shape)
-    for t, value in enumerate(y):
-        s = season[t % m].copy()
-        error = value - (level + trend + s)
-        sse += error * error
-        new = level + trend + a * error
-        trend = trend + a * b * error
-        season[t % m] = s + g * (1 - a) * error
-        level = new
-    return sse, level, trend, season
+    return match(future_calendar(s, horizon, keys), made, [*keys, "step"]).select(*[col(k) for k in keys], "ts", "forecast")
 
 
 def holt_winters(y: np.ndarray, horizon: int, period: int = 12) -> np.ndarray:
-    """Additive trend and season; parameters from a coarse grid refined twice around its best point."""
+    """Additive trend and season of one array; parameters from a coarse grid refined three times around its best point."""
     if len(y) < 2 * period:
         raise ValueError("needs two full periods")
-    centre, width = np.array([0.5, 0.5, 0.5]), 0.45
-    for _ in range(4):
-        axes = [np.clip(np.linspace(c - width, c + width, 5), 0.001, 0.999) for c in centre]
-        a, b, g = (x.ravel() for x in np.meshgrid(*axes))
-        sse, level, trend, season = _holt_winters_run(y, period, a, b, g)
-        best = int(np.nanargmin(sse))
-        centre, width = np.array([a[best], b[best], g[best]]), width / 3
-    steps = np.arange(1, horizon + 1)
-    return level[best] + trend[best] * steps + season[(len(y) + steps - 1) % period, best]
+    return smoothing.ahead(smoothing.fit(np.asarray(y, float) - np.mean(y), period), len(y), horizon, period) + np.mean(y)
 
 
-def forecast_holt_winters(s: DataFrame, horizon: int, key=None, period: int = 12) -> DataFrame:
-    return _fit_by_series(s, horizon, key, lambda y, h: holt_winters(y, h, period))
-
-
-def _lags(x: np.ndarray, offsets: list[int], start: int) -> np.ndarray:
-    return np.column_stack([x[start - k : len(x) - k] for k in offsets]) if offsets else np.empty((len(x) - start, 0))
+def forecast_holt_winters(s: DataFrame, horizon: int, key=None, period: int = 12, size: int | None = None) -> DataFrame:
+    """Additive Holt-Winters of series of any length; the mean for a series of less than two periods."""
+    return _on_steps(s, smoothing.smooth_forecast(s.filter(val().isNotNull()), horizon, ORDER, key, period, size), horizon, key)
 
 
 def arima(y: np.ndarray, horizon: int, order=(1, 1, 1), seasonal=(0, 0, 0), period: int = 12) -> np.ndarray:
-    """Hannan-Rissanen: a long autoregression supplies the innovations, then one regression on lagged
-    values and lagged innovations (plain and seasonal) gives the model; differences are undone at the end."""
-    (p, d, q), (sp, sd, sq) = order, seasonal
-    steps = [1] * d + [period] * sd
-    levels, x = [], y
-    for k in steps:
-        levels.append((k, x[-k:].copy()))
-        x = x[k:] - x[:-k]
-    # the lags of the product of the plain and the seasonal polynomial; each has a coefficient of its own
-    ar = sorted({i + period * j for i in range(p + 1) for j in range(sp + 1)} - {0})
-    ma = sorted({i + period * j for i in range(q + 1) for j in range(sq + 1)} - {0})
-    long = min(max(10, max(ar + ma, default=0) + 2), max(1, len(x) // 4))
-    top = max(ar + ma + [0])
-    if len(x) < 2 * (len(ar) + len(ma)) + top + long + 3:
+    """Forecast of one array by ``lumenframe.operators.arima``."""
+    model = Order(*order, *seasonal, period)
+    beta = fit_arima(np.asarray(y, float), model)
+    if beta is None:
         raise ValueError("too short")
-    noise = np.zeros(len(x))
-    if ma:
-        design = np.column_stack([np.ones(len(x) - long), _lags(x, list(range(1, long + 1)), long)])
-        beta = np.linalg.lstsq(design, x[long:], rcond=None)[0]
-        noise[long:] = x[long:] - design @ beta
-    start = (long if ma else 0) + top
-    design = np.column_stack([np.ones(len(x) - start), _lags(x, ar, start), _lags(noise, ma, start)])
-    beta = np.linalg.lstsq(design, x[start:], rcond=None)[0]
-    if d + sd:  # a differenced model has no constant
-        beta[1:] = np.linalg.lstsq(design[:, 1:], x[start:], rcond=None)[0] if design.shape[1] > 1 else beta[1:]
-        beta[0] = 0.0
-    path, shocks = list(x), list(noise)
-    for _ in range(horizon):
-        nxt = beta[0] + sum(c * path[-k] for c, k in zip(beta[1 : 1 + len(ar)], ar))
-        nxt += sum(c * shocks[-k] for c, k in zip(beta[1 + len(ar) :], ma))
-        path.append(nxt)
-        shocks.append(0.0)
-    out = np.array(path[len(x) :])
-    for k, tail in reversed(levels):
-        history = list(tail)
-        for i in range(horizon):
-            history.append(history[-k] + out[i])
-        out = np.array(history[len(tail) :])
-    return out
-
-
-def forecast_arima(s: DataFrame, horizon: int, key=None, order=(1, 1, 1), seasonal=(0, 0, 0), period: int = 12) -> DataFrame:
-    """ARIMA, or SARIMA when ``seasonal`` is not (0, 0, 0); the mean if the fit fails."""
-    return _fit_by_series(s, horizon, key, lambda y, h: arima(y, h, order, seasonal, period))
+    return arima_ahead(np.asarray(y, float), model, beta, horizon)
+
+
+def forecast_arima(s: DataFrame, horizon: int, key=None, order=(1, 1, 1), seasonal=(0, 0, 0), period: int = 12, **options) -> DataFrame:
+    """ARIMA, or SARIMA when ``seasonal`` is not (0, 0, 0), of series of any length; the mean if the fit fails."""
+    made = arima_forecast(s.filter(val().isNotNull()), horizon, ORDER, key, Order(*order, *seasonal, period), **options)
+    return _on_steps(s, made, horizon, key)
 
 
 # ---- trend and seasons by regression ---------------------------------------------------------
