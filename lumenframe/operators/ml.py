@@ -18,12 +18,13 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.columns import classify_columns, col, numeric_columns, unit_draw
 from lumenframe.operators.clean import modes
+from lumenframe.operators.neighbours import knn  # noqa: F401  part of this module's interface
 from lumenframe.plans.joins import lookup, match
 from lumenframe.plans.onepass import one_row
 from lumenframe.plans.ordering import as_list, running_total, with_position
@@ -278,81 +279,6 @@ def actual_vs_predicted(model: PipelineModel, df: DataFrame, target: str, order:
     return rows.orderBy(col(order)) if order else rows
 
 
-# ---- nearest neighbours ----------------------------------------------------------------------
-
-QUERY_BLOCK, TILE = 4_000, 50_000
-
-
-def _distances(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return np.maximum((q * q).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2.0 * q @ t.T, 0.0)
-
-
-def _nearest(q_ids, q, t_ids, t, labels, k: int, skip_self: bool) -> pd.DataFrame:
-    d = _distances(q, t)
-    if skip_self:
-        d[np.asarray(q_ids)[:, None] == np.asarray(t_ids)[None, :]] = np.inf
-    keep = min(k, d.shape[1])
-    # everything up to the k-th distance, so that ties are settled by id and not by batch order
-    limit = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-    qi, ti = np.nonzero(d <= limit[:, None])
-    ok = np.isfinite(d[qi, ti])
-    return pd.DataFrame(
-        {"qid": np.asarray(q_ids)[qi[ok]], "tid": np.asarray(t_ids)[ti[ok]], "d": d[qi, ti][ok], "label": np.asarray(labels)[ti[ok]]}
-    )
-
-
-def knn(
-    train_df: DataFrame, query_df: DataFrame, features, target: str, key: str, k: int = 5, problem: str = "classification",
-    skip_self: bool = False, block: int = QUERY_BLOCK, tile: int = TILE,
-) -> DataFrame:
-    """(key, prediction): majority label (smallest of tied ones) or mean of the k nearest training rows.
-
-    A query set of at most ``block`` rows travels to the training partitions. A larger one is cut, like
-    the training set, into tiles of bounded size, and each pair of tiles is one task. Either way a task
-    returns k candidates per query row, and the k best of all candidates are taken.
-    """
-    x = col(features).cast("array<double>") if isinstance(features, str) else F.array(*[col(c).cast("double") for c in features])
-    kind = "string" if dict(train_df.dtypes)[target] == "string" else "double"
-    t = train_df.select(col(key).cast("long").alias("tid"), x.alias("x"), col(target).cast(kind).alias("label"))
-    q = query_df.select(col(key).cast("long").alias("qid"), x.alias("x"))
-    n_query = q.count()
-    schema = f"qid long, tid long, d double, label {kind}"
-    if n_query <= block:
-        rows = q.collect()  # at most `block` rows
-        ids, points = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)
-
-        def search(batches):
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    yield _nearest(ids, points, pdf["tid"], np.stack(pdf["x"]), pdf["label"], k, skip_self)
-
-        near = t.mapInPandas(search, schema)
-    else:
-        n_train = train_df.count()
-        q_tiles, t_tiles = -(-n_query // tile), max(1, -(-n_train // tile))
-        spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        qs = q.withColumn("i", spread("qid", q_tiles)).withColumn("j", every(t_tiles))
-        ts = t.withColumn("j", spread("tid", t_tiles)).withColumn("i", every(q_tiles))
-
-        def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"qid": [], "tid": [], "d": [], "label": []})
-            b_points, parts = np.stack(b["x"]), []
-            for at in range(0, len(a), 512):
-                part = a.iloc[at : at + 512]
-                parts.append(_nearest(part["qid"], np.stack(part["x"]), b["tid"], b_points, b["label"], k, skip_self))
-            return pd.concat(parts)
-
-        near = qs.groupBy("i", "j").cogroup(ts.groupBy("i", "j")).applyInPandas(pair, schema)
-    best = Window.partitionBy("qid").orderBy("d", "tid")
-    top = near.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
-    if problem == "regression":
-        return top.groupBy(F.col("qid").alias(key)).agg(F.avg("label").alias("prediction"))
-    votes = top.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy(F.col("qid").alias(key)).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("prediction"))
-
-
 # ---- metrics -------------------------------------------------------------------------------
 
 def classification_metrics(pred: DataFrame, label: str, prediction: str, score: str | None = None) -> DataFrame:

@@ -234,16 +234,6 @@ def test_one_hot_refuses_wide_columns(spark):
         clean.one_hot(spark.range(5).select(F.col("id").cast("string").alias("s")), max_values=3)
 
 
-def test_knn_tiles_equal_broadcast(spark):
-    rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"id": range(60), "x": rng.normal(size=60), "y": rng.normal(size=60), "c": rng.integers(0, 3, 60)})
-    df = spark.createDataFrame(pdf)
-    args = (df, df, ["x", "y"], "c", "id", 3)
-    a = ml.knn(*args, skip_self=True).toPandas().sort_values("id")
-    b = ml.knn(*args, skip_self=True, block=0, tile=17).toPandas().sort_values("id")
-    assert a["prediction"].tolist() == b["prediction"].tolist()
-
-
 def test_row_wise_operators_take_a_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, "Hi @you #Tag!"), (2, "see http://x.y now")], "id int, t string")
     df.write.parquet(str(tmp_path / "in"))
@@ -317,7 +307,7 @@ def test_knn_votes_on_text_labels(spark):
     rows = spark.createDataFrame([(i, float(i), "low" if i < 5 else "high") for i in range(10)], "id long, x double, label string")
     asked = spark.createDataFrame([(100, 0.4), (101, 8.6)], "id long, x double")
     assert dict(map(tuple, knn(rows, asked, ["x"], "label", "id", k=3).collect())) == {100: "low", 101: "high"}
-    assert dict(map(tuple, knn(rows, asked, ["x"], "label", "id", k=3, block=1, tile=4).collect())) == {100: "low", 101: "high"}
+    assert dict(map(tuple, knn(rows, asked, ["x"], "label", "id", k=3, tile=4, pivots=3).collect())) == {100: "low", 101: "high"}
 
 
 def test_seasonal_models_use_the_product_lags():
