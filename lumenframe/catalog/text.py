@@ -92,7 +92,7 @@ query("tx11_tfidf", f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extr
   SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""")(lambda t: rounded(tx.tfidf(t.documents, "doc_id", "text"), 6))
 query("tx12_topics_lda")(lambda t: tx.topics(t.documents, "doc_id", "text", 4, "lda", iterations=5)[0])
 query("tx12_dominant_topic")(lambda t: tx.dominant_topic(tx.topics(t.documents, "doc_id", "text", 4, "lda", iterations=5)[1], "doc_id"))
-query("tx13_topics_nmf")(lambda t: tx.topics(t.documents, "doc_id", "text", 4, "nmf", iterations=5)[0])
+query("tx13_topics_nmf")(lambda t: tx.topics(t.documents, "doc_id", "text", 4, "nmf")[0])
 query("tx14_summarize")(lambda t: tx.summarize(t.documents, "doc_id", "text"))
 query("tx15_cluster_text")(lambda t: tx.cluster_sizes(tx.cluster_text(t.documents, "doc_id", "text")))
 query("tx15_cluster_map")(lambda t: tx.cluster_map(tx.cluster_text(t.documents, "doc_id", "text", width=1024), "doc_id"))

@@ -10,7 +10,6 @@ from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +19,8 @@ from lumenframe.functions.words import (
     DATA_KEYWORDS, EMOJI, ENTITY_PATTERNS, POLARITY_EN, STOPWORDS_EN, WORD, WORD_CHARS,
 )
 from lumenframe.operators.charts import histogram
-from lumenframe.plans.joins import lookup, match
+from lumenframe.operators.factors import nmf
+from lumenframe.plans.joins import lookup
 from lumenframe.plans.ordering import with_position
 from lumenframe.plans.spread import spread
 from lumenframe.plans.storage import materialize
@@ -278,8 +278,8 @@ def topics(
     """(topic words, text topics).
 
     Topic words: (topic, rank, term, weight). Text topics: (key, topic, share), one row per topic.
-    ``lda`` fits Spark's LDA. ``nmf`` factorises the tf-idf weights with non-negative implicit ALS: the
-    result has the same shape as a non-negative matrix factorisation, but minimises another loss.
+    ``lda`` fits Spark's LDA on term counts. ``nmf`` factorises the tf-idf weights with the least squared error (``factors.nmf``);
+    a text without a term of the vocabulary has no row there.
     """
     if method == "lda":
         terms = _terms(df, key, column, stopwords)
@@ -299,21 +299,12 @@ def topics(
         return words_, shares
     if method != "nmf":
         raise ValueError(f"unknown topic method {method!r}")
-    if df.count() >= 1 << 31:
-        raise ValueError("the factorisation numbers texts with 31 bits")
-    weights = materialize(tfidf(df, key, column, stopwords=stopwords))  # read by every iteration's set-up
-    term_ids = with_position(weights.select("term").distinct(), "term", name="_tid")
-    text_ids = with_position(weights.select(col(key)).distinct(), key, name="_did")
-    cells = match(match(weights, term_ids, ["term"]), text_ids, [key])
-    model = ALS(
-        rank=k, maxIter=iterations, seed=seed, nonnegative=True, implicitPrefs=True, userCol="_did", itemCol="_tid", ratingCol="weight"
-    ).fit(cells.select(F.col("_did").cast("int"), F.col("_tid").cast("int"), F.col("weight").cast("float")))
-    factors = lambda f, ids, name: match(ids.withColumn("id", F.col(name).cast("int")), f, ["id"])
-    terms_by_topic = factors(model.itemFactors, term_ids, "_tid").select("term", F.posexplode("features").alias("topic", "weight"))
+    weights = materialize(tfidf(df, key, column, stopwords=stopwords))
+    texts, terms, _ = nmf(weights, key, "term", "weight", k, iterations, seed=seed)
+    factors = F.array(*[F.col(f"f{j}") for j in range(k)])
     best = Window.partitionBy("topic").orderBy(F.desc("weight"), "term")
-    words_ = terms_by_topic.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= words_per_topic)
-    texts = factors(model.userFactors, text_ids, "_did").select(col(key), F.posexplode("features").alias("topic", "share"))
-    return words_.select("topic", "rank", "term", "weight"), texts
+    words_ = terms.select("term", F.posexplode(factors).alias("topic", "weight")).withColumn("rank", F.row_number().over(best))
+    return words_.filter(F.col("rank") <= words_per_topic).select("topic", "rank", "term", "weight"), texts.select(col(key), F.posexplode(factors).alias("topic", "share"))
 
 
 def dominant_topic(text_topics: DataFrame, key: str) -> DataFrame:
