@@ -118,6 +118,27 @@ def _expected_path(n: int) -> float:
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+def _drawn_trees(keys: list, n: int, trees: int, tree_rows: int, seed: int):
+    """The trees whose sample a row may be in, each with about twice the chance that fills it.
+
+    A hash of the row gives the gaps between its trees (geometric), so most rows of a large table cost one hash.
+    """
+    share = 2.0 * tree_rows / n
+    if share >= 1:
+        return F.sequence(F.lit(0), F.lit(trees - 1))
+
+    def gap(k):
+        u = (F.pmod(F.xxhash64(F.lit(seed), k, *keys), F.lit(1 << 52)) + F.lit(1)) / F.lit(float(1 << 52))
+        return F.least(F.floor(F.log(u) / F.lit(float(np.log1p(-share)))), F.lit(trees)).cast("int")
+
+    def step(found, k):
+        last = F.element_at(found, -1)
+        return F.when(last >= trees, found).otherwise(F.concat(found, F.array(last + 1 + gap(k))))
+
+    more = F.aggregate(F.sequence(F.lit(1), F.lit(trees)), F.array(gap(F.lit(0))), step)
+    return F.when(gap(F.lit(0)) < trees, F.filter(more, lambda t: t < trees))
+
+
 def isolation_forest(
     df: DataFrame, cols=None, contamination: float = 0.05, key=None, seed: int = 42, trees: int = TREES, tree_rows: int = TREE_ROWS
 ) -> DataFrame:
@@ -135,12 +156,10 @@ def isolation_forest(
         return df.select("*", F.lit(None).cast("double").alias("score"), F.lit(False).alias("anomaly"))
     size = min(tree_rows, n)
     depth = int(np.ceil(np.log2(max(size, 2))))
-    # about twice the rows that a tree needs, then the first of them
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(t, F.lit(seed), *[col(k) for k in keys]), F.lit(n)) < 2 * tree_rows)
     values = F.array(*[col(c).cast("double") for c in cols])
-    drawn = known.select(F.explode(drawn).alias("tree"), values.alias("x"), F.xxhash64(F.lit(seed + 1), *[col(k) for k in keys]).alias("h"))
+    picked = spread(known).select(F.explode(_drawn_trees([col(k) for k in keys], n, trees, tree_rows, seed)).alias("tree"), values.alias("x"), F.xxhash64(F.lit(seed + 1), *[col(k) for k in keys]).alias("h"))
     first = Window.partitionBy("tree").orderBy("h", "x")
-    drawn = drawn.withColumn("r", F.row_number().over(first)).where(F.col("r") <= tree_rows).select("tree", "x")
+    drawn = picked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= tree_rows).select("tree", "x")
 
     def grown(part: pd.DataFrame) -> pd.DataFrame:
         tree, nodes = int(part["tree"].iloc[0]), []
@@ -154,16 +173,20 @@ def isolation_forest(
         forest.append((feature.astype(int), cut, length, left.astype(int), right.astype(int)))
     scale = _expected_path(size) or 1.0
 
+    starts = np.cumsum([0, *(len(t[0]) for t in forest)])[:-1]  # the nodes of all trees as one list
+    feature, cut, length = (np.concatenate([t[i] for t in forest]) for i in (0, 1, 2))
+    left, right = (np.concatenate([t[i] + at for t, at in zip(forest, starts, strict=True)]) for i in (3, 4))
+
     @F.pandas_udf("double")
     def score(x: pd.DataFrame) -> pd.Series:
-        values = x.to_numpy(dtype=float)
-        rows, total = np.arange(len(values)), np.zeros(len(values))
-        for feature, cut, length, left, right in forest:
-            at = np.zeros(len(values), dtype=np.int64)
+        values, out = x.to_numpy(dtype=float), np.empty(len(x))
+        for low in range(0, len(values), 1000):
+            part = values[low : low + 1000]
+            rows, at = np.arange(len(part))[:, None], np.repeat(starts[None, :], len(part), axis=0)
             for _ in range(depth):
-                at = np.where(values[rows, feature[at]] < cut[at], left[at], right[at])
-            total += length[at]
-        return pd.Series(np.where(np.isnan(values).any(axis=1), np.nan, np.exp2(-total / len(forest) / scale)))
+                at = np.where(part[rows, feature[at]] < cut[at], left[at], right[at])
+            out[low : low + 1000] = length[at].sum(axis=1)
+        return pd.Series(np.where(np.isnan(values).any(axis=1), np.nan, np.exp2(-out / len(forest) / scale)))
 
     complete = F.lit(True)
     for c in cols:

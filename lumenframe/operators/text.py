@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import col
-from lumenframe.functions.lexrank import lexrank
 from lumenframe.functions.words import (
     DATA_KEYWORDS, EMOJI, ENTITY_PATTERNS, POLARITY_EN, STOPWORDS_EN, WORD, WORD_CHARS,
 )
 from lumenframe.operators.charts import histogram
 from lumenframe.operators.factors import nmf
+from lumenframe.operators.summaries import summarize  # noqa: F401  part of this module's interface
 from lumenframe.plans.joins import lookup
 from lumenframe.plans.ordering import with_position
 from lumenframe.plans.spread import spread
@@ -312,19 +311,6 @@ def dominant_topic(text_topics: DataFrame, key: str) -> DataFrame:
     return text_topics.groupBy(col(key)).agg(F.max_by("topic", F.struct("share", -F.col("topic"))).alias("topic"))
 
 
-def summarize(df: DataFrame, key: str, column: str, sentences: int = 3) -> DataFrame:
-    """(key, summary): the ``sentences`` most central sentences of each text, in text order.
-
-    Each text is one row and is scored by itself, so the work spreads with the rows.
-    """
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: "" if t is None else lexrank(t, sentences))
-
-    return spread(df.select(col(key), col(column))).select(col(key), run(col(column)).alias("summary"))
-
-
 def cluster_text(
     df: DataFrame, key: str, column: str, k: int = 5, width: int = 1 << 18, seed: int = 42, stopwords: Sequence[str] | None = ()
 ) -> DataFrame:

@@ -183,12 +183,12 @@ def test_tfidf_rows_have_length_one(spark):
 
 
 def test_summary_keeps_text_order():
-    from lumenframe.functions.lexrank import lexrank
+    from lumenframe.operators.summaries import split_sentences, summary
 
     text = "Cats like fish. Dogs like bones. Cats and dogs like fish. The moon is far. Fish fear cats."
-    out = lexrank(text, 2)
+    out = summary(split_sentences(text), 2)
     assert out and all(s.strip() in text for s in out.split(".") if s)
-    assert lexrank("One only.", 3) == "One only."
+    assert summary(split_sentences("One only."), 3) == "One only."
 
 
 def test_image_operators(spark):

@@ -70,20 +70,35 @@ def test_running_total(spark):
 
 def test_narrowed_quantiles_equal_numpy(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "BRACKET_ROWS", 50)
-    monkeypatch.setattr(quantiles, "ACCURACY", 20)
+    monkeypatch.setattr(quantiles, "SKETCH", 64)
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"a": rng.normal(size=5000), "b": rng.integers(0, 4, 5000).astype(float), "c": np.where(rng.random(5000) < 0.4, 7.0, rng.random(5000))})
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
-    got = quantiles.exact_quantiles(df, ["a", "b", "c"], probs, direct_cells=0)
+    got = quantiles.exact_quantiles(df, ["a", "b", "c"], probs)
     for c in pdf:
         assert np.allclose(got[c], np.quantile(pdf[c], probs), rtol=0, atol=1e-12)
 
 
+def test_a_sketch_that_misses_is_asked_again(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BRACKET_ROWS", 20)
+    monkeypatch.setattr(quantiles, "SKETCH", 8)
+    monkeypatch.setattr(quantiles, "SLACK", 1e-6)
+    x = np.random.default_rng(4).normal(size=3000)
+    df = spark.createDataFrame(pd.DataFrame({"a": x}))
+    assert np.allclose(quantiles.exact_quantiles(df, ["a"], [0.1, 0.5])["a"], np.quantile(x, [0.1, 0.5]), rtol=0, atol=1e-12)
+
+
+def test_nan_is_the_largest_value(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (None,)], "a double")
+    got = quantiles.exact_quantiles(df, ["a"], [0.0, 0.5, 1.0])["a"]
+    assert got[:2] == [1.0, 2.5] and np.isnan(got[2])
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "a double")
     assert quantiles.exact_quantiles(df, ["a"], [0.5]) == {"a": [None]}
-    assert quantiles.exact_quantiles(df, ["a"], [0.5], direct_cells=0) == {"a": [None]}
+    assert quantiles.exact_quantiles(df, ["a"], [0.5]) == {"a": [None]}
 
 
 def test_auc_by_running_total_equals_pairs(spark):
