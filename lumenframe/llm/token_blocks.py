@@ -12,23 +12,30 @@ length inside the block. A block is decoded without any other, so reading needs
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.llm.alignment import byte_alphabet
 from lumenframe.plans.storage import shared_folder
 
 BLOCK = 2048
 PERCENTILE = 90
 END = 1  # the id appended to every text
-CACHED = 500_000  # pieces in each of the two generations that a worker remembers (some 200 MB together)
-MARKS = "%*#$&!.,;:?)"
+SLICE = 4 << 20  # bytes of text encoded at a time
+REMEMBERED = 32 << 20  # bytes of pieces and their ids that a task remembers
+LETTER_MARK = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([%*#$&!.,;:?)])"  # Latin letters whose lower case is one letter
+WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
+FOLDED = {ord(c): " " for c in "\n\t\r"} | {c: chr(c + 32) for c in range(ord("A"), ord("Z") + 1)}
 SCHEMA = (
     "shard int, block int, start long, count int, base long, width int, packed binary, positions binary, values binary, "
     "texts array<struct<doc_id: long, begin: long, offset: int, length: int>>"
@@ -54,74 +61,139 @@ def pack(ids: np.ndarray) -> tuple[int, int, bytes, bytes, bytes]:
 
 def unpack(count: int, base: int, width: int, packed: bytes, positions: bytes, values: bytes) -> np.ndarray:
     """The ids of a block as little-endian uint32."""
-    bits = np.zeros((count, 32), np.uint8)
-    if width:
-        bits[:, :width] = np.unpackbits(np.frombuffer(packed, np.uint8), count=count * width, bitorder="little").reshape(count, width)
-    rest = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
+    at = np.arange(count, dtype=np.int64) * width
+    padded = np.frombuffer(packed + bytes(8), np.uint8)
+    words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the 64 bits from every byte on
+    rest = ((words[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype("<u4")
     rest[np.frombuffer(positions, "<u2")] = np.frombuffer(values, "<u4")
     return (rest + np.uint32(base)).astype("<u4")
 
 
-def _encoder(tokenizer: str):
-    """A function from texts to lists of uint32 arrays.
+def _parts_at_spaces(tok) -> bool:
+    """Whether the ids of a text are those of its pieces between white space, as probes of the vocabulary show."""
+    probes = ["a b", "Ab, c.", "x\ny", "x\ty 12", "é \u0301a", "İ. ok", "don't  stop", " lead", "trail ", "\r\nq", "日本 語", "<|endoftext|> a", "ΑΣ ΑΣ", "Ab.c,.d", "o'clock.", "É!?"]
 
-    The vocabulary splits at white space and drops it, so a text's ids are those of its pieces one after another;
-    the pieces' ids are remembered, for words repeat.
+    def ids(text: str) -> list[int]:
+        return tok.encode(text, add_special_tokens=False).ids
+
+    return all(ids(p) == [i for piece in re.sub(LETTER_MARK, r"\1 \2", p.translate(FOLDED)).split(" ") for i in ids(piece)] for p in probes)
+
+
+def word_ranks(tokenizer: str) -> dict[bytes, int] | None:
+    """Ids of the vocabulary's byte strings, or None if the file is not of the kind that ``_merger`` is made for.
+
+    For byte-level merges with a word end whose ids are in the order of the merges an id is a rank, and tiktoken merges a
+    single word faster than the library makes an encoding of it. The word end is a byte that UTF-8 does not have.
+    """
+    with open(tokenizer, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    alphabet, end, entries = byte_alphabet(), model.get("end_of_word_suffix"), model.get("vocab", {})
+    if model.get("type") != "BPE" or not end or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+        return None
+    made = [entries["".join(m.split(" ")) if isinstance(m, str) else "".join(m)] for m in model["merges"]]
+    if made != list(range(512, 512 + len(made))):
+        return None
+    ranks = {}
+    for entry, i in entries.items():
+        body, last = (entry[: -len(end)], b"\xff") if entry.endswith(end) else (entry, b"")
+        if i < 512 + len(made) and all(c in alphabet for c in body):
+            ranks[bytes(alphabet[c] for c in body) + last] = i
+    return ranks
+
+
+def _merger(ranks: dict[bytes, int]):
+    """A function from the UTF-8 bytes of a word and its end to the word's ids."""
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str="", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
+def _encoder(tokenizer: str, ranks: dict[bytes, int] | None = None):
+    """A function from an Arrow text column to (uint32 ids with the end ids, ids per text).
+
+    A vocabulary that splits at white space and marks and drops the white space gives each piece between spaces its own ids: the pieces of some
+    texts become a dictionary, its entries are encoded once, and the texts' ids are gathered by their codes. Entries are
+    remembered up to ``REMEMBERED`` bytes while the task runs. Any other vocabulary encodes whole texts.
     """
     from array import array
 
     import tokenizers
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
-    # kept at the library's module, so that the tasks of one worker process share it
-    shared = tokenizers.__dict__.setdefault("_lumenframe_pieces", {})
-    if tokenizer not in shared:
-        shared[tokenizer] = (tokenizers.Tokenizer.from_file(tokenizer), {"": b""}, {})
-    tok, known, older = shared[tokenizer]
-
-    def plain(piece: str) -> tuple[str, str]:
-        """A piece as a lower-case stem and the marks after it, which the vocabulary always parts from a letter."""
-        stem = piece.rstrip(MARKS)
-        if not stem or not stem[-1].isalpha():
-            stem = piece
-        return (stem.lower() if stem.isascii() and "<" not in stem else stem), piece[len(stem) :]
-
-    def learn(pieces) -> None:
-        parts = {}
-        for p in pieces:
-            if (ids := older.get(p)) is not None:
-                known[p] = ids
-            else:
-                parts[p] = plain(p)
-        new = [x for x in {x for pair in parts.values() for x in pair} if x not in known]
-        for x, ids in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            known[x] = array("I", ids.ids).tobytes()
-        for p, (stem, mark) in parts.items():
-            known[p] = known[stem] + known[mark]
-
-    def encode(texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*pieces).difference(known)
-        if len(known) + len(new) > CACHED:  # what is used again soon is taken over from the older generation
-            older.clear()
-            older.update(known)
+    tok = tokenizers.Tokenizer.from_file(tokenizer)
+    known: dict[str, bytes] = {}
+    held = 0
+    merged = _merger(ranks) if ranks else None
+    probes = ["a", "the", "zzzqx", "été", "naïveté", "ß", "ÿñ", "supercalifragilistic"]
+    if merged and any(merged(w.encode() + b"\xff") != tok.encode(w, add_special_tokens=False).ids for w in probes):
+        merged = None
+
+    def whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = [e.ids for e in tok.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+        return np.array([i for r in rows for i in (*r, END)], "<u4"), np.array([len(r) + 1 for r in rows], np.int64)
+
+    def looked_up(pieces: list[str]) -> list[bytes]:
+        nonlocal held
+        new = [p for p in pieces if p not in known]
+        if new:
+            other = new
+            if merged:  # a word of lower-case Latin letters is one piece for the vocabulary as it is
+                words = list(filter(WORD, new))
+                known.update((w, array("I", merged(w.encode() + b"\xff")).tobytes()) for w in words)
+                other = [p for p in new if p not in known]
+            known.update(zip(other, (array("I", e.ids).tobytes() for e in tok.encode_batch_fast(other, add_special_tokens=False)), strict=True))
+            held += sum(map(len, new)) + sum(len(known[p]) for p in new) + 150 * len(new)
+        out = [known[p] for p in pieces]
+        if held > REMEMBERED:
             known.clear()
-            known[""] = b""
-            new = set().union(*pieces)
-        learn(new)
-        end = np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, row), end]), "<u4") for row in pieces]
-
-    return encode
+            held = 0
+        return out
+
+    def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        for space in "\n\t\r":
+            column = pc.replace_substring(column, space, " ")
+        # fewer different pieces: the vocabulary parts marks from a letter and folds case; '<' may begin a special token
+        column = pc.replace_substring_regex(column, LETTER_MARK, r"\1 \2")
+        column = pc.if_else(pc.match_substring(column, "<"), column, pc.ascii_lower(column))
+        split = pc.split_pattern(column, " ")
+        coded = split.values.dictionary_encode()
+        entries = looked_up(coded.dictionary.to_pylist())
+        sizes = np.array([len(b) // 4 for b in entries], np.int64)
+        flat = np.frombuffer(b"".join(entries), "<u4")
+        codes, rows = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+        length = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(length)])  # of the pieces among the texts' ids
+        per_text = ends[rows[1:]] - ends[rows[:-1]]
+        # where the ids of each piece go: one place further for every text before, for its end id
+        out = np.full(int(ends[-1]) + len(column), END, "<u4")
+        shift = np.repeat(np.arange(len(column)), np.diff(rows))
+        start = (np.cumsum(sizes) - sizes)[codes]
+        steps = np.arange(int(ends[-1])) - np.repeat(ends[:-1], length)
+        out[np.repeat(ends[:-1] + shift, length) + steps] = flat[np.repeat(start, length) + steps]
+        return out, per_text + 1
+
+    return encode if _parts_at_spaces(tok) else whole
+
+
+def _slices(column: pa.Array, most: int):
+    """Consecutive slices of at most ``most`` bytes of text; a longer text stands alone."""
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8))
+    low = 0
+    while low < len(column):
+        high = low + 1 + int(np.searchsorted(np.cumsum(sizes[low + 1 :]) + sizes[low], most, "right"))
+        yield low, high
+        low = high
 
 
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, parts: int) -> None:
     """Write the blocks of ``docs`` (doc_id, text). A null text is empty; null ids come first; equal ids follow in text order."""
 
+    ranks = word_ranks(tokenizer)  # read once
+
     def run(batches):
         from pyspark import TaskContext
 
-        shard, encode = TaskContext.get().partitionId(), _encoder(tokenizer)
+        shard, encode = TaskContext.get().partitionId(), _encoder(tokenizer, ranks)
         held, texts, size, start, block = [], [], 0, 0, 0
 
         def rows(last: bool):
@@ -146,12 +218,14 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, parts: int) -> None
 
         done = 0
         for b in batches:
-            doc, column = b.column("doc_id").to_pylist(), b.column("text")
-            for low in range(0, len(doc), 64):
-                for d, ids in zip(doc[low : low + 64], encode(column[low : low + 64].to_pylist()), strict=True):
-                    held.append(ids)
-                    texts.append((d, done, len(ids)))
-                    done, size = done + len(ids), size + len(ids)
+            doc, column = b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_string()).fill_null("")
+            for low, high in _slices(column, SLICE) if len(doc) else ():
+                ids, lengths = encode(column[low:high])
+                held.append(ids)
+                size += len(ids)
+                for d, n in zip(doc[low:high], lengths.tolist(), strict=True):
+                    texts.append((d, done, n))
+                    done += n
                 if size >= 64 * BLOCK:
                     yield rows(False)
         if size:
