@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20  # bytes of text handled at a time
+CHUNK = 1 << 19  # bytes of text handled at a time
 _P = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2^64
 _P_INV = pow(_P, -1, 1 << 64)
 
