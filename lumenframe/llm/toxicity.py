@@ -72,23 +72,34 @@ class Weights:
         return out
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float, beta: float, l1: float, l2: float, noise: float, epochs: int, min_rows: int):
-    """(buckets, weights, bias) of the texts with these buckets and labels. The bias is a coordinate without L1."""
-    seen, times = np.unique(np.concatenate(rows), return_counts=True)
-    seen = seen[times >= min_rows]
-    dense = []
+def admitted(rows: list[np.ndarray], min_rows: int) -> np.ndarray:
+    """Sorted buckets that at least ``min_rows`` of the rows of distinct buckets hold; a small counter per bucket."""
+    times = np.zeros(sum(1 << bits for _, bits in KINDS), np.uint16)
     for r in rows:
-        at = np.searchsorted(seen, r)
+        times[r] = np.minimum(times[r] + 1, 0xFFF0)
+    return np.flatnonzero(times >= min_rows)
+
+
+def places(rows: list[np.ndarray], seen: np.ndarray) -> list[np.ndarray]:
+    """Each row as places (from 1) in ``seen``, other buckets left out."""
+    out = []
+    for r in rows:
+        at = np.searchsorted(seen, r).astype(np.int32)
         at[at == len(seen)] = 0
-        dense.append(at[seen[at] == r] + 1 if len(seen) else np.empty(0, np.int64))
-    z, n = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1)
+        out.append(at[seen[at] == r] + 1 if len(seen) else np.empty(0, np.int32))
+    return out
+
+
+def ftrl(dense: list[np.ndarray], size: int, labels: np.ndarray, alpha: float, beta: float, l1: float, l2: float, noise: float, epochs: int) -> np.ndarray:
+    """Weights of ``size`` features, the bias first. ``dense``: the features of each row, from 1. The bias has no L1."""
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
 
     def current(i):
         zi, root = z[i], np.sqrt(n[i])
         bar = np.where(i == 0, 0.0, np.maximum(l1, noise * root))
         return np.where(np.abs(zi) <= bar, 0.0, -(zi - np.sign(zi) * bar) / ((beta + root) / alpha + l2))
 
-    order = np.arange(len(rows))
+    order = np.arange(len(dense))
     for _ in range(epochs):
         for r in order:
             i = np.concatenate(([0], dense[r]))
@@ -97,9 +108,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float, beta: float,
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
             n[i] += g * g
         order = order[::-1]
-    w = current(np.arange(len(seen) + 1))
-    keep = np.flatnonzero(w[1:]) + 1
-    return seen[keep - 1].astype(np.int64), w[keep], float(w[0])
+    return current(np.arange(size + 1))
 
 
 def scale(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -135,17 +144,30 @@ def train(
             out = [f.tobytes() for w in bt.words(b.column("text"), bt.LETTERS) for f in features(w)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(key=pd.util.hash_array(part["doc_id"].to_numpy())).sort_values(["key", "x"])
-        rows, y = [np.frombuffer(x, np.uint32) for x in part["x"]], part["y"].to_numpy()
+    def fit(batches):
+        """The one task that sees the sample: its rows stay Arrow buffers until they are short lists of places."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, y = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("doc_id", "y"))
         if not 0 < y.mean() < 1:
-            return pd.DataFrame({"bucket": [-1], "w": [-35.0]})
-        buckets, weights, bias = ftrl(rows, y, alpha, beta, l1, l2, noise, epochs, min_rows)
-        slope, shift = scale(np.array([bias + weights[np.isin(buckets, r, assume_unique=True)].sum() for r in rows]), y)
-        return pd.DataFrame({"bucket": np.append(buckets, -1), "w": np.append(weights * slope, bias * slope + shift)})
+            yield pa.RecordBatch.from_pydict({"bucket": [-1], "w": [-35.0]})
+            return
+        buckets = [np.frombuffer(x.as_buffer() or b"", np.uint32) for b in held for x in b.column("x")]
+        seen, key = admitted(buckets, min_rows), pd.util.hash_array(ids)
+        # by the hash of the id; rows that share it by their features
+        twice = pd.Series(key).duplicated(keep=False).to_numpy()
+        order = sorted(range(len(key)), key=lambda i: (key[i], buckets[i].tobytes() if twice[i] else b""))
+        dense = places(buckets, seen)
+        del buckets, held
+        dense, y = [dense[i] for i in order], y[order]
+        w = ftrl(dense, len(seen), y, alpha, beta, l1, l2, noise, epochs)
+        slope, shift = scale(np.array([w[0] + w[r].sum() for r in dense]), y)
+        keep = np.flatnonzero(w[1:])
+        yield pa.RecordBatch.from_pydict({"bucket": np.append(seen[keep], -1), "w": np.append(w[1:][keep] * slope, w[0] * slope + shift)})
 
     encoded = sample.mapInArrow(encode, "doc_id long, y double, x binary")
-    fitted = encoded.withColumn("model", F.lit(0)).groupBy("model").applyInPandas(fit, "bucket long, w double")
+    fitted = encoded.repartition(1).mapInArrow(fit, "bucket long, w double")
     table = fitted.toPandas().sort_values("bucket")  # bounded by the sample
     if not len(table):
         return Weights(-35.0, np.empty(0, np.int64), np.empty(0))

@@ -584,3 +584,87 @@ def test_columns_with_clashing_names(spark):
         licenses.license_scan(clash, licenses.template_table(spark).withColumn("doc_id", F.lit(1))), ngram_join.ngram_join(clash), mixing.mix(clash), exact_dedup.exact_dedup(clash),
     ):
         out.collect()
+
+
+def test_token_ids_are_those_of_the_library():
+    import tokenizers
+
+    rng = np.random.default_rng(11)
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    near = list("abc AZİÉßÿ.,!?;:)  \n\t\r12'<|>\x0b\x0c\xa0$%&*#")
+    texts = ["KADIKÖYİ. ok", "<|endoftext|> A<|STARTOFTEXT|>b", "", " ", "é.é!", "ﬁ. ॐ? וּ.", "á.", "×. ÷,"]
+    texts += ["".join(near[k] if k < len(near) else points[k * 7919 % len(points)] for k in rng.integers(0, 2 * len(near), rng.integers(0, 60))) for _ in range(20_000)]
+    encode = token_blocks._encoder(vocabulary(), token_blocks.word_ranks(vocabulary()))
+    assert encode.__name__ == "encode"  # the short cut fits this vocabulary
+    ids, lengths = encode(pa.array(texts, pa.large_string()))
+    want = [[*e.ids, 1] for e in tokenizers.Tokenizer.from_file(vocabulary()).encode_batch_fast(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_words_are_merged_as_by_the_library():
+    import json
+
+    import tokenizers
+
+    merged, tok = token_blocks._merger(token_blocks.word_ranks(vocabulary())), tokenizers.Tokenizer.from_file(vocabulary())
+    with open(vocabulary(), encoding="utf-8") as f:
+        entries = json.load(f)["model"]["vocab"]
+    rng = np.random.default_rng(3)
+    words = {e.removesuffix("</w>") for e in entries} | {"".join(rng.choice(list("abcdeorstéüñß"), rng.integers(1, 25))) for _ in range(20_000)}
+    words = sorted(w for w in words if token_blocks.WORD(w))
+    assert [merged(w.encode() + b"\xff") for w in words] == [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def test_a_vocabulary_that_keeps_spaces_is_encoded_whole():
+    import public_tokenizers
+
+    encode = token_blocks._encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encode.__name__ == "whole"
+    ids, lengths = encode(pa.array(["a b", ""], pa.large_string()))
+    assert ids.tolist()[-2:] == [1, 1] and lengths.tolist()[1] == 1
+
+
+def test_remembered_pieces_stay_within_their_bytes(monkeypatch):
+    texts = random_texts(300, 5, vocabulary=10_000)
+    whole = token_blocks._encoder(vocabulary())(pa.array(texts, pa.large_string()))
+    monkeypatch.setattr(token_blocks, "REMEMBERED", 2000)
+    encode = token_blocks._encoder(vocabulary())
+    parts = [encode(pa.array([t], pa.large_string())) for t in texts]
+    assert np.array_equal(np.concatenate([p[0] for p in parts]), whole[0]) and np.array_equal(np.concatenate([p[1] for p in parts]), whole[1])
+
+
+def plain_ftrl(rows, size, labels, alpha, beta, l1, l2, noise, epochs):
+    """The same learner, one coordinate at a time."""
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        root = n[i] ** 0.5
+        bar = 0.0 if i == 0 else max(l1, noise * root)
+        return 0.0 if abs(z[i]) <= bar else -(z[i] - (bar if z[i] > 0 else -bar)) / ((beta + root) / alpha + l2)
+
+    order = list(range(len(rows)))
+    for _ in range(epochs):
+        for r in order:
+            held = [0, *rows[r].tolist()]
+            w = {i: weight(i) for i in held}
+            g = 1 / (1 + np.exp(-min(35, max(-35, sum(w.values()))))) - labels[r]
+            for i in held:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+        order = order[::-1]
+    return [weight(i) for i in range(size + 1)]
+
+
+def test_the_learner_equals_a_plain_loop():
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(np.arange(1, 41), rng.integers(0, 12), replace=False)).astype(np.int32) for _ in range(120)]
+    labels = np.array([float(3 in r or rng.random() < 0.1) for r in rows])
+    got = toxicity.ftrl(rows, 40, labels, 5.0, 1.0, 0.3, 0.1, 0.5, 4)
+    assert got == pytest.approx(plain_ftrl(rows, 40, labels, 5.0, 1.0, 0.3, 0.1, 0.5, 4)) and 0 < np.count_nonzero(got[1:]) < 40
+
+
+def test_admitted_buckets_and_their_places():
+    rows = [np.array(r, np.uint32) for r in ([1, 5, 9], [5, 9], [5], [], [7, 9])]
+    seen = toxicity.admitted(rows, 2)
+    assert seen.tolist() == [5, 9] and [p.tolist() for p in toxicity.places(rows, seen)] == [[1, 2], [1, 2], [1], [], [2]]
+    assert [p.tolist() for p in toxicity.places(rows, toxicity.admitted(rows, 4))] == [[], [], [], [], []]
