@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import all_columns, classify_columns, col, numeric_columns, text_columns
-from lumenframe.plans.onepass import long_aggregate, value_counts
+from lumenframe.plans.comoments import flag_products
+from lumenframe.plans.onepass import long_aggregate, smallest_values, value_counts
 from lumenframe.plans.quantiles import quantiles
 
 
@@ -53,10 +57,11 @@ def profile_columns(df: DataFrame, cols=None, samples: int = 5, exact: bool = Tr
                 "unique": lambda c: F.approx_count_distinct(col(c)),
                 "missing": lambda c: F.count_if(col(c).isNull()),
                 "_rows": lambda c: F.count(F.lit(1)),
-                "samples": lambda c: F.min(col(c)).cast("string"),
             },
         )
-        out = facts.join(totals, "column", "left")
+        least = smallest_values(df, cols, samples)
+        shown = _labels(df, cols, lambda c: {"samples": ", ".join(least[c]) if least[c] else None})
+        out = facts.join(totals, "column", "left").join(shown, "column", "left")
     percent = F.round(100.0 * F.col("missing") / F.col("_rows"), 2)
     return out.select(
         "column",
@@ -145,25 +150,18 @@ def missing_total(df: DataFrame) -> DataFrame:
 
 
 def missing_correlation(df: DataFrame, cols=None) -> DataFrame:
-    """Correlation of null indicators, all pairs in one aggregate; constant indicators are left out."""
+    """Correlation of null indicators; constant indicators are left out."""
     cols = all_columns(df, cols)
-    flags = df.select(*[col(c).isNull().cast("double").alias(f"f{i}") for i, c in enumerate(cols)])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    # A constant indicator has no correlation; its variance decides, not the sign of a division by zero.
-    wide = flags.agg(
-        *[F.avg(f"f{i}").alias(f"m{i}") for i in range(len(cols))],
-        *[F.avg(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"p{i}_{j}") for i, j in pairs],
-    )
-
-    def r(i, j):
-        a, b = F.col(f"m{i}"), F.col(f"m{j}")
-        spread = F.sqrt(a * (1 - a) * b * (1 - b))
-        return F.when(spread > 0, (F.col(f"p{i}_{j}") - a * b) / spread)
-
-    rows = [
-        F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), r(i, j).alias("r")) for i, j in pairs
-    ]
-    return wide.select(F.inline(F.array(*rows))).filter(F.col("r").isNotNull())
+    found = flag_products(df, [col(c).isNull() for c in cols]) if cols else None
+    rows = []
+    if found is not None:
+        both, n = found[0], int(found[1][0, 0])
+        share = both / n
+        for i, j in combinations(range(len(cols)), 2):
+            a, b = share[i, i], share[j, j]
+            if 0 < both[i, i] < n and 0 < both[j, j] < n:
+                rows.append((cols[i], cols[j], float((share[i, j] - a * b) / math.sqrt(a * (1 - a) * b * (1 - b)))))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def missing_pattern(df: DataFrame, cols=None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.columns import TEMPORAL, col, numeric_columns, replace_columns
 from lumenframe.functions.distributions import chi2_p_value, f_p_value, t_p_value
 from lumenframe.plans.storage import materialize
+from lumenframe.plans.comoments import pair_correlations
 
 
 def t_test(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -126,13 +127,22 @@ def ts_to_epoch(df: DataFrame, cols=None) -> DataFrame:
     return replace_columns(df, {c: seconds(c) for c in cols})
 
 
+PLAIN_PAIRS = 100  # pairs of columns in one aggregate
+
+
 def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
-    """Pearson correlation of every column pair over the rows where both are known; one pass."""
+    """Pearson correlation of every column pair over the rows where both are known.
+
+    Few pairs are one aggregate; for many, whose expressions would outgrow a plan, batches are multiplied as matrices.
+    """
     cols = numeric_columns(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    wide = df.agg(*[F.corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return wide.select(F.inline(F.array(*rows)))
+    if 0 < len(pairs) <= PLAIN_PAIRS:
+        wide = df.agg(*[F.corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        return wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    r, n = pair_correlations(df, cols)
+    rows = [(a, b, float(r[i, j]) if n[i, j] > 1 else None) for i, a in enumerate(cols) for j, b in enumerate(cols[i + 1 :], i + 1)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def correlation_edges(df: DataFrame, cols=None, threshold: float = 0.7) -> DataFrame:

@@ -8,12 +8,12 @@ projection, so the second pass has no join at all and fences can be pushed to th
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import classify_columns, col
-from lumenframe.plans.spread import spread
 
 
 def one_row(df: DataFrame, stats: Mapping[str, Column]) -> dict:
@@ -45,22 +45,34 @@ def long_aggregate(
     return summary.select(*by, F.inline(F.array(*rows)))
 
 
-def value_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Unpivot to (column, value, number); ``number`` orders numeric columns as numbers."""
-    numeric = set(classify_columns(df)["numeric"])
-    floats = {c for c, kind in df.dtypes if kind in ("double", "float")}
-    plain = lambda c: col(c) + 0.0 if c in floats else col(c)  # noqa: E731  -0.0 becomes 0.0
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            plain(c).cast("string").alias("value"),
-            (col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"),
-        )
-        for c in cols
-    ]
-    return spread(df.select(*[col(c) for c in cols])).select(F.inline(F.array(*cells)))
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, number, n): the distinct values of each column; ``number`` orders numeric columns as numbers.
 
+    Every column is counted by itself in its own type: it is read alone, counts combine map-side, and only distinct values
+    are shuffled and written as text.
+    """
+    numeric, types = set(classify_columns(df)["numeric"]), dict(df.dtypes)
+    parts = []
+    for c in cols:
+        v = col(c) + F.lit(0.0).cast(types[c]) if types[c] in ("double", "float") else col(c)  # -0.0 becomes 0.0
+        if types[c].startswith("map<") or "map<" in types[c]:
+            v = v.cast("string")
+        counted = df.select(v.alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("n"))
+        number = F.col("_v").cast("double") if c in numeric else F.lit(None).cast("double")
+        parts.append(counted.select(F.lit(c).alias("column"), F.col("_v").cast("string").alias("value"), number.alias("number"), "n"))
+    return reduce(DataFrame.unionAll, parts)
 
-def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value, number, n): counts combine map-side, then shuffle on (column, value)."""
-    return value_rows(df, cols).groupBy("column", "value", "number").agg(F.count(F.lit(1)).alias("n"))
+
+def smallest_values(df: DataFrame, cols: Sequence[str], k: int) -> dict[str, list[str]]:
+    """The k smallest distinct values of each column as text, one bounded aggregate of all columns per place."""
+    found: dict[str, list[str]] = {c: [] for c in cols}
+    above = {c: F.lit(True) for c in cols}
+    for _ in range(k):
+        row = one_row(df, {(c, n): f(F.min(F.when(above[c], col(c)))) for c in cols for n, f in (("v", lambda m: m), ("s", lambda m: m.cast("string")))})
+        for c in cols:
+            if row[(c, "v")] is None:
+                above[c] = F.lit(False)
+            else:
+                found[c].append(row[(c, "s")])
+                above[c] = col(c) > F.lit(row[(c, "v")])
+    return found
