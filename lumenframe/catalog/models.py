@@ -169,3 +169,32 @@ query("ml22_partial_dependence_one_feature", f"""WITH {_OLS}, q AS (SELECT quant
   SELECT round(lo + (hi - lo) * range / 19, 6) AS value, round(a + b * (lo + (hi - lo) * range / 19), 3) AS prediction FROM range(20), q, m""")(
     lambda t: ml.partial_dependence(line(t), priced(t), "l_quantity").select(F.round("value", 6).alias("value"), F.round("prediction", 3).alias("prediction"))
 )
+_FOLD = f"CAST(floor({_U} * 3) AS INTEGER)"
+_FOLDS = f"""d AS (SELECT l_quantity AS x, l_extendedprice AS y, {_FOLD} AS fold FROM lineitem), f AS (SELECT unnest(range(3)) AS f),
+  c AS (SELECT f, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sum(x * y) / sum(x * x) AS b0 FROM d JOIN f ON d.fold <> f.f GROUP BY 1)"""
+query("ml15_cross_validate_one_feature", f"""WITH {_FOLDS}, e AS (SELECT f, 1 - avg((y - a - b * x) ** 2) / var_pop(y) AS r2, avg((y - a - b * x) ** 2) AS mse, avg(abs(y - a - b * x)) AS mae FROM d JOIN c ON d.fold = c.f GROUP BY 1),
+  m AS (SELECT f, 'r2' AS metric, r2 AS v FROM e UNION ALL SELECT f, 'mae', mae FROM e UNION ALL SELECT f, 'rmse', sqrt(mse) FROM e)
+  SELECT metric, round(max(v) FILTER (f = 0), 4) AS fold_0, round(max(v) FILTER (f = 1), 4) AS fold_1, round(max(v) FILTER (f = 2), 4) AS fold_2, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std FROM m GROUP BY 1""")(
+    lambda t: rounded(ml.cross_validate(priced(t), ["l_quantity"], "l_extendedprice", "linear", LK, 3, problem="regression").where("metric <> 'mse'"), 4)
+)
+query("ml16_grid_search_one_feature", f"""WITH {_FOLDS}, e AS (SELECT f, avg((y - a - b * x) ** 2) AS with_, avg((y - b0 * x) ** 2) AS without FROM d JOIN c ON d.fold = c.f GROUP BY 1)
+  SELECT 'fitIntercept=True' AS params, round(sqrt(avg(with_)), 4) AS rmse FROM e UNION ALL SELECT 'fitIntercept=False', round(sqrt(avg(without)), 4) FROM e""")(
+    lambda t: ml.grid_search(priced(t), ["l_quantity"], "l_extendedprice", "linear", LK, grid={"fitIntercept": [True, False]})[0].select("params", F.round(F.sqrt("mse"), 4).alias("rmse"))
+)
+query("ml20_coefficients_one_feature", f"WITH {_OLS} SELECT 'l_quantity' AS feature, round(abs(b), 4) AS importance FROM m")(lambda t: rounded(ml.feature_importance(line(t), t.spark), 4))
+query("ml12_naive_bayes_one_feature", """WITH d AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), a AS (SELECT var_pop(x) AS v FROM d), s AS (SELECT label, avg(x) AS m, var_pop(x) + 1e-9 * any_value(a.v) AS v, count(*) AS n FROM d, a GROUP BY 1),
+  p AS (SELECT d.vec_id, d.label, s.label AS guess, ln(n) - ln(v) / 2 - (x - m) ** 2 / (2 * v) AS score FROM d, s)
+  SELECT vec_id, label, CAST(guess AS VARCHAR) AS predicted FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, guess) = 1""")(
+    lambda t: ml.train(vectors(t), ["e0"], "label", "naive_bayes", {}, "classification").transform(vectors(t)).select("vec_id", "label", F.col("predicted").cast("string").alias("predicted"))
+)
+_READY = """g AS (SELECT l_extendedprice AS y, coalesce(l_quantity, (SELECT median(l_quantity) FROM gappy)) AS q, coalesce(l_discount, (SELECT median(l_discount) FROM gappy)) AS d,
+  coalesce(l_returnflag, (SELECT l_returnflag FROM gappy WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS flag, l_linestatus AS status FROM gappy)"""
+query("ml4_preprocess_values", f"""WITH {GAPPY}, {_READY} SELECT y, round((q - avg(q) OVER ()) / stddev_samp(q) OVER (), 6) AS quantity, round((d - avg(d) OVER ()) / stddev_samp(d) OVER (), 6) AS discount,
+  round(avg(y) OVER (PARTITION BY flag), 4) AS flag, round(avg(y) OVER (PARTITION BY status), 4) AS status FROM g""")(lambda t: _prepared(t))
+
+
+def _prepared(t):
+    d = gappy(t).drop("l_orderkey", "l_linenumber", "l_shipdate")
+    x = ml.vector_to_array("features")
+    made = ml.preprocess(d, "l_extendedprice", "regression").transform(d)
+    return made.select(F.col("l_extendedprice").alias("y"), *[F.round(x[i], k).alias(n) for i, (n, k) in enumerate((("quantity", 6), ("discount", 6), ("flag", 4), ("status", 4)))])

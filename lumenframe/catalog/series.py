@@ -98,6 +98,13 @@ _ACF = """WITH c AS (SELECT event_type, ts, value - avg(value) OVER (PARTITION B
   SELECT a.event_type, k.lag, round(sum(a.x * b.x) / any_value(s0), 8) AS acf FROM k JOIN l a ON true JOIN l b ON b.i = a.i - k.lag AND a.event_type = b.event_type JOIN s ON s.event_type = a.event_type GROUP BY 1, 2"""
 query("ts14_acf", _ACF)(lambda t: rounded(ts.acf(by_type(t), 10, "event_type"), 8))
 query("ts15_pacf")(lambda t: ts.pacf(by_type(t), 10, "event_type"))
+query("ts15_pacf_two_lags", f"""WITH r AS ({_ACF.replace('range(11)', 'range(3)').replace('round(sum(a.x * b.x) / any_value(s0), 8)', 'sum(a.x * b.x) / any_value(s0)')}),
+  p AS (SELECT event_type, max(acf) FILTER (lag = 1) AS r1, max(acf) FILTER (lag = 2) AS r2 FROM r GROUP BY 1)
+  SELECT event_type, lag, round(CASE lag WHEN 0 THEN 1.0 WHEN 1 THEN r1 ELSE (r2 - r1 * r1) / (1 - r1 * r1) END, 8) AS pacf FROM r JOIN p USING (event_type)""")(lambda t: rounded(ts.pacf(by_type(t), 2, "event_type"), 8))
+query("ts16_adf_no_lags", """WITH s AS (SELECT value, lag(value) OVER (ORDER BY ts, value) AS prev FROM events WHERE event_id % 9 <> 0), r AS (SELECT regr_slope(value - prev, prev) AS b, regr_sxx(value - prev, prev) AS sxx, regr_syy(value - prev, prev) AS syy, count(*) AS n FROM s WHERE prev IS NOT NULL)
+  SELECT round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 6) AS statistic, CAST(0 AS INTEGER) AS lags, n AS rows FROM r""")(
+    lambda t: ts.adf_test(events(t), max_lag=0).select(F.round("statistic", 6).alias("statistic"), "lags", "rows")
+)
 query("ts16_adf_test")(lambda t: ts.adf_test(events(t)))
 query("ts17_seasonal_decompose", f"""WITH {MO}, n AS (SELECT ts, value, row_number() OVER (ORDER BY ts) - 1 AS p, count(*) OVER () AS n FROM mo),
   t0 AS (SELECT *, CASE WHEN p >= 6 AND p < n - 6 THEN (sum(value) OVER (ORDER BY p ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) - 0.5 * lag(value, 6) OVER (ORDER BY p) - 0.5 * lead(value, 6) OVER (ORDER BY p)) / 12 END AS tr FROM n),

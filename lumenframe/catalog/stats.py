@@ -33,12 +33,13 @@ query("src1_read_table", "SELECT * FROM orders")(
 query("src2_read_csv_strings", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer")(
     lambda t: _round_trip(t, t.customer, writers.write_csv, readers.read_csv_strings)
 )
-query("src3_read_csv_encoded", "SELECT doc_id AS doc_id, left(regexp_extract(text, '[^ \\n]+'), 10) AS word FROM documents")(
+_LATIN = r"[^ !#-\[\]-~\x{A0}-\x{FF}]+"  # line ends, quotes and what the encoding lacks
+query("src3_read_csv_encoded", f"SELECT doc_id, trim(regexp_replace(text, '{_LATIN}', ' ', 'g')) AS text FROM documents")(
     lambda t: _round_trip(
-        t, t.documents.select("doc_id", F.left(F.regexp_extract("text", r"[^ \n]+", 0), F.lit(10)).alias("word")),
+        t, t.documents.select("doc_id", F.trim(F.regexp_replace("text", _LATIN, " ")).alias("text")),
         lambda d, p: d.write.option("header", True).option("encoding", "ISO-8859-1").csv(p),
         lambda s, p: readers.read_csv_encoded(s, p),
-    ).select(F.col("doc_id").cast("long"), "word")
+    ).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 )
 query("src4_read_sampled", """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
   WHERE CAST('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber), 1, 8) AS BIGINT) / 4294967296.0 < 0.1""")(
@@ -80,14 +81,13 @@ query("snk4_save_as_table", "SELECT o_orderpriority, count(*) AS n FROM orders G
 )
 
 
-@query("snk5_drop_tables", "SELECT n_name AS dropped FROM nation")
+@query("snk5_drop_tables", "SELECT 'nation_' || n_nationkey AS dropped FROM nation")
 def _(t):
     # one view per nation, then all dropped again; the names that were really dropped come back
-    for name in ("nation_a", "nation_b"):
-        writers.save_as_table(t.nation, name)
-    gone = writers.drop_tables(t.spark, ["nation_a", "nation_b", "never_made"])
-    assert gone == ["nation_a", "nation_b"]
-    return t.nation.select(F.col("n_name").alias("dropped"))
+    names = [f"nation_{r.n_nationkey}" for r in t.nation.select("n_nationkey").collect()]
+    for name in names:
+        writers.save_as_table(t.nation.where(F.lit(name) == F.concat(F.lit("nation_"), "n_nationkey")), name)
+    return t.spark.createDataFrame([(n,) for n in writers.drop_tables(t.spark, [*names, "never_made"])], "dropped string")
 
 
 @query("snk6_history_table", """SELECT 'query' AS kind, CAST(count(*) AS DOUBLE) AS value FROM orders UNION ALL SELECT 'query', CAST(count(DISTINCT o_custkey) AS DOUBLE) FROM orders
@@ -181,8 +181,7 @@ query("sql14_anti_join", "SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM
 @query("sql15_create_table", "SELECT r_regionkey AS id, r_name AS name, 'open' AS state FROM region")
 def _(t):
     name = f"made_{uuid.uuid4().hex[:8]}"
-    location = scratch(t)
-    t.spark.sql(f"CREATE TABLE {name} (id INT, name STRING, state STRING DEFAULT 'open') USING parquet LOCATION '{location}'")
+    sqltables.create_table(t.spark, name, {"id": "INT", "name": "STRING", "state": "STRING"}, {"state": "'open'"}, path=scratch(t))
     t.region.createOrReplaceTempView("region_rows")
     t.spark.sql(f"INSERT INTO {name} (id, name) SELECT r_regionkey, r_name FROM region_rows")
     return t.spark.table(name)
@@ -272,7 +271,9 @@ query("viz4_box_stats", " UNION ALL ".join(f"""SELECT '{c}' AS "column", min({c}
   FROM {tab}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3 FROM {tab})""" for tab, c in (("events", "value"),)))(
     lambda t: rounded(charts.box_stats(t.events, ["value"]), 6)
 )
-query("viz5_stratified_sample")(lambda t: charts.stratified_sample(t.lineitem, "l_returnflag", 1000, ["l_orderkey", "l_linenumber", "l_partkey"]))
+_DRAW = "CAST(CAST('0x' || substr(md5(concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+query("viz5_stratified_sample", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {_DRAW}, l_orderkey, l_linenumber, l_partkey) - 1 AS _rank,
+  floor(count(*) OVER (PARTITION BY l_returnflag) * (CAST(1000 AS DOUBLE) / count(*) OVER ())) AS _take FROM lineitem) SELECT * EXCLUDE (_rank, _take) FROM r WHERE _rank < _take""")(lambda t: charts.stratified_sample(t.lineitem, "l_returnflag", 1000, ["l_orderkey", "l_linenumber", "l_partkey"]))
 for _part, _i in (("A", 0), ("D", 3)):
     query(f"viz6_quarter_slice_{_part.lower()}", f"""WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events)
       SELECT event_id FROM p WHERE i >= {_i} * (n // 4) AND i < {'n' if _i == 3 else f'{_i + 1} * (n // 4)'}""")(

@@ -37,6 +37,12 @@ query("sch2_restructure")(
     )
 )
 
+query("sch2_restructure_named", """SELECT c_custkey, c_name AS "Customer_000000000", CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE 'MISSING_VALUE' END AS "MISSING_VALUE" FROM customer WHERE c_custkey <> 0""")(
+    lambda t: schema.restructure(
+        t.customer.select("c_custkey", F.col("c_name").alias("a"), F.when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment")).alias("b"), F.lit(None).cast("string").alias("c")), "c_custkey"
+    )
+)
+
 query("sch3_sanitize_columns", """SELECT n_nationkey AS key_1_, n_name AS "name_text" FROM nation""")(
     lambda t: schema.sanitize_columns(t.nation.select(F.col("n_nationkey").alias("key[1]"), F.col("n_name").alias("name:text")))
 )
@@ -51,10 +57,13 @@ query("sch4_narrow_types_report", union("""SELECT '{c}' AS "column", CASE WHEN '
     lambda t: schema.narrow_types_report(t.lineitem.drop("l_shipdate"))
 )
 
-query("sch4_narrow_types", "SELECT p_name, CAST(p_partkey AS INTEGER) AS p_partkey, CAST(p_size AS INTEGER) AS p_size FROM part")(
-    lambda t: schema.narrow_types(t.part.select("p_name", "p_partkey", "p_size"))
-    .withColumn("p_size", F.col("p_size").cast("int"))
-    .withColumn("p_partkey", F.col("p_partkey").cast("int"))
+_NARROW = "CASE WHEN max({c}) <= 127 THEN 'tinyint' WHEN max({c}) <= 32767 THEN 'smallint' WHEN max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END"
+_NARROWED = ["p_partkey", "p_size"]
+query("sch4_narrow_types", f"""WITH k AS (SELECT {', '.join(_NARROW.replace('{c}', c) + f' AS {c}_type' for c in _NARROWED)} FROM part)
+  SELECT p_name, CAST(p_partkey AS BIGINT) AS p_partkey, CAST(p_size AS BIGINT) AS p_size, p_partkey_type, p_size_type FROM part, k""")(
+    lambda t: (lambda made: made.select("p_name", *[F.col(c).cast("bigint").alias(c) for c in _NARROWED], *[F.lit(dict(made.dtypes)[c]).alias(f"{c}_type") for c in _NARROWED]))(
+        schema.narrow_types(t.part.select("p_name", *_NARROWED))
+    )
 )
 
 _NUM_OK = lambda c: f"count(TRY_CAST({c} AS DOUBLE))"
@@ -161,6 +170,16 @@ query("prf11_top_pairs", "SELECT p_brand, p_type, count(*) AS n FROM part GROUP
     lambda t: profile.top_values(t.part, ["p_brand", "p_type"], 20)
 )
 query("prf12_dataset_context")(lambda t: profile.dataset_context(gappy(t)))
+_FIELD = {"columns": "$.columns", "rows": "$.rows", "missing": "$.missing_values"}
+query("prf12_dataset_context_fields", f"""WITH {GAPPY} SELECT CAST(8 AS DOUBLE) AS columns, CAST(count(*) AS DOUBLE) AS rows,
+  CAST({' + '.join(f"count(*) FILTER ({c} IS NULL)" for c in ("l_quantity", "l_discount", "l_returnflag"))} AS DOUBLE) AS missing, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_discount), 6) AS std,
+  round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, round(corr(l_quantity, l_extendedprice), 6) AS r FROM gappy""")(
+    lambda t: profile.dataset_context(gappy(t)).select(
+        *[F.get_json_object("context", p).cast("double").alias(n) for n, p in _FIELD.items()],
+        *[F.round(F.get_json_object("context", p).cast("double"), d).alias(n) for n, p, d in (
+            ("mean", "$.describe.l_quantity.mean", 6), ("std", "$.describe.l_discount.std", 6), ("q75", "$.describe.l_extendedprice.q75", 4), ("r", "$.correlation.l_quantity~l_extendedprice", 6))],
+    )
+)
 query("prf13_encoding_suggestions", union("""SELECT '{c}' AS "column", count(DISTINCT {c}) AS "unique",
    CASE WHEN count(DISTINCT {c}) > 50 THEN 'Frequency Encoding' ELSE 'One-Hot Encoding' END AS recommended,
    CASE WHEN count(DISTINCT {c}) > 50 THEN 'Hash Encoding, Embedding' WHEN count(DISTINCT {c}) > 10 THEN 'Target Encoding, Label Encoding' ELSE 'Label Encoding, Binary Encoding' END AS alternatives,

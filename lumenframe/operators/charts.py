@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.columns import col, numeric_columns
+from lumenframe.functions.columns import col, numeric_columns, unit_draw
 from lumenframe.functions.distributions import normal_score
 from lumenframe.operators.clean import iqr_fences
 from lumenframe.plans.joins import lookup
@@ -93,14 +93,14 @@ def box_stats(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
 def stratified_sample(df: DataFrame, column: str, n: int, key, seed: int = 42) -> DataFrame:
     """About ``n`` rows, each category in proportion to its size: floor(n / total x size) rows.
 
-    Rows are drawn in the order of a hash of the key, so the sample repeats. Ranks come from
+    Rows are drawn in the order of a hash of the key that every engine has, so the sample repeats. Ranks come from
     ``with_position``, which splits a category too large for one task.
     """
     keys = [key] if isinstance(key, str) else list(key)
     total = df.count()
     if total <= n:
         return df
-    draw = F.xxhash64(F.lit(seed), *[col(k) for k in keys])
+    draw = unit_draw(keys, seed)
     share = df.groupBy(col(column)).agg(F.floor(F.count(F.lit(1)) * F.lit(n / total)).alias("_take"))
     ranked = with_position(df, [draw, *keys], column, "_rank")
     return lookup(ranked, share, [column]).filter(F.col("_rank") < F.col("_take")).drop("_rank", "_take")

@@ -14,7 +14,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (
-    Imputer, IndexToString, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, TargetEncoder, VectorAssembler,
+    IndexToString, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, TargetEncoder, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -122,7 +122,7 @@ def impute_mean(df: DataFrame, features: Sequence[str], target: str) -> DataFram
 
 
 def preprocess(df: DataFrame, target: str, problem: str, encoding: str = "target") -> PipelineModel:
-    """Fitted preparation ending in ``features``. Numbers: median, then standardised. Categories: mode, then
+    """Fitted preparation ending in ``features``. Numbers: exact median, then standardised. Categories: mode, then
     one-hot (classification) or target encoding (regression; ``encoding='count'`` uses frequencies)."""
     numbers = [c for c in numeric_columns(df) if c != target]
     texts = [c for c in classify_columns(df)["categorical"] if c != target]
@@ -137,9 +137,10 @@ def preprocess(df: DataFrame, target: str, problem: str, encoding: str = "target
         )
     ready = []
     if numbers:
+        middle = {c: q[0] for c, q in exact_quantiles(df, numbers, [0.5]).items()}
+        known = ", ".join(f"coalesce(CAST(`{c}` AS DOUBLE), {float(middle[c] or 0.0)!r}D) AS `{c}_known`" for c in numbers)
         stages += [
-            SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{c}_number`" for c in numbers) + " FROM __THIS__"),
-            Imputer(inputCols=[f"{c}_number" for c in numbers], outputCols=[f"{c}_known" for c in numbers], strategy="median"),
+            SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"),
             VectorAssembler(inputCols=[f"{c}_known" for c in numbers], outputCol="numbers"),
             StandardScaler(inputCol="numbers", outputCol="numbers_scaled", withMean=True, withStd=True),
         ]

@@ -124,11 +124,11 @@ def subset(df: DataFrame, cols: Sequence[str], n: int, key) -> DataFrame:
 _CONSTRAINT_KINDS = ("primary_key", "unique", "not_null", "check")
 
 
-def create_table(spark: SparkSession, name: str, columns: Mapping[str, str], defaults: Mapping[str, str] | None = None) -> DataFrame:
-    """``columns``: name to SQL type; ``defaults``: name to SQL literal. Constraints are checked by
-    :func:`check_constraints` before rows are written."""
+def create_table(spark: SparkSession, name: str, columns: Mapping[str, str], defaults: Mapping[str, str] | None = None, path: str | None = None) -> DataFrame:
+    """``columns``: name to SQL type; ``defaults``: name to SQL literal; ``path``: where the rows go if not in the warehouse.
+    Constraints are checked by :func:`check_constraints` before rows are written."""
     parts = [f"`{c}` {t}" + (f" DEFAULT {defaults[c]}" if defaults and c in defaults else "") for c, t in columns.items()]
-    spark.sql(f"CREATE TABLE `{name}` ({', '.join(parts)}) USING parquet")
+    spark.sql(f"CREATE TABLE `{name}` ({', '.join(parts)}) USING parquet" + (f" LOCATION '{path}'" if path else ""))
     return spark.table(name)
 
 
