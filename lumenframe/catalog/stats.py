@@ -211,26 +211,39 @@ query("sql20_alter_table", "SELECT n_nationkey, n_name AS name, 'x' AS note FROM
 
 _MOMENTS = "count({c}) AS n{i}, avg({c}) AS m{i}, var_samp({c}) AS v{i}"
 _TWO = ", ".join(_MOMENTS.replace("{c}", c).replace("{i}", str(i)) for i, c in enumerate(("l_discount", "l_tax")))
-query("stt1_t_test", f"""WITH s AS (SELECT {_TWO} FROM lineitem) SELECT round((m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)), 6) AS t, n0 + n1 - 2 AS dof FROM s""")(
-    lambda t: rounded(stats.t_test(t.lineitem, "l_discount", "l_tax").drop("p"), 6)
+def _with_p(sql: str, upper: str, log_density: str, digits: int) -> str:
+    """The statistics of ``sql`` and their tail probability, by Simpson's rule on the density of the root of the statistic."""
+    return f"""WITH base AS ({sql}), i AS (SELECT unnest(range(4001)) AS i), x AS (SELECT base.*, greatest(i * {upper} / 4000, 1e-300) AS w, {upper} / 4000 AS h,
+  CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS c FROM base, i)
+  SELECT * EXCLUDE (w, h, c, part), round(greatest(1 - sum(part), 0), {digits}) AS p FROM (SELECT *, c * exp({log_density}) * h / 3 AS part FROM x) GROUP BY ALL"""
+
+
+def _f_root(d1: str, d2: str) -> str:
+    return (f"ln(2) + {d1} / 2.0 * ln({d1} * 1.0 / {d2}) + lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0)"
+            f" + ({d1} - 1) * ln(w) - ({d1} + {d2}) / 2.0 * ln(1 + {d1} * w * w / {d2})")
+
+
+_CHI_ROOT = "(dof - 1) * ln(w) - w * w / 2 - (dof / 2.0 - 1) * ln(2) - lgamma(dof / 2.0)"
+query("stt1_t_test", _with_p(f"""WITH s AS (SELECT {_TWO} FROM lineitem) SELECT round((m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)), 6) AS t, n0 + n1 - 2 AS dof FROM s""", "abs(t)", _f_root("1", "dof"), 4))(
+    lambda t: rounded(stats.t_test(t.lineitem, "l_discount", "l_tax"), 6).withColumn("p", F.round("p", 4))
 )
-query("stt2_anova", f"""WITH s AS (SELECT {_TWO} FROM lineitem), g AS (SELECT *, (n0 * m0 + n1 * m1) / (n0 + n1) AS gm FROM s)
-  SELECT round((n0 * (m0 - gm) ** 2 + n1 * (m1 - gm) ** 2) / (((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)), 4) AS f, CAST(1 AS BIGINT) AS dof_between, n0 + n1 - 2 AS dof_within FROM g""")(
-    lambda t: rounded(stats.anova(t.lineitem, "l_discount", "l_tax").drop("p"), 4)
+query("stt2_anova", _with_p(f"""WITH s AS (SELECT {_TWO} FROM lineitem), g AS (SELECT *, (n0 * m0 + n1 * m1) / (n0 + n1) AS gm FROM s)
+  SELECT round((n0 * (m0 - gm) ** 2 + n1 * (m1 - gm) ** 2) / (((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)), 4) AS f, CAST(1 AS BIGINT) AS dof_between, n0 + n1 - 2 AS dof_within FROM g""", "sqrt(f)", _f_root("dof_between", "dof_within"), 4))(
+    lambda t: rounded(stats.anova(t.lineitem, "l_discount", "l_tax"), 4)
 )
-query("stt2_anova_by", """WITH g AS (SELECT l_suppkey, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1), t AS (SELECT avg(l_extendedprice) AS gm FROM lineitem)
-  SELECT round((sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 6) AS f, count(*) - 1 AS dof_between, CAST(sum(n) - count(*) AS BIGINT) AS dof_within FROM g, t""")(
-    lambda t: rounded(stats.anova_by(t.lineitem, "l_extendedprice", "l_suppkey").drop("p"), 6)
+query("stt2_anova_by", _with_p("""WITH g AS (SELECT l_suppkey, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1), t AS (SELECT avg(l_extendedprice) AS gm FROM lineitem)
+  SELECT round((sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 6) AS f, count(*) - 1 AS dof_between, CAST(sum(n) - count(*) AS BIGINT) AS dof_within FROM g, t""", "sqrt(f)", _f_root("dof_between", "dof_within"), 4))(
+    lambda t: rounded(stats.anova_by(t.lineitem, "l_extendedprice", "l_suppkey"), 6).withColumn("p", F.round("p", 4))
 )
-query("stt3_chi_square", """WITH o AS (SELECT a, b, (SELECT count(*) FROM part WHERE p_brand = a AND p_type = b) AS n FROM (SELECT DISTINCT p_brand AS a FROM part), (SELECT DISTINCT p_type AS b FROM part)),
+query("stt3_chi_square", _with_p("""WITH o AS (SELECT a, b, (SELECT count(*) FROM part WHERE p_brand = a AND p_type = b) AS n FROM (SELECT DISTINCT p_brand AS a FROM part), (SELECT DISTINCT p_type AS b FROM part)),
   e AS (SELECT n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / CAST(sum(n) OVER () AS DOUBLE) AS e, a, b FROM o)
-  SELECT round(sum((n - e) ** 2 / e), 6) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM e""")(
-    lambda t: rounded(stats.chi_square(t.part, "p_brand", "p_type").drop("p"), 6)
+  SELECT round(sum((n - e) ** 2 / e), 6) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM e""", "sqrt(chi2)", _CHI_ROOT, 4))(
+    lambda t: rounded(stats.chi_square(t.part, "p_brand", "p_type"), 6).withColumn("p", F.round("p", 4))
 )
-query("stt3_chi_square_2x2", """WITH s AS (SELECT l_quantity > 25 AS a, l_tax > 0.04 AS b, count(*) AS n FROM lineitem GROUP BY 1, 2),
+query("stt3_chi_square_2x2", _with_p("""WITH s AS (SELECT l_quantity > 25 AS a, l_tax > 0.04 AS b, count(*) AS n FROM lineitem GROUP BY 1, 2),
   e AS (SELECT n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / CAST(sum(n) OVER () AS DOUBLE) AS e FROM s)
-  SELECT round(sum((abs(n - e) - least(0.5, abs(n - e))) ** 2 / e), 6) AS chi2, CAST(1 AS BIGINT) AS dof FROM e""")(
-    lambda t: rounded(stats.chi_square(t.lineitem.selectExpr("l_quantity > 25 AS a", "l_tax > 0.04D AS b"), "a", "b").drop("p"), 6)
+  SELECT round(sum((abs(n - e) - least(0.5, abs(n - e))) ** 2 / e), 6) AS chi2, CAST(1 AS BIGINT) AS dof FROM e""", "sqrt(chi2)", _CHI_ROOT, 4))(
+    lambda t: rounded(stats.chi_square(t.lineitem.selectExpr("l_quantity > 25 AS a", "l_tax > 0.04D AS b"), "a", "b"), 6).withColumn("p", F.round("p", 4))
 )
 query("stt4_crosstab", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")(
     lambda t: stats.crosstab(t.orders, "o_orderstatus", "o_orderpriority")

@@ -358,7 +358,7 @@ def test_isolation_forest_flags_what_is_apart(spark):
     from lumenframe.operators.anomaly import isolation_forest
 
     rows = spark.range(3000).selectExpr("id", "cast(id % 50 as double) as a", "case when id < 5 then 900.0D + id else cast(id % 40 as double) end as b")
-    got = isolation_forest(rows, ["a", "b"], contamination=0.02, key="id", trees=30, tree_rows=128)
+    got = isolation_forest(rows, ["a", "b"], contamination=0.02, key="id", tree_rows=128)
     assert {r.id for r in got.where("anomaly").collect()} >= {0, 1, 2, 3, 4}
-    again = isolation_forest(rows.repartition(5), ["a", "b"], contamination=0.02, key="id", trees=30, tree_rows=128)
+    again = isolation_forest(rows.repartition(5), ["a", "b"], contamination=0.02, key="id", tree_rows=128)
     assert {(r.id, round(r.score, 9)) for r in got.collect()} == {(r.id, round(r.score, 9)) for r in again.collect()}
