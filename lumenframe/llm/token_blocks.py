@@ -31,8 +31,8 @@ from lumenframe.plans.storage import shared_folder
 BLOCK = 2048
 PERCENTILE = 90
 END = 1  # the id appended to every text
-SLICE = 4 << 20  # bytes of text encoded at a time
-REMEMBERED = 32 << 20  # bytes of pieces and their ids that a task remembers
+SLICE = 2 << 20  # bytes of text encoded at a time
+REMEMBERED = 24 << 20  # bytes of pieces and their ids that a task remembers
 LETTER_MARK = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([%*#$&!.,;:?)])"  # Latin letters whose lower case is one letter
 WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
 FOLDED = {ord(c): " " for c in "\n\t\r"} | {c: chr(c + 32) for c in range(ord("A"), ord("Z") + 1)}
@@ -230,6 +230,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, parts: int) -> None
                     yield rows(False)
         if size:
             yield rows(True)
+        pa.default_memory_pool().release_unused()  # the worker goes on with other stages
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, SCHEMA).write.parquet(path)

@@ -164,6 +164,8 @@ def train(
         w = ftrl(dense, len(seen), y, alpha, beta, l1, l2, noise, epochs)
         slope, shift = scale(np.array([w[0] + w[r].sum() for r in dense]), y)
         keep = np.flatnonzero(w[1:])
+        del dense
+        pa.default_memory_pool().release_unused()  # the worker goes on with other stages
         yield pa.RecordBatch.from_pydict({"bucket": np.append(seen[keep], -1), "w": np.append(w[1:][keep] * slope, w[0] * slope + shift)})
 
     encoded = sample.mapInArrow(encode, "doc_id long, y double, x binary")
