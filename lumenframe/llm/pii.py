@@ -1,24 +1,28 @@
 """Personal data and the terms that reveal it: information-theoretic sanitisation.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by patterns over whole texts. Each
-distinct value is a protected entity. A term (a word of ``TERM`` letters or more) near an entity may reveal it even when
-the entity itself is masked. How much is estimated over the corpus: with N texts, n(e) that hold the entity, n(t) that
-hold the term anywhere and n(t,e) in which the term stands within ``NEAR`` code points of the entity,
+distinct value is a protected entity. A term (a word of four letters or more) that stands in a text with an entity, anywhere
+outside base spans, may reveal it even when the entity itself is masked. How much is estimated over the corpus: with N texts,
+n(e) that hold the entity, n(t) that hold the term and n(t,e) that hold both,
 
     disclosure(t, e) = log2(N n(t,e) / (n(t) n(e))) / log2(N / n(e)),
 
 the share of the entity's information that the term gives away. Terms of at least ``threshold`` are spans too (those of
 n(t,e) under ``support`` are not looked at; 1 leaves none out, for most personal values stand in one text), wherever they
-stand near that entity; ``sanitised`` replaces base spans by their kind and generalises such terms to a class.
+stand in a text with that entity; ``sanitised`` replaces base spans by their kind and generalises such terms to a class.
+
+Entities in the same texts are one class, and so are terms of equal n(t) in the same texts with entities, so the values and
+words of one text, or of its copies, meet as a few classes. As n(t,e) is at most n(e), a term can reach the threshold only if
+n(t) <= N^(1 - threshold) n(e)^threshold: other pairs of classes are not formed.
 
 Only DataFrame functions are used. Positions come from splitting a text at the pattern: pieces and matches alternate, so
-starts are sums of their lengths in code points. One pass over the texts finds the candidates and writes them down (few
-texts have any); another counts, for the terms near entities, the texts that hold them.
+starts are sums of their lengths in code points. One pass over the texts finds the candidates and writes them down, with
+the text if one is valid (few are); another counts, for the terms of those texts, the texts that hold them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,25 +39,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-NEAR = 64
-TERM = 4
 WORD = r"\p{L}{4,}"
 TERMS = 1_000_000  # terms that may be broadcast
 
 
 def _candidates(kind: str) -> Column:
-    """Matches with the code points since the last match and the text around, as an array of structs."""
+    """Matches with the code points since the last match, as an array of structs."""
     pieces, found = F.col(f"{kind}_pieces"), F.col(f"{kind}_found")
-    n = F.size(found)
-    around = F.arrays_zip(found.alias("found"), F.slice(pieces, 1, n).alias("before"), F.slice(pieces, 2, n).alias("after"))
-
-    def one(x):
-        found, before, after = x["found"], x["before"], x["after"]
-        left = F.when(F.length(before) > NEAR, F.regexp_replace(F.right(before, F.lit(NEAR)), r"^\p{L}+", "")).otherwise(before)
-        right = F.when(F.length(after) > NEAR, F.regexp_replace(F.left(after, F.lit(NEAR)), r"\p{L}+$", "")).otherwise(after)
-        return F.struct(found.alias("found"), F.length(before).alias("gap"), left.alias("left"), right.alias("right"))
-
-    return F.transform(around, one)
+    both = F.arrays_zip(found.alias("found"), F.slice(pieces, 1, F.size(found)).alias("before"))
+    return F.transform(both, lambda x: F.struct(x["found"].alias("found"), F.length(x["before"]).alias("gap")))
 
 
 def _valid(kind: Column, found: Column) -> Column:
@@ -69,7 +63,7 @@ def _valid(kind: Column, found: Column) -> Column:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id and the candidates of each kind, written down."""
+    """row, doc_id, the candidates of each kind and the text if one of them is valid, written down."""
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select("doc_id", text.alias("text"))
     columns = []
@@ -77,66 +71,81 @@ def _scan(docs: DataFrame) -> DataFrame:
         has = F.contains("text", F.lit("@")) if kind == "email" else F.contains("text", F.lit("+")) if kind == "phone" else F.rlike("text", F.lit("[0-9]"))
         columns.append(F.when(has, F.split("text", PATTERNS[kind], -1)).alias(f"{kind}_pieces"))
         columns.append(F.when(has, F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"{kind}_found"))
-    found = texts.select("doc_id", *columns)
-    return materialize(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", *[F.when(F.size(f"{k}_found") > 0, _candidates(k)).alias(k) for k in KINDS]))
+    found = texts.select("doc_id", "text", *columns)
+    held = reduce(Column.__or__, [F.exists(f"{k}_found", partial(_valid, F.lit(i))) for i, k in enumerate(KINDS)])
+    kept = [F.when(F.size(f"{k}_found") > 0, _candidates(k)).alias(k) for k in KINDS]
+    return materialize(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", *kept, F.when(held, F.col("text")).alias("text")))
 
 
 def _base(scanned: DataFrame) -> DataFrame:
-    """row, kind (number), found, start, end, left, right of the valid matches."""
+    """row, kind (number), found, start, end of the valid matches."""
     rows = [scanned.where(F.col(k).isNotNull()).select("row", F.lit(i).alias("kind"), F.posexplode(k).alias("pos", "m")) for i, k in enumerate(KINDS)]
     rows = reduce(DataFrame.union, rows).select("row", "kind", "pos", "m.*")
     upto = W.partitionBy("row", "kind").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("found")).over(upto)
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("found"))
-    return rows.where(_valid(F.col("kind"), F.col("found"))).select("row", "kind", "found", "start", "end", "left", "right")
+    return rows.where(_valid(F.col("kind"), F.col("found"))).select("row", "kind", "found", "start", "end")
 
 
-def _near_terms(base: DataFrame) -> DataFrame:
-    """row, entity, term, start, end of every term near an entity."""
-    entity = F.concat_ws(":", F.col("kind").cast("string"), F.when(F.col("kind") >= 2, F.regexp_replace("found", "[^0-9]", "")).otherwise(F.lower("found")))
-    sides = [base.select("row", entity.alias("entity"), F.col(side).alias("text"), begin.alias("begin")) for side, begin in (("left", F.col("start") - F.length("left")), ("right", F.col("end")))]
-    sides = reduce(DataFrame.union, sides).where(F.rlike("text", F.lit(WORD)))
-    cut = sides.select("row", "entity", "begin", F.split("text", WORD, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0)).alias("words"))
-    n = F.size("words")
-    # at most NEAR / TERM words, so sums over the words before are cheap
-    ahead = lambda i: F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("words", 1, i), F.lit(0), lambda a, x: a + F.length(x))
-    marks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lower(F.get("words", i)).alias("term"), ahead(i).alias("at"), F.length(F.get("words", i)).alias("n")))
-    return cut.select("row", "entity", "begin", F.explode(marks).alias("m")).select(
-        "row", "entity", "m.term", (F.col("begin") + F.col("m.at")).alias("start"), (F.col("begin") + F.col("m.at") + F.col("m.n")).alias("end")
-    )
-
-
-def _revealing(docs: DataFrame, near: DataFrame, threshold: float, support: int) -> DataFrame:
-    """entity, term of disclosure at or above the threshold."""
+def _words(scanned: DataFrame, base: DataFrame) -> DataFrame:
+    """row, term, start, end of every word of a text with base spans that overlaps none of them."""
+    cut = scanned.where("text is not null").select("row", F.split("text", WORD, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0)).alias("words"))
+    cut = cut.select("row", F.posexplode(F.arrays_zip(F.slice("gaps", 1, F.size("words")).alias("gap"), F.col("words").alias("word"))).alias("pos", "m"))
+    upto = W.partitionBy("row").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    cut = cut.withColumn("end", F.sum(F.length("m.gap") + F.length("m.word")).over(upto))
+    placed = cut.select("row", F.lower("m.word").alias("term"), (F.col("end") - F.length("m.word")).alias("start"), "end")
+    marks = placed.union(base.select("row", F.lit(None).cast("string"), "start", "end"))
+    # the base spans that start before a word, and those that start no earlier
+    order = W.partitionBy("row").rowsBetween(W.unboundedPreceding, -1)
+    base_only = lambda c: F.when(F.col("term").isNull(), F.col(c))
+    last = F.coalesce(F.max(base_only("end")).over(order.orderBy("start", "end", "term")), F.lit(0))
+    following = F.min(base_only("start")).over(order.orderBy(F.desc("start"), F.desc("end"), F.desc("term")))
+    marks = marks.withColumn("last", last).withColumn("following", following)
+    return marks.where("term is not null and last <= start and (following is null or following >= end)").select("row", "term", "start", "end")
+
+
+def _same_rows(rows: DataFrame, key: str) -> DataFrame:
+    """key, n, a, b: number and fingerprint (128 bits) of the texts that hold it; ``rows`` has distinct (row, key)."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b"))
+
+
+def _revealing(docs: DataFrame, base: DataFrame, words: DataFrame, threshold: float, support: int) -> DataFrame:
+    """row, term of the terms whose disclosure of an entity of that text is at or above the threshold."""
     total = docs.count()
-    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    pairs = materialize(pairs)
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = materialize(pairs.select("term").distinct())
-    wanted = F.broadcast(terms) if terms.count() <= TERMS else terms
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(0)))).alias("term"))
-    counts = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    known = pairs.join(entities, "entity").join(counts, "term")
-    # the words of a text may be cut otherwise than those of a context, so a term counts at least where it was seen
+    entity = F.concat_ws(":", F.col("kind").cast("string"), F.when(F.col("kind") >= 2, F.regexp_replace("found", "[^0-9]", "")).otherwise(F.lower("found")))
+    entities = base.select("row", entity.alias("entity")).distinct()
+    held = entities.join(_same_rows(entities, "entity"), "entity").select("row", F.col("n").alias("n_e"), F.struct("n", "a", "b").alias("who")).distinct()
+    seen = materialize(words.select("row", "term").distinct())
+    terms = materialize(_same_rows(seen, "term"))
+    wanted = F.broadcast(terms.select("term")) if terms.count() <= TERMS else terms.select("term")
+    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(0)))).alias("term"))
+    counts = every.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    most = held.agg(F.max("n_e")).first()[0] or 1
+    # the share of all texts that a term may stand in, with some room for rounding
+    rare = lambda n_e: F.col("n_t") <= F.lit((1 + 1e-9) * total ** (1 - threshold)) * F.pow(n_e, F.lit(float(threshold)))
+    bounded = terms.join(counts.where(rare(F.lit(float(most)))), "term").select("term", "n_t", F.struct("n", "n_t", "a", "b").alias("what"))
+    bounded = materialize(seen.join(bounded, "term"))
+    pairs = materialize(held.join(bounded.select("row", "n_t", "what").distinct(), "row").where(rare(F.col("n_e"))).select("row", "who", "what", "n_e", "n_t"))
+    known = pairs.groupBy("who", "what").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_te") >= support)
+    # the words of a text may be cut otherwise in lower case, so a term counts at least where it was seen
     gained = F.log2(F.lit(float(total)) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
     whole = F.log2(F.lit(float(total)) / F.col("n_e"))
-    return known.where((whole > 0) & (gained >= threshold * whole)).select("entity", "term")
+    known = known.where((whole > 0) & (gained >= threshold * whole)).select("who", "what")
+    return bounded.join(pairs.join(known, ["who", "what"]).select("row", "what").distinct(), ["row", "what"]).select("row", "term")
 
 
 def spans(docs: DataFrame, threshold: float = 0.8, support: int = 1) -> DataFrame:
     """doc_id, base (array of kind, start, end), terms (the same, kind 4) of every row; sorted, code points, end exclusive."""
     scanned = _scan(docs)
     base = materialize(_base(scanned))
-    near = materialize(_near_terms(base))
-    marked = near.join(_revealing(docs, near, threshold, support), ["entity", "term"]).select("row", "start", "end").distinct()
+    words = materialize(_words(scanned, base))
+    marked = words.join(_revealing(docs, base, words, threshold, support), ["row", "term"]).select("row", "start", "end")
     span = lambda kind: F.struct(F.lit(kind).alias("kind") if isinstance(kind, int) else kind.alias("kind"), "start", "end")
     per_row = base.groupBy("row").agg(F.array_sort(F.collect_list(span(F.col("kind")))).alias("base"))
     per_term = marked.groupBy("row").agg(F.array_sort(F.collect_list(span(len(KINDS)))).alias("terms"))
     both = scanned.select("row", "doc_id").join(per_row, "row", "left").join(per_term, "row", "left")
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
-    both = both.select("doc_id", "row", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
-    free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
-    return both.select("doc_id", "row", "base", free.alias("terms"))
+    return both.select("doc_id", "row", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
 
 
 def _text(items: Column) -> Column:

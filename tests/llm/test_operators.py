@@ -668,3 +668,41 @@ def test_admitted_buckets_and_their_places():
     seen = toxicity.admitted(rows, 2)
     assert seen.tolist() == [5, 9] and [p.tolist() for p in toxicity.places(rows, seen)] == [[1, 2], [1, 2], [1], [], [2]]
     assert [p.tolist() for p in toxicity.places(rows, toxicity.admitted(rows, 4))] == [[], [], [], [], []]
+
+
+def test_a_term_reveals_an_entity_from_anywhere_in_its_text(spark):
+    filler = "common words about nothing wrote called from before " * 40
+    rows = [(1, f"Zebedee {filler} zeb@mail.example.org {filler} quillon", "s", None)]
+    rows += [(2, f"marlowe, 12 May: ann@mail.example.org, bob@mail.example.org {filler}", "s", None)]
+    rows += [(10 + i, filler, "s", None) for i in range(40)]
+    got = {r.doc_id: r.spans for r in pii.pii(table(spark, rows)).collect()}
+    found = {i: [t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[i].split(",") if s.startswith("term")] for i, t, *_ in rows[:2]}
+    assert found == {1: ["Zebedee", "quillon"], 2: ["marlowe"]}
+    assert got[10] == ""
+
+
+def test_disclosure_of_classes_matches_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    people = [f"p{i}@host{i % 3}.example.org" for i in range(12)]
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        parts = list(rng.choice(vocabulary, rng.integers(1, 25))) + list(rng.choice(people, rng.integers(0, 4)))
+        texts.append(" ".join(rng.permutation(parts)))
+    texts += texts[:5]
+    words = [[(m.group(), m.start(), m.end()) for m in re.finditer(r"[a-z]{4,}", re.sub(r"\S+@\S+", lambda m: " " * len(m.group()), t))] for t in texts]
+    terms = [set(re.findall(r"[a-z]{4,}", t)) for t in texts]
+    held = [{w for w in t.split() if "@" in w} for t in texts]
+    n, expected = len(texts), []
+    for mine, near in zip(words, held, strict=True):
+        spans = []
+        for term, start, end in mine:
+            n_t = sum(term in t for t in terms)
+            for e in near:
+                n_e, n_te = sum(e in h for h in held), sum(e in h and any(w[0] == term for w in ws) for h, ws in zip(held, words, strict=True))
+                if n_e < n and np.log2(n * n_te / (max(n_t, n_te) * n_e)) >= 0.3 * np.log2(n / n_e):
+                    spans.append(f"term:{start}:{end}")
+                    break
+        expected.append(spans)
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term")] for r in pii.pii(table(spark, [(i, t, "s", None) for i, t in enumerate(texts)]), 0.3).collect()}
+    assert [got[i] for i in range(n)] == expected and any(expected)
