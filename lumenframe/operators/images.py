@@ -5,7 +5,7 @@ as counts."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,14 +16,21 @@ from lumenframe.plans.joins import match
 from lumenframe.plans.spread import spread
 
 _NAMES = {1: ("grey",), 3: ("blue", "green", "red"), 4: ("blue", "green", "red", "alpha")}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+CHUNK = 64  # images whose results are held at once
 
 
 def _fields(images: DataFrame) -> DataFrame:
     return spread(images).select(*[F.col(f"image.{f}").alias(f) for f in ("origin", "height", "width", "nChannels", "data")])
 
 
-def _pixels(row) -> np.ndarray:
-    return np.frombuffer(row.data, dtype=np.uint8).reshape(-1, row.nChannels)
+def _pictures(batches):
+    """Lists of at most ``CHUNK`` images (origin, number of channels, pixels) of Arrow batches; the bytes are not copied."""
+    for batch in batches:
+        data, origins, channels = batch.column("data"), batch.column("origin").to_pylist(), batch.column("nChannels").to_pylist()
+        for at in range(0, len(origins), CHUNK):
+            some = range(at, min(at + CHUNK, len(origins)))
+            yield [(origins[i], channels[i], np.frombuffer(data[i].as_buffer(), dtype=np.uint8).reshape(-1, channels[i])) for i in some]
 
 
 def image_metadata(images: DataFrame) -> DataFrame:
@@ -37,18 +44,16 @@ def image_metadata(images: DataFrame) -> DataFrame:
 
 
 def _per_channel(images: DataFrame, measure, schema: str) -> DataFrame:
-    """``measure(origin, channel name, values)`` yields rows; Python sees one Arrow batch of images at a time."""
+    """``measure(origin, channel name, values)`` yields rows; Python holds the rows of a few images at a time."""
+    fields = [f.split(" ") for f in schema.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                pixels = _pixels(row)
-                for c, name in enumerate(_NAMES[row.nChannels]):
-                    rows += measure(row.origin, name, pixels[:, c])
-            yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in schema.split(", ")])
+        for pictures in _pictures(batches):
+            rows = [row for origin, n, pixels in pictures for c, name in enumerate(_NAMES[n]) for row in measure(origin, name, pixels[:, c])]
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
-    return _fields(images).mapInPandas(run, schema)
+    return _fields(images).mapInArrow(run, schema)
 
 
 def image_stats(images: DataFrame) -> DataFrame:
@@ -74,16 +79,15 @@ def colour_features(images: DataFrame) -> DataFrame:
     """(origin, features): share of pixels in each of 8 x 8 x 8 colour cells."""
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                p = _pixels(row)
-                p = (np.repeat(p, 3, axis=1) if row.nChannels == 1 else p[:, :3]).astype(int) // 32
-                cells = np.bincount((p[:, 2] * 8 + p[:, 1]) * 8 + p[:, 0], minlength=512)
-                out.append((row.origin, (cells / len(p)).tolist()))
-            yield pd.DataFrame(out, columns=["origin", "x"])
+        for pictures in _pictures(batches):
+            shares = np.empty((len(pictures), 512))
+            for i, (_, n, p) in enumerate(pictures):
+                p = (np.repeat(p, 3, axis=1) if n == 1 else p[:, :3]).astype(int) // 32
+                shares[i] = np.bincount((p[:, 2] * 8 + p[:, 1]) * 8 + p[:, 0], minlength=512) / len(p)
+            x = pa.ListArray.from_arrays(pa.array(np.arange(len(pictures) + 1) * 512, pa.int32()), pa.array(shares.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([o for o, _, _ in pictures], pa.string()), x], ["origin", "x"])
 
-    return _fields(images).mapInPandas(run, "origin string, x array<double>").select("origin", array_to_vector("x").alias("features"))
+    return _fields(images).mapInArrow(run, "origin string, x array<double>").select("origin", array_to_vector("x").alias("features"))
 
 
 def cluster_images(images: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
@@ -97,21 +101,19 @@ def cluster_images(images: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
 
 
 def palette(images: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """(red, green, blue, share): k dominant colours over all pixels. Pixels are counted by colour inside each
-    task, the counts are summed by colour, and k-means is weighted by the counts."""
+    """(red, green, blue, share): k dominant colours over all pixels. Pixels are counted by colour a few
+    images at a time, the counts are summed by colour, and k-means is weighted by the counts."""
 
     def count(batches):
-        for pdf in batches:
-            codes = []
-            for row in pdf.itertuples(index=False):
-                p = _pixels(row).astype(np.int64)
-                p = np.repeat(p, 3, axis=1) if row.nChannels == 1 else p
+        for pictures in _pictures(batches):
+            codes = [np.empty(0, np.int32)]
+            for _, n, p in pictures:
+                p = (np.repeat(p, 3, axis=1) if n == 1 else p).astype(np.int32)
                 codes.append((p[:, 2] << 16) | (p[:, 1] << 8) | p[:, 0])
-            if codes:
-                code, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pd.DataFrame({"code": code, "n": n})
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
 
-    counts = _fields(images).mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").cast("double").alias("n"))
+    counts = _fields(images).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").cast("double").alias("n"))
     channel = lambda shift: F.shiftright("code", shift).bitwiseAND(F.lit(255)).cast("double")
     colours = counts.select("n", channel(16).alias("r"), channel(8).alias("g"), channel(0).alias("b"))
     points = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(colours).persist()
@@ -126,15 +128,14 @@ def palette(images: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 def image_pairs_mse(images: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, mse) for the given pairs of origins (columns a, b) whose images have the same shape."""
 
-    @F.pandas_udf("double")
-    def mse(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(
-            [float(np.mean((np.frombuffer(x, np.uint8).astype(float) - np.frombuffer(y, np.uint8)) ** 2)) for x, y in zip(a, b)],
-            dtype="float64",
-        )
+    def run(batches):
+        for batch in batches:
+            both = zip(batch.column("data_a"), batch.column("data_b"), strict=True)
+            mse = [float(np.mean((np.frombuffer(x.as_buffer(), np.uint8).astype(float) - np.frombuffer(y.as_buffer(), np.uint8)) ** 2)) for x, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(mse, pa.float64())], ["a", "b", "mse"])
 
     i = _fields(images)
     side = lambda n: i.select(*[F.col(c).alias(n if c == "origin" else f"{c}_{n}") for c in i.columns])
     both = match(match(pairs, side("a"), ["a"]), side("b"), ["b"])
     same = (F.col("height_a") == F.col("height_b")) & (F.col("width_a") == F.col("width_b")) & (F.col("nChannels_a") == F.col("nChannels_b"))
-    return both.filter(same).select("a", "b", mse("data_a", "data_b").alias("mse"))
+    return both.filter(same).select("a", "b", "data_a", "data_b").mapInArrow(run, "a string, b string, mse double")
