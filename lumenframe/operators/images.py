@@ -105,13 +105,17 @@ def palette(images: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     images at a time, the counts are summed by colour, and k-means is weighted by the counts."""
 
     def count(batches):
-        for pictures in _pictures(batches):
-            codes = [np.empty(0, np.int32)]
-            for _, n, p in pictures:
-                p = (np.repeat(p, 3, axis=1) if n == 1 else p).astype(np.int32)
-                codes.append((p[:, 2] << 16) | (p[:, 1] << 8) | p[:, 0])
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+        for batch in batches:
+            seen = [(np.empty(0, np.int32), np.empty(0, np.int64))]
+            for pictures in _pictures([batch]):
+                codes = []
+                for _, n, p in pictures:
+                    p = (np.repeat(p, 3, axis=1) if n == 1 else p).astype(np.int32)
+                    codes.append((p[:, 2] << 16) | (p[:, 1] << 8) | p[:, 0])
+                seen.append(np.unique(np.concatenate(codes), return_counts=True))
+            code, at = np.unique(np.concatenate([c for c, _ in seen]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in seen]), len(code)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], ["code", "n"])
 
     counts = _fields(images).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").cast("double").alias("n"))
     channel = lambda shift: F.shiftright("code", shift).bitwiseAND(F.lit(255)).cast("double")
