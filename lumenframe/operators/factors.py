@@ -3,7 +3,8 @@
 X (rows x columns, cells that are not listed are zero) is approximated by W H with the squared error over all cells, the
 zeros included. With H fixed, a row of W is a least-squares problem of k unknowns in the Gram matrix H H' and the row's
 products with H, which are a sum over its listed cells; with W fixed the same holds for a column of H. So a half step is one
-join, one aggregate and one small solve per row, and only k x k matrices reach the driver.
+join, one aggregate and one small solve per row. Up to ``FEW`` factors are broadcast, so that only partial sums are shuffled;
+beyond that the cells are. Only k x k matrices are collected.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from lumenframe.functions.columns import col
 from lumenframe.plans.storage import materialize
 
 SWEEPS, SETTLED = 1000, 1e-12
+FEW = 1_000_000  # rows of factors that may be broadcast; the cells, many times as many, then stay where they lie
 
 
 def solve_nonnegative(gram: np.ndarray, products: np.ndarray) -> np.ndarray:
@@ -54,7 +56,8 @@ def _half_step(cells: DataFrame, factors: DataFrame, gram: np.ndarray, by: str,
     """Factors of ``by`` (p… are the products with ``factors``, which are keyed by ``other``)."""
     k = len(gram)
     names = _names(k)
-    sums = cells.join(factors, other).groupBy(by).agg(*[F.sum(F.col("_v") * F.col(n)).alias("p" + n[1:]) for n in names])
+    held = F.broadcast(factors) if factors.count() <= FEW else factors
+    sums = cells.join(held, other).groupBy(by).agg(*[F.sum(F.col("_v") * F.col(n)).alias("p" + n[1:]) for n in names])
 
     def run(frames):
         for f in frames:

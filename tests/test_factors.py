@@ -88,3 +88,22 @@ def test_topics_part_two_subjects(spark):
     assert sorted(map(sorted, by.values())) == [["apple", "fruit", "pear", "plum"], ["brake", "engine", "motor", "wheel"]]
     main = {r.id: r.topic for r in tx.dominant_topic(shares, "id").collect()}
     assert len(main) == 12 and len({main[i] for i in range(0, 12, 2)}) == 1 and main[0] != main[1]
+
+
+def test_cells_are_not_shuffled_to_meet_few_factors(spark, monkeypatch):
+    plans, write = [], factors.materialize
+    monkeypatch.setattr(factors, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    cells = spark.range(600).selectExpr("id % 40 AS r", "concat('c', id % 31) AS c", "1.0D + id % 7 AS v").dropDuplicates(["r", "c"])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = factors.nmf(cells, "r", "c", "v", 2, 3)
+        assert sum("BroadcastHashJoin" in p for p in plans) >= 2 and not any("SortMergeJoin" in p for p in plans)
+        monkeypatch.setattr(factors, "FEW", 0)
+        many = factors.nmf(cells, "r", "c", "v", 2, 3)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert any("SortMergeJoin" in p for p in plans)
+    for a, b, key in ((few[0], many[0], "r"), (few[1], many[1], "c")):
+        a, b = ({r[key]: (r.f0, r.f1) for r in x.collect()} for x in (a, b))
+        assert a.keys() == b.keys() and all(abs(x - y) < 1e-9 for k in a for x, y in zip(a[k], b[k], strict=True))
