@@ -1,6 +1,6 @@
 """LexRank summaries (Erkan and Radev, 2004): the sentences most central in the graph of similar sentences of a text.
 
-A text of at most ``LONG`` sentences is ranked where it lies. The sentences of a longer one are rows of their own: weights
+A text of at most ``LONG`` sentences is ranked where it lies, with a bit for every pair of sentences. The sentences of a longer one are rows of their own: weights
 come from counts by (text, term), and two sentences are compared only if they share one of the terms that could make them
 similar. Terms are taken from the rarest on until what is left of a sentence's unit vector is no longer than the threshold;
 the rarest term that two similar sentences share is among those of both. The ranks are power iterations as joins of the edges
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,9 @@ from lumenframe.plans.spread import spread
 from lumenframe.plans.storage import materialize, scratch_path
 
 SIMILAR, SETTLED, ROUNDS = 0.1, 0.1, 100
-LONG = 2_000
+LONG = 20_000  # sentences of a text in one task: their bits take 50 MB
+PRODUCTS = 1 << 18  # of weights, and similarities, held at a time
+PAIRS = 4_000_000  # of similar sentences held as numbers
 DIGITS = 12  # of a rank: equal ranks are in text order
 
 
@@ -39,33 +41,60 @@ def term_shares(sentence: str) -> dict[str, float]:
     return {t: k / most for t, k in counts.items()}
 
 
+def _similar(shares: list[dict[str, float]]) -> list[np.ndarray]:
+    """Which sentences are more similar than the threshold: a bit for every pair, in blocks of rows whose products are held at a time."""
+    n, index = len(shares), {}
+    sizes = np.array([len(s) for s in shares])
+    term = np.array([index.setdefault(t, len(index)) for s in shares for t in s], np.int64)
+    at = np.repeat(np.arange(n), sizes)
+    held = np.bincount(term, minlength=len(index))
+    logs = np.array([math.log(n / (1 + k)) for k in range(int(held.max()) + 1)])
+    weight = np.array([x for s in shares for x in s.values()]) * logs[held[term]]
+    size = np.sqrt(np.bincount(at, weight * weight, n))
+    weight /= np.where(size > 0, size, 1.0)[at]
+    some = weight != 0
+    at, term, weight = at[some], term[some], weight[some]
+    by_term = np.argsort(term, kind="stable")
+    other, other_weight = at[by_term], weight[by_term]
+    meet = np.bincount(term, minlength=len(index))  # sentences that an entry meets
+    first = np.cumsum(meet) - meet
+    products = np.concatenate(([0], np.cumsum(meet[term])))  # before each entry
+    entries = np.searchsorted(at, np.arange(n + 1))
+    found, low = [], 0
+    while low < n:
+        high = min(n, low + max(1, PRODUCTS // n), max(low + 1, int(np.searchsorted(products[entries], products[entries[low]] + PRODUCTS, "right")) - 1))
+        e = slice(entries[low], entries[high])
+        many, ends = meet[term[e]], products[entries[low] + 1 : entries[high] + 1] - products[entries[low]]
+        place = np.arange(int(many.sum())) + np.repeat(first[term[e]] - (ends - many), many)
+        cell = np.repeat((at[e] - low) * n, many) + other[place]
+        dots = np.bincount(cell, np.repeat(weight[e], many) * other_weight[place], (high - low) * n)
+        found.append(np.packbits((dots > SIMILAR).reshape(-1, n), axis=1))
+        low = high
+    return found
+
+
+def _pairs(similar: list[np.ndarray], n: int):
+    """(source, target) of the bits, in order, a block at a time."""
+    low = 0
+    for bits in similar:
+        source, target = np.nonzero(np.unpackbits(bits, axis=1, count=n))
+        yield source + low, target
+        low += len(bits)
+
+
 def ranks(sentences: list[str]) -> np.ndarray:
     """Rank of every sentence of one text."""
-    n, shares = len(sentences), [term_shares(s) for s in sentences]
-    held = Counter(t for s in shares for t in s)
-    postings = defaultdict(lambda: ([], []))
-    weights = []
-    for i, s in enumerate(shares):
-        w = {t: x * math.log(n / (1 + held[t])) for t, x in s.items()}
-        size = math.sqrt(sum(x * x for x in w.values())) or 1.0
-        weights.append({t: x / size for t, x in w.items() if x})
-        for t, x in weights[-1].items():
-            postings[t][0].append(i)
-            postings[t][1].append(x)
-    index = {t: (np.array(i), np.array(x)) for t, (i, x) in postings.items()}
-    neighbours = []
-    for w in weights:
-        row = np.zeros(n)
-        for t, x in w.items():
-            at, other = index[t]
-            row[at] += x * other
-        neighbours.append(np.flatnonzero(row > SIMILAR))
-    source = np.repeat(np.arange(n), [len(a) for a in neighbours])
-    target = np.concatenate(neighbours) if n else np.empty(0, int)
-    degree = np.array([max(1, len(a)) for a in neighbours])
-    rank = np.full(n, 1.0 / max(1, n))
+    n = len(sentences)
+    if not n:
+        return np.empty(0)
+    similar = _similar([term_shares(s) for s in sentences])
+    pairs = list(_pairs(similar, n)) if n * n <= PAIRS else None  # else made anew from the bits
+    degree = np.maximum(1, np.concatenate([np.bitwise_count(b).sum(axis=1, dtype=np.int64) for b in similar]))
+    rank = np.full(n, 1.0 / n)
     for _ in range(ROUNDS):
-        fresh = np.bincount(target, (rank / degree)[source], n)
+        fresh, sent = np.zeros(n), rank / degree
+        for source, target in pairs or _pairs(similar, n):
+            fresh += np.bincount(target, sent[source], n)
         moved = float(np.linalg.norm(fresh - rank))
         rank = fresh
         if moved < SETTLED:

@@ -39,6 +39,22 @@ def test_ranks_equal_the_dense_matrix():
         assert sm.ranks(found) == pytest.approx(matrix_ranks(found))
 
 
+@pytest.mark.parametrize(("products", "pairs"), [(50, 10**9), (1000, 0), (1 << 18, 0)])
+def test_ranks_from_blocks_of_bits(monkeypatch, products, pairs):
+    monkeypatch.setattr(sm, "PRODUCTS", products)
+    monkeypatch.setattr(sm, "PAIRS", pairs)
+    for found in [sm.split_sentences(make_text(90, 4)), ["a b", "a b"], ["one"], ["a", "b c", "c d", "x y z"]]:
+        assert sm.ranks(found) == pytest.approx(matrix_ranks(found))
+    assert len(sm.ranks([])) == 0
+
+
+def test_texts_of_some_thousand_sentences_need_no_joins(spark, monkeypatch):
+    monkeypatch.setattr(sm, "long_summaries", None)  # their memory is bounded where they lie
+    text = make_text(2500, 1, 3000)
+    got = sm.summarize(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t").first().summary
+    assert len(sm.split_sentences(got)) == 3
+
+
 def test_long_texts_equal_short_ones(spark):
     texts = {i: make_text(n, i, w) for i, (n, w) in enumerate([(4, 20), (12, 30), (60, 40), (150, 200), (3, 5), (40, 3)])}
     texts |= {90: "", 91: None, 92: "One only.", 93: "...!?", 94: "Same. Same. Same. Same.", 95: "é à. Über ß! 日本 語。"}
