@@ -4,6 +4,7 @@ Every point belongs to the cell of its nearest pivot and keeps its distance to i
 which bounds its k-th distance. The bound then rules out other cells by the triangle inequality (distance to the pivot less
 the cell's radius) and by the plane between two pivots, and rules out single points of the remaining cells by their distance
 to the pivot. Cells and the queries that reach them are packed into tiles of bounded size, and a pair of tiles is one row.
+Where cells hold few queries, those of several cells share a tile. Only points within the bound leave a comparison.
 
 Equal points are one point with its k + 1 smallest ids, and equal queries are one query, so a value that a third of the rows
 share costs no pairs.
@@ -84,6 +85,7 @@ def _compared(pairs: DataFrame, keep: int) -> DataFrame:
                     q, d = all_q[here], squared(all_q[here], t)
                     # a point nearer than the bound lies in a shell around the pivot
                     d[np.abs(far[here, None] - r[None, :]) > limit[here, None]] = np.inf
+                    d[d > limit[here, None] ** 2 + SLACK * ((q * q).sum(1)[:, None] + (t * t).sum(1)[None, :])] = np.inf
                     some = np.isfinite(d).any(axis=1)
                     if some.any():
                         found = _best(d[some], q_ids[here][some], t_ids, q[some], t, keep)
@@ -101,7 +103,7 @@ def _reached(tiles: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radii: np.
 
     def run(frames):
         for f in frames:
-            for own, ids, x, r, known in zip(f["cell"], f["q_id"], f["q_x"], f["q_r"], f["q_known"], strict=True):
+            for own, ids, x, r, known in zip(f["q_own"], f["q_id"], f["q_x"], f["q_r"], f["q_known"], strict=True):
                 x = x.reshape(len(ids), -1)
                 to = np.sqrt(squared(x, pivots))
                 reach = np.where(sizes > 0, to + radii, np.inf)  # no point of the cell is farther
@@ -115,7 +117,7 @@ def _reached(tiles: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radii: np.
                 near = (to - radii <= bound + slack) & (sizes > 0)
                 gap = np.where(apart[own] > 0, (to**2 - r[:, None] ** 2) / np.maximum(2 * apart[own], 1e-300), 0.0)
                 near &= gap <= bound + slack * (1 + to / np.maximum(apart[own], 1e-300))
-                near[:, own] = False
+                near[np.arange(len(x)), own] = False
                 for cell in np.flatnonzero(near.any(axis=0)).tolist():
                     on = near[:, cell]
                     yield pd.DataFrame({"cell": [cell], "q_id": [ids[on]], "q_x": [x[on].ravel()], "q_bound": [bound[on, 0]], "q_far": [to[on, cell]]})
@@ -150,7 +152,10 @@ def nearest(train: DataFrame, queries: DataFrame, keep: int, tile: int = TILE, p
     tiles = _tiles(asked.withColumns({"bound": F.lit(math.inf), "far": F.col("r")}), ["id", "x", "bound", "far"], tile, "q_")
     own = materialize(_first(_compared(tiles.join(packed, "cell"), keep), "qid", keep))
     known = own.groupBy(F.col("qid").alias("id")).agg(F.when(F.count(F.lit(1)) >= keep, F.sqrt(F.max("d"))).alias("known"))
-    tiles = _tiles(match(asked, known, ["id"], "left").withColumn("known", F.coalesce("known", F.lit(math.inf))), ["id", "x", "r", "known"], tile, "q_")
+    # the queries of so many cells fill a tile
+    wide = max(1, tile * len(centres) // max(1, asked.count()))
+    bounded = match(asked, known, ["id"], "left").select("id", "x", "r", F.coalesce("known", F.lit(math.inf)).alias("known"), F.col("cell").alias("own"), F.floor(F.col("cell") / wide).alias("cell"))
+    tiles = _tiles(bounded, ["id", "x", "r", "known", "own"], tile, "q_")
     others = _reached(tiles, centres, sizes, radii, keep)
     return _first(own.unionByName(_compared(others.join(packed, "cell"), keep)), "qid", keep)
 

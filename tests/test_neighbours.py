@@ -69,6 +69,20 @@ def test_far_cells_are_not_compared(spark, monkeypatch):
     assert sum(pairs) < 2000 * 2000 / 8
 
 
+def test_few_queries_share_tiles_and_few_candidates_leave_them(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 24)], 0.0) for i in range(2000)]
+    df = frame(spark, rows).select("id", "x")
+    reached, made = [], []
+    monkeypatch.setattr(nb, "_reached", lambda *a, real=nb._reached: reached.append(real(*a).count()) or real(*a))
+    monkeypatch.setattr(nb, "_compared", lambda p, keep, real=nb._compared: made.append(real(p, keep).count()) or real(p, keep))
+    asked = df.where("id % 20 = 0")
+    got = nb.nearest(df, asked, 3, tile=200, pivots=30).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("d", "tid"))).alias("near")).collect()
+    assert {r.qid: [n.tid for n in r.near] for r in got} == plain(rows, [(i, x) for i, x, _ in rows if i % 20 == 0], 3)
+    assert reached[0] <= 30 * 2  # one tile would do; a tile for each cell's queries makes hundreds of rows
+    assert made[1] < 100 * 30 * 3 / 4  # not three from each of the cells
+
+
 def test_missing_features_are_left_out(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0, 0.0), (2, None, 2.0, 0.0), (3, float("nan"), 1.0, 1.0), (4, 1.5, 2.0, 1.0)], "id long, a double, b double, c double")
     got = {r.id: r.prediction for r in knn(df, df, ["a", "b"], "c", "id", 1, skip_self=True).collect()}
