@@ -21,9 +21,12 @@ Nodes carry the smallest doc_id of equal sets. The set fingerprint has 128 bits,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bytetext as bt
@@ -36,6 +39,8 @@ HEAVY = 2000  # a token in more than 1 of so many texts is heavy
 RUN = 48  # prefix entries of one token that are paired at once
 STARS = 2  # star rounds before the exhaustive one
 SMALL = 2_000_000  # ids that may be broadcast
+TILE = 256  # nodes of one token in a tile
+CELLS = 1 << 20  # bins of pairs that are compared at a time
 
 
 def _needs(n, percent: int):
@@ -153,6 +158,69 @@ def _runs(batches, percent: int):
         yield from emit(*rest)
 
 
+def _folded(bins: list[bytes], many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts folded onto ``many`` bins, a row per node, and whether a node has a full bin, which cannot be folded."""
+    held = [np.frombuffer(b, np.uint8) for b in bins]
+    return np.stack([h.reshape(-1, many).sum(axis=0, dtype=np.int32) for h in held]), np.array([h.max() >= 255 for h in held])
+
+
+def _across(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of nodes of different components that share a token, have room for the intersection and pass the bins.
+
+    ``rows``: token, node, n, pos, root. Nodes of one token and of like set sizes are dealt into tiles of about ``TILE``, a
+    component that fills tiles of its own apart from the others.
+
+    If a token is the first of these that two sets share, the shared tokens before it are of short runs and fewer than ``r``
+    (else the pair was formed there), so they and what follows the token bound the intersection.
+    """
+    # sets of like size are at most one band apart, or two by rounding
+    rows = materialize(rows.withColumn("band", F.floor(F.log("n") / math.log(100 / min(percent, 95)))))
+    sizes = rows.groupBy("token", "band", "root").agg(F.count("*").alias("k")).withColumn("own", F.when(F.col("k") > TILE, F.col("root")))
+    parts = sizes.groupBy("token", "band", "own").agg(F.ceil(F.sum("k") / TILE).alias("parts"))
+    sizes = sizes.alias("s").join(parts.alias("p"), (F.col("s.token") == F.col("p.token")) & (F.col("s.band") == F.col("p.band")) & F.col("s.own").eqNullSafe(F.col("p.own")))
+    dealt = rows.join(sizes.select("s.token", "s.band", "root", "s.own", "parts"), ["token", "band", "root"]).join(nodes.select("node", "bins"), "node")
+    packed = dealt.groupBy("token", "band", "own", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(
+        F.collect_list(F.struct("node", "root", "n", "pos", "bins")).alias("held"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max(F.col("n") - F.col("pos")).alias("room"), F.min("root").alias("low"), F.max("root").alias("high"),
+    )
+    tiles = materialize(packed.withColumn("tile", F.monotonically_increasing_id()))
+    brief = tiles.drop("held", "own", "part")
+    x, y = brief.alias("x"), brief.alias("y")
+    fits = (100 + percent) * (F.least("x.room", "y.room") + F.floor(F.least("x.most", "y.most") / 50)) >= percent * (F.col("x.least") + F.col("y.least"))
+    alike = (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least"))
+    apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high"))
+    near = F.col("y.band").between(F.col("x.band") - 2, F.col("x.band") + 2)
+    meet = materialize(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.tile") <= F.col("y.tile")) & near & fits & alike & apart).select(F.col("x.tile").alias("xt"), F.col("y.tile").alias("yt")))
+
+    def side(name):
+        return tiles.select(F.col("tile").alias(f"{name}t"), *[F.col(f"held.{c}").alias(name + c) for c in ("node", "root", "n", "pos", "bins")])
+
+    def pairs(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, y = ({c: batch.column(s + c)[r].values.to_numpy() for c in ("node", "root", "n", "pos")} for s in "xy")
+                bins = [batch.column(s + "bins")[r].as_py() for s in "xy"]
+                nx, ny = x["n"][:, None], y["n"][None, :]
+                both = np.minimum(nx - x["pos"][:, None], ny - y["pos"][None, :]) + np.minimum(nx, ny) // 50
+                ok = (x["root"][:, None] != y["root"][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((100 + percent) * both >= percent * (nx + ny))
+                if batch.column("xt")[r] == batch.column("yt")[r]:
+                    ok &= x["node"][:, None] < y["node"][None, :]
+                i, j = np.nonzero(ok)
+                if not len(i):
+                    continue
+                many = min(map(len, bins[0] + bins[1]))
+                (bx, full_x), (by, full_y) = (_folded(b, many) for b in bins)
+                stay = np.empty(len(i), bool)
+                for at in range(0, len(i), step := max(1, CELLS // many)):
+                    a, b = i[at : at + step], j[at : at + step]
+                    differ = np.abs(bx[a] - by[b]).sum(axis=1)
+                    stay[at : at + step] = full_x[a] | full_y[b] | ((100 + percent) * differ <= (100 - percent) * (x["n"][a] + y["n"][b]))
+                a, b = x["node"][i[stay]], y["node"][j[stay]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return meet.join(side("x"), "xt").join(side("y"), "yt").mapInArrow(pairs, "a long, b long").distinct()
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """node, tokens (sorted, 8 bytes each) of the given nodes."""
 
@@ -223,40 +291,28 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"))
         .where(F.col("shared") >= 1 + F.floor(F.least("na", "nb") / 50)).select("a", "b")
     )
-    big = materialize(met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("na").alias("pos")).union(entries.where("token < 0").select("token", "node", "n", "pos")))
-    nodes = classes.select("node", "n", "bins")
+    big = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("na").alias("pos")).union(entries.where("token < 0").select("token", "node", "n", "pos"))
     # a node with few tokens of its own is near the middle of its copies: stars form around such nodes first
-    weight = materialize(big.groupBy("node").agg(F.count("*").alias("weight")))
+    big = materialize(big.withColumn("weight", F.count("*").over(W.partitionBy("node"))))
+    nodes = classes.select("node", "n", "bins")
     links = _verified(pairs, nodes, docs, size, percent, heavy)
     roots = components(links)
     for turn in range(STARS + 1):
-        here = big.join(roots, "node", "left").join(weight, "node").select("token", "node", "n", "pos", "weight", F.coalesce("root", "node").alias("root"))
+        here = big.join(roots, "node", "left").select(*big.columns, F.coalesce("root", "node").alias("root"))
         rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("weight")
         apart = here.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("node", F.struct(rank, "node")).alias("center")).where("low <> high")
-        big = materialize(here.drop("root", "weight").join(apart.select("token", "center"), "token"))
-        if not big.take(1):
+        labelled = materialize(here.join(apart.select("token", "center"), "token"))
+        if not labelled.take(1):
             break
-        labelled = big.join(roots, "node", "left").select("token", "center", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
         if turn < STARS:
             best = labelled.where("node <> center").groupBy("node", "center").count().groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
             new = best.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
         else:
-            # if a token is the first of these that two sets share, the shared tokens before it are of short runs and fewer
-            # than ``r`` (else the pair was formed there), so they and what follows the token bound the intersection;
-            # places in sets of a size are compared before nodes are
-            places = materialize(labelled.groupBy("token", "n", "pos").agg(F.min("root").alias("low"), F.max("root").alias("high")))
-            x, y = places.alias("x"), places.alias("y")
-            both = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-            before = F.floor(F.least("x.n", "y.n") / 50)  # r - 1
-            fits = ((100 + percent) * (both + before) >= percent * (F.col("x.n") + F.col("y.n"))) & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
-            meet = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select("x.token", "x.n", "x.pos", F.col("y.n").alias("n2"), F.col("y.pos").alias("pos2"))
-            other = labelled.select("token", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("node").alias("node2"), F.col("root").alias("root2"))
-            new = labelled.join(meet, ["token", "n", "pos"]).join(other, ["token", "n2", "pos2"]).where("node < node2 and root <> root2")
-            new = new.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+            new = _across(labelled.select("token", "node", "n", "pos", "root"), nodes, percent)
         more = _verified(new, nodes, docs, size, percent, heavy)
         links = links.union(more)
         roots = components(links)
-        big = big.select("token", "node", "n", "pos")
+        big = labelled.drop("center", "root")
     names = rows.where("n > 0 and doc_id is not null").select("doc_id", "key", "n").join(classes.select("key", "n", "node"), ["key", "n"])
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return names.join(roots, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id")).union(alone)

@@ -453,6 +453,25 @@ def test_ngram_join_of_texts_of_one_passage_with_a_few_shared_shingles(spark, pe
     assert got == want
 
 
+@pytest.mark.parametrize("tile", [7, 256])
+def test_ngram_join_of_one_passage_with_edits_makes_few_pairs(spark, monkeypatch, tile):
+    """Copies of one text with four words changed are too far apart to be linked; their number squared is no number of rows."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng, base = np.random.default_rng(5), [f"p{j}" for j in range(150)]
+    rows = []
+    for i in range(130):
+        words = list(base)
+        for at in rng.choice(150, 4 if i % 10 else 1, replace=False):
+            words[at] = f"e{i}v{at}"
+        rows.append((i, " ".join(words), "s", None))
+    asked = []
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *more, real=ngram_join._verified: asked.append(pairs.count()) or real(pairs, *more))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(table(spark, rows)).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert 1 < len({c for _, c in got.values()}) < 130
+    assert max(asked) < 130 * 129 / 2 / 2
+
+
 def test_ngram_join_of_odd_rows(docs, empty):
     got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect())
     assert len(got) == len(odd_rows())
