@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.llm.alignment import byte_alphabet
-from lumenframe.plans.storage import shared_folder
+from lumenframe.plans.storage import give_back, shared_folder
 
 BLOCK = 2048
 PERCENTILE = 90
@@ -230,7 +230,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, parts: int) -> None
                     yield rows(False)
         if size:
             yield rows(True)
-        pa.default_memory_pool().release_unused()  # the worker goes on with other stages
+        del encode, held, texts
+        give_back()
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, SCHEMA).write.parquet(path)

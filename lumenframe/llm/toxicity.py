@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bytetext as bt
+from lumenframe.plans.storage import give_back
 
 WORD_BITS, PAIR_BITS = 23, 22
 KINDS = (((0,), WORD_BITS), ((0, 1), PAIR_BITS), ((0, 2), PAIR_BITS), ((0, 3), PAIR_BITS))
@@ -74,9 +75,9 @@ class Weights:
 
 def admitted(rows: list[np.ndarray], min_rows: int) -> np.ndarray:
     """Sorted buckets that at least ``min_rows`` of the rows of distinct buckets hold; a small counter per bucket."""
-    times = np.zeros(sum(1 << bits for _, bits in KINDS), np.uint16)
+    times = np.zeros(sum(1 << bits for _, bits in KINDS), np.uint8 if min_rows < 0xFF else np.uint16)
     for r in rows:
-        times[r] = np.minimum(times[r] + 1, 0xFFF0)
+        times[r] += times[r] < min_rows  # counted no further
     return np.flatnonzero(times >= min_rows)
 
 
@@ -143,6 +144,8 @@ def train(
         for b in batches:
             out = [f.tobytes() for w in bt.words(b.column("text"), bt.LETTERS) for f in features(w)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
+            del out
+        give_back()
 
     def fit(batches):
         """The one task that sees the sample: its rows stay Arrow buffers until they are short lists of places."""
@@ -158,14 +161,19 @@ def train(
         # by the hash of the id; rows that share it by their features
         twice = pd.Series(key).duplicated(keep=False).to_numpy()
         order = sorted(range(len(key)), key=lambda i: (key[i], buckets[i].tobytes() if twice[i] else b""))
-        dense = places(buckets, seen)
-        del buckets, held
+        del buckets, key
+        dense = []
+        for at in range(len(held)):
+            # features are freed as they become places
+            b, held[at] = held[at], None
+            dense += places([np.frombuffer(x.as_buffer() or b"", np.uint32) for x in b.column("x")], seen)
+            del b
         dense, y = [dense[i] for i in order], y[order]
         w = ftrl(dense, len(seen), y, alpha, beta, l1, l2, noise, epochs)
         slope, shift = scale(np.array([w[0] + w[r].sum() for r in dense]), y)
         keep = np.flatnonzero(w[1:])
         del dense
-        pa.default_memory_pool().release_unused()  # the worker goes on with other stages
+        give_back()
         yield pa.RecordBatch.from_pydict({"bucket": np.append(seen[keep], -1), "w": np.append(w[1:][keep] * slope, w[0] * slope + shift)})
 
     encoded = sample.mapInArrow(encode, "doc_id long, y double, x binary")
@@ -184,6 +192,7 @@ def score(docs: DataFrame, model: Weights) -> DataFrame:
             parts = [model.margins(w) for w in bt.words(b.column("text"), bt.LETTERS)]
             margin = np.concatenate(parts) if parts else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], ["doc_id", "score"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 

@@ -682,6 +682,18 @@ def test_the_learner_equals_a_plain_loop():
     assert got == pytest.approx(plain_ftrl(rows, 40, labels, 5.0, 1.0, 0.3, 0.1, 0.5, 4)) and 0 < np.count_nonzero(got[1:]) < 40
 
 
+def test_admitted_buckets_are_counted_in_a_byte_each():
+    import tracemalloc
+
+    rows = [np.array([1, 2, 70_000], np.uint32)] * 300 + [np.array([2, 9], np.uint32)] * 2
+    tracemalloc.start()
+    seen = toxicity.admitted(rows, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen.tolist() == [1, 2, 70_000] and toxicity.admitted(rows, 302).tolist() == [2]
+    assert peak < 2.5 * sum(1 << bits for _, bits in toxicity.KINDS)  # the counters and a flag each
+
+
 def test_admitted_buckets_and_their_places():
     rows = [np.array(r, np.uint32) for r in ([1, 5, 9], [5, 9], [5], [], [7, 9])]
     seen = toxicity.admitted(rows, 2)
