@@ -12,9 +12,9 @@ A text's set holds the distinct hashes of its 4-word shingles. Two sets of Jacca
    runs and of heavy tokens form stars around one node, in rounds, and are paired exhaustively only across components
    that are still apart, and only where what follows the shared token, with ``r - 1`` tokens of short runs before it, leaves room for the
    intersection that is needed. A near-copy group of any size costs edges in proportion to its nodes.
-4. A candidate pair is first bounded by the counts of its sets' tokens in bins, about one for eight tokens: the counts'
-   differences sum to at most the symmetric difference. Of the pairs left, the nodes' sets are read again; a pair must share ``r`` prefix tokens
-   under each further order, and then have the exact intersection.
+4. A candidate pair is first bounded by the parities of its sets' token counts in bins, one to two for a token: no more
+   bins differ than the symmetric difference has tokens, and few less near the bound. Of the pairs left, the nodes' sets are read again;
+   a pair must share ``r`` prefix tokens under each further order, and then have the exact intersection.
 
 Nodes carry the smallest doc_id of equal sets. The set fingerprint has 128 bits, a token 64.
 """
@@ -39,8 +39,8 @@ HEAVY = 2000  # a token in more than 1 of so many texts is heavy
 RUN = 48  # prefix entries of one token that are paired at once
 STARS = 2  # star rounds before the exhaustive one
 SMALL = 2_000_000  # ids that may be broadcast
-TILE = 256  # nodes of one token in a tile
-CELLS = 1 << 20  # bins of pairs that are compared at a time
+TILE = 1024  # nodes of one token in a tile
+CELLS = 1 << 18  # words of bins of pairs that are compared at a time
 
 
 def _needs(n, percent: int):
@@ -59,18 +59,21 @@ def _ordered(tokens: np.ndarray, heavy: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _bins(rank: np.ndarray) -> bytes:
-    """Counts of the tokens by their low bits; a power of two of bins. Counts stop at 255."""
-    many = max(16, 1 << (len(rank) >> 3).bit_length())
-    return np.minimum(np.bincount((rank & np.uint64(many - 1)).astype(np.int64), minlength=many), 255).astype(np.uint8).tobytes()
+    """A bit per bin: whether an odd number of tokens falls into it by its low bits. A power of two of bins, 1 to 2 for a token."""
+    many = max(64, 1 << len(rank).bit_length())
+    odd = np.bincount((rank & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _folded(bins: bytes, words: int) -> np.ndarray:
+    """The bins as 64-bit words, the finer ones folded onto ``words`` of them."""
+    return np.bitwise_xor.reduce(np.frombuffer(bins, np.uint64).reshape(-1, words), axis=0)
 
 
 def _apart(x: bytes, y: bytes) -> int:
     """A lower bound of the symmetric difference; the finer bins are folded onto the coarser."""
-    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-    if max(x.max(), y.max()) >= 255:
-        return 0  # a full bin cannot be folded
-    many = min(len(x), len(y))
-    return int(np.abs(x.reshape(-1, many).sum(axis=0) - y.reshape(-1, many).sum(axis=0)).sum())
+    words = min(len(x), len(y)) // 8
+    return int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum())
 
 
 def _heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
@@ -99,7 +102,7 @@ def _heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n, key (fingerprint of the set), prefix (ranks under the first order), bins (token counts)."""
+    """doc_id, n, key (fingerprint of the set), prefix (ranks under the first order), bins (parities of token counts)."""
 
     def run(batches):
         for b in batches:
@@ -158,12 +161,6 @@ def _runs(batches, percent: int):
         yield from emit(*rest)
 
 
-def _folded(bins: list[bytes], many: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts folded onto ``many`` bins, a row per node, and whether a node has a full bin, which cannot be folded."""
-    held = [np.frombuffer(b, np.uint8) for b in bins]
-    return np.stack([h.reshape(-1, many).sum(axis=0, dtype=np.int32) for h in held]), np.array([h.max() >= 255 for h in held])
-
-
 def _across(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of nodes of different components that share a token, have room for the intersection and pass the bins.
 
@@ -208,13 +205,13 @@ def _across(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 i, j = np.nonzero(ok)
                 if not len(i):
                     continue
-                many = min(map(len, bins[0] + bins[1]))
-                (bx, full_x), (by, full_y) = (_folded(b, many) for b in bins)
+                words = min(map(len, bins[0] + bins[1])) // 8
+                bx, by = (np.stack([_folded(h, words) for h in b]) for b in bins)
                 stay = np.empty(len(i), bool)
-                for at in range(0, len(i), step := max(1, CELLS // many)):
+                for at in range(0, len(i), step := max(1, CELLS // words)):
                     a, b = i[at : at + step], j[at : at + step]
-                    differ = np.abs(bx[a] - by[b]).sum(axis=1)
-                    stay[at : at + step] = full_x[a] | full_y[b] | ((100 + percent) * differ <= (100 - percent) * (x["n"][a] + y["n"][b]))
+                    differ = np.bitwise_count(bx[a] ^ by[b]).sum(axis=1, dtype=np.int64)
+                    stay[at : at + step] = (100 + percent) * differ <= (100 - percent) * (x["n"][a] + y["n"][b])
                 a, b = x["node"][i[stay]], y["node"][j[stay]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 

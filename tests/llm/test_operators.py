@@ -472,6 +472,36 @@ def test_ngram_join_of_one_passage_with_edits_makes_few_pairs(spark, monkeypatch
     assert max(asked) < 130 * 129 / 2 / 2
 
 
+def test_ngram_join_of_copies_just_too_far_apart_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with two words changed have a similarity of 0.80: a tenth of their pairs at most become rows."""
+    rng, base = np.random.default_rng(8), [f"p{j}" for j in range(150)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in (rng.integers(5, 70), rng.integers(80, 145)):
+            words[at] = f"e{i}v{at}"
+        rows.append((i, " ".join(words), "s", None))
+    asked = []
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *more, real=ngram_join._verified: asked.append(pairs.count()) or real(pairs, *more))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(table(spark, rows)).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert len(asked) == ngram_join.STARS + 2
+    assert asked[-1] < 150 * 149 / 2 / 10
+
+
+def test_bins_bound_the_symmetric_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 400, 5000):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for change in (0, 1, n // 10, n // 2, n):
+            y = np.concatenate((x[change:], rng.integers(0, 1 << 63, 2 * change).astype(np.uint64)))
+            differ = len(np.setxor1d(x, y))
+            bound = ngram_join._apart(ngram_join._bins(x), ngram_join._bins(y))
+            assert bound <= differ
+            if change <= n // 10:
+                assert bound >= 0.8 * differ
+
+
 def test_ngram_join_of_odd_rows(docs, empty):
     got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect())
     assert len(got) == len(odd_rows())
