@@ -1,16 +1,18 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page is read as a stream of tokens: its elements, each named by the path of element names and classes from the root, and
-its text nodes. Over the pages of one host, an element's occurrence vector is how often each page has it. Elements with
-equal vectors form an equivalence class; a class is valid if its elements occur once on each page that has them, on two
-pages or more. Valid classes are nested by path into the host's template, and the places between its elements are slots.
+their texts. Over the pages of one host, a token's occurrence vector is how often each page has it. Tokens with equal
+vectors form an equivalence class. A class counts if its tokens occur once on each page that has them, on two pages or
+more. It is ordered if every token follows the same token of its class on all pages, and nested if no token of the class of
+most pages (the host's frame) lies between them; where it is not, it is broken into parts that are. Parts of two tokens or
+more are the host's template, and the places between its elements are slots.
 The slot that holds the article is the nearest ``article`` or ``main`` element, or else the deepest template container that
-holds most of the text that differs between pages. Vectors are combined as hashes (an xor over pages), so a host of any
-size is combined before the shuffle. All pages together give one more template, used by pages whose host has none.
+holds most of the text that differs between pages. Vectors are combined as hashes (an xor and a sum over pages), so a host of
+any size is combined before the shuffle. All pages together give one more template, used by pages whose host has none.
 
 The template is one short row per host. Pages are then read once more and give the text of the article's slot, without
 menus, footers, forms, adverts and the like; template elements of those kinds are known by name, role or a whole class name.
-Elements that template texts (the same on every page) fill are left out, inside an article if its texts differ otherwise.
+Elements whose text is a token of their own class (the same on every page) are left out, inside an article if its texts differ otherwise.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.plans.storage import materialize
@@ -210,12 +213,15 @@ def main_text(page: str | None, slot: str | None, fixed: frozenset[str] = frozen
 
 
 def _elements(pages: DataFrame) -> DataFrame:
-    """host, key, path, n, chars, text (a hash), article, side of every page's elements, and whole: a hash of its articles' texts."""
+    """host, page, key, path, at, n, chars, text (a hash), article, side of every page's elements, and whole: a hash of its articles' texts.
+
+    ``page`` is a row of ``pages``, ``at`` the place of an element's first occurrence among them.
+    """
 
     def run(batches):
         for b in batches:
             out = []
-            for host, key, page in zip(b.column("host").to_pylist(), b.column("key").to_pylist(), b.column("html").to_pylist(), strict=True):
+            for host, row_id, key, page in zip(*(b.column(c).to_pylist() for c in ("host", "page", "key", "html")), strict=True):
                 seen: dict[str, list] = {}
                 whole = 0
                 for kind, raw, e in stream(page or ""):
@@ -229,28 +235,79 @@ def _elements(pages: DataFrame) -> DataFrame:
                         row[2] = zlib.crc32(data, row[2])
                         if e.article and not e.side:
                             whole = zlib.crc32(data, whole)
-                out += [(host, key, path, *row, whole) for path, row in seen.items()]
-            cols = list(zip(*out, strict=True)) or [[]] * 9
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "key", "path", "n", "chars", "text", "article", "side", "whole"])
+                out += [(host, row_id, key, path, at, *row, whole) for at, (path, row) in enumerate(seen.items())]
+            cols = list(zip(*out, strict=True)) or [[]] * 11
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
+            names = ["host", "page", "key", "path", "at", "n", "chars", "text", "article", "side", "whole"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return pages.mapInArrow(run, "host string, key long, path string, n long, chars long, text long, article boolean, side boolean, whole long")
+    kinds = "host string, page long, key long, path string, at long, n long, chars long, text long, article boolean, side boolean, whole long"
+    return materialize(pages.withColumn("page", F.monotonically_increasing_id()).mapInArrow(run, kinds))
 
 
 APART = 3  # different articles that repeat a template text; told apart by a bit each, so never counted too high
 
 
+LARGE = 2  # tokens of a part of a class that is template
+MEMBERS = 1_000_000  # template tokens that may be broadcast
+
+
+def _vector(n, there):
+    """Aggregates that are equal for tokens of one occurrence vector: pages, occurrences and two hashes over (page, occurrences)."""
+    mark = F.when(there, F.xxhash64("key", n))
+    return F.struct(F.count(mark).alias("pages"), F.sum(F.when(there, n)).alias("times"), F.bit_xor(mark).alias("mark"), F.sum(F.shiftright(mark, 32)).alias("sum"))
+
+
+def _token(kind: int):
+    return F.xxhash64("host", "path", F.lit(kind))
+
+
+def _classes(seen: DataFrame, paths: DataFrame) -> DataFrame:
+    """token, part: the tokens in large ordered nested parts of equivalence classes; ``paths`` has host, path, vector, and said of texts."""
+
+    def tokens(kind, vector):
+        return paths.where(f"{vector} is not null").select("host", _token(kind).alias("token"), F.col(vector).alias("vector"))
+
+    tokens = tokens(0, "vector").union(tokens(1, "said")).where("vector.times = vector.pages and vector.pages >= 2")
+    tokens = tokens.withColumn("class", F.xxhash64("host", "vector"))
+    classes = tokens.groupBy("host", "class").agg(F.count("*").alias("size"), F.max("vector.pages").alias("pages")).where(F.col("size") >= LARGE)
+    frame = classes.groupBy("host").agg(F.max_by("class", F.struct("pages", "size", "class")).alias("frame"))
+    members = materialize(tokens.join(classes.join(frame, "host"), ["host", "class"]).select("token", "class", (F.col("class") == F.col("frame")).alias("frame")))
+    if members.count() <= MEMBERS:
+        members = F.broadcast(members)
+    # every page's template tokens in their order; an element's text follows its start
+    both = F.array(F.struct(_token(0).alias("token"), (2 * F.col("at")).alias("at")), F.when(F.col("chars") > 0, F.struct(_token(1).alias("token"), (2 * F.col("at") + 1).alias("at"))))
+    placed = seen.select("host", "page", F.explode(F.filter(both, lambda t: t.isNotNull())).alias("t")).select("host", "page", "t.token", "t.at").join(members, "token")
+    line = W.partitionBy("host", "page").orderBy("at")
+    placed = placed.withColumn("gap", F.last(F.when(F.col("frame"), F.col("token")), True).over(line.rowsBetween(W.unboundedPreceding, -1)))
+    own = W.partitionBy("host", "page", "class").orderBy("at")
+    placed = placed.select("token", "class", "page", "at", F.lag("token").over(own).alias("before"), (F.col("frame") | F.lag("gap").over(own).eqNullSafe(F.col("gap"))).alias("nested"))
+    # the tokens of a class are on the same pages, so the first of these pages has all of them
+    order = placed.groupBy("token", "class").agg(
+        F.min_by("at", "page").alias("at"), (F.min("nested") & (F.count("before") == F.count("*")) & (F.min("before") == F.max("before"))).alias("follows"),
+    )
+    parts = order.withColumn("part", F.sum(F.when(F.coalesce("follows", F.lit(False)), 0).otherwise(1)).over(W.partitionBy("class").orderBy("at", "token")))
+    parts = parts.withColumn("size", F.count("*").over(W.partitionBy("class", "part"))).where(F.col("size") >= LARGE)
+    return parts.select("token", F.xxhash64("class", "part").alias("part"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, slot, fixed: per host the path of the article's slot and the paths of template texts; host '*' stands for all pages."""
     seen = _elements(pages)
-    seen = seen.select(F.explode(F.array("host", F.lit("*"))).alias("host"), "key", "path", "n", "chars", "text", "article", "side", "whole")
+    seen = seen.withColumn("host", F.explode(F.array("host", F.lit("*"))))
+    text = F.when(F.col("chars") > 0, F.col("text"))
     paths = seen.groupBy("host", "path").agg(
-        F.count("*").alias("pages"), F.sum("n").alias("times"), F.bit_xor(F.xxhash64("key", "n")).alias("vector"), F.sum("chars").alias("chars"),
+        _vector(F.col("n"), F.lit(True)).alias("vector"), F.sum("chars").alias("chars"),
+        # a path's text is one token if it is the same wherever it has any
+        F.when(F.min(text) == F.max(text), _vector(F.lit(1).cast("long"), text.isNotNull())).alias("said"),
         (F.min("text") != F.max("text")).alias("varies"), F.bool_or("article").alias("article"), F.bool_or("side").alias("side"),
         F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(whole, 63) as int))"))).alias("articles"),
     )
-    # an equivalence class: elements of one host with one vector; valid if they occur once per page, on two pages or more
-    paths = materialize(paths.withColumn("valid", (F.col("times") == F.col("pages")) & (F.col("pages") >= 2)))
+    paths = materialize(paths)
+    parts = materialize(_classes(seen, paths))
+    part, filled = (parts.select(F.col("token").alias(f"t{k}"), F.col("part").alias(name)) for k, name in enumerate(("part", "filled")))
+    paths = paths.join(part, _token(0) == F.col("t0"), "left").join(filled, _token(1) == F.col("t1"), "left")
+    paths = materialize(paths.withColumn("valid", F.col("part").isNotNull()).withColumn("template", F.col("part") == F.col("filled")))
     body = paths.where(~F.col("side"))
     # text under a template element, by walking up the path of every element: a page's depth is its own bound
     parts = F.split(F.col("path"), "/")
@@ -260,9 +317,9 @@ def templates(pages: DataFrame) -> DataFrame:
     nested = body.where(F.col("valid") & name.isin(*CONTAINERS)).join(under, ["host", "path"])
     most = nested.groupBy("host").agg(F.max("held").alias("most"))
     deep = nested.join(most, "host").where(F.col("held") >= 0.6 * F.col("most"))
-    slot = deep.groupBy("host").agg(F.max_by("path", F.struct("article", F.length("path"), "vector")).alias("slot"))
+    slot = deep.groupBy("host").agg(F.max_by("path", F.struct("article", F.length("path"), "vector.mark")).alias("slot"))
     # inside articles only what at least three different ones repeat: two may be near copies
-    fixed = body.where(f"valid and not varies and chars > 0 and (not article or articles >= {APART})").groupBy("host").agg(F.collect_set("path").alias("fixed"))  # a template's own elements
+    fixed = body.where(f"template and (not article or articles >= {APART})").groupBy("host").agg(F.collect_set("path").alias("fixed"))  # a template's own elements
     return slot.join(fixed, "host", "full")
 
 

@@ -550,6 +550,34 @@ def test_class_names_do_not_discard_the_article(page):
     assert html_text.main_text(page, None) == "kept"
 
 
+def test_an_element_that_forms_no_class_is_no_slot(spark):
+    """``lone`` is on pages 0 to 3 without another token of its occurrence vector; ``pair`` has a text of its own on all of them."""
+    box = '<div class="{}">{}<p class="{}">{}</p></div>'
+    rows = [(i, f"http://h.example.com/{i}", f'<html><body><h1>Title {i}</h1>' + (f'<div class="lone">{"text %d " % i * 30}</div>' if i < 4 else "") + "</body></html>") for i in range(6)]
+    rows += [(10 + i, f"http://g.example.com/{i}", "<html><body><h1>Title</h1>" + (box.format("pair", "Read: ", "x", f"text {i} " * 30) if i < 4 else "") + "</body></html>") for i in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.html_text(frame).collect()}
+    assert [got[i] for i in range(4)] == [f"Title {i}\n" + ("text %d " % i * 30).strip() for i in range(4)]
+    found = html_text.templates(frame.selectExpr("substr(url, 8, 1) host", "page_id key", "html")).collect()
+    assert {r.host: r.slot for r in found if r.host != "*"} == {"h": "/html/body", "g": "/html/body/div.pair"}
+
+
+def test_tokens_that_change_their_order_part_a_class(spark):
+    """All tokens are on all pages; ``b`` and ``c`` change places, so the parts are those before and within each of them."""
+    order = [("a", "b", "c"), ("a", "c", "b"), ("a", "b", "c")]
+    rows = [("h", i, "<html><body>" + "".join(f'<div class="{x}"><i>{x}</i></div>' for x in names) + "</body></html>") for i, names in enumerate([*order, order[0]])]
+    rows[3] = rows[0]  # a repeated row
+    seen = html_text._elements(spark.createDataFrame(rows, "host string, key long, html string"))
+    text = F.when(F.col("chars") > 0, F.col("text"))
+    paths = seen.groupBy("host", "path").agg(html_text._vector(F.col("n"), F.lit(True)).alias("vector"), F.when(F.min(text) == F.max(text), html_text._vector(F.lit(1).cast("long"), text.isNotNull())).alias("said"))
+    parts = paths.withColumn("token", html_text._token(0)).join(html_text._classes(seen, paths), "token").collect()
+    by = {}
+    for r in parts:
+        by.setdefault(r.part, set()).add(r.path)
+    div = "/html/body/div."
+    assert sorted(map(sorted, by.values())) == [["/html", "/html/body", f"{div}a", f"{div}a/i"], [f"{div}b", f"{div}b/i"], [f"{div}c", f"{div}c/i"]]
+
+
 def test_repeated_notices_inside_articles_are_template(spark):
     rows = [(i, f"http://h.example.com/{i}", PAGE.format(f'<article><h1>Title {i}</h1><p>{"text %d " % i * 30}</p><div class="hint">Read us daily</div></article>')) for i in range(9)]
     # two near copies alone do not make a template
