@@ -12,8 +12,8 @@ A text's set holds the distinct hashes of its 4-word shingles. Two sets of Jacca
    runs and of heavy tokens form stars around one node, in rounds, and are paired exhaustively only across components
    that are still apart, and only where what follows the shared token, with ``r - 1`` tokens of short runs before it, leaves room for the
    intersection that is needed. A near-copy group of any size costs edges in proportion to its nodes.
-4. A candidate pair is first bounded by the parities of its sets' token counts in bins, one to two for a token: no more
-   bins differ than the symmetric difference has tokens, and few less near the bound. Of the pairs left, the nodes' sets are read again;
+4. A candidate pair is first bounded by the parities of its sets' token counts in bins, two to four for a token: no more
+   bins differ than the symmetric difference has tokens, and few less. Sets of too different sizes are no pair. Of the pairs left, the nodes' sets are read again;
    a pair must share ``r`` prefix tokens under each further order, and then have the exact intersection.
 
 Nodes carry the smallest doc_id of equal sets. The set fingerprint has 128 bits, a token 64.
@@ -39,7 +39,7 @@ HEAVY = 2000  # a token in more than 1 of so many texts is heavy
 RUN = 48  # prefix entries of one token that are paired at once
 STARS = 2  # star rounds before the exhaustive one
 SMALL = 2_000_000  # ids that may be broadcast
-TILE = 1024  # nodes of one token in a tile
+TILE = 256  # nodes of one token in a tile
 CELLS = 1 << 18  # words of bins of pairs that are compared at a time
 
 
@@ -59,8 +59,8 @@ def _ordered(tokens: np.ndarray, heavy: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _bins(rank: np.ndarray) -> bytes:
-    """A bit per bin: whether an odd number of tokens falls into it by its low bits. A power of two of bins, 1 to 2 for a token."""
-    many = max(64, 1 << len(rank).bit_length())
+    """A bit per bin: whether an odd number of tokens falls into it by its low bits. A power of two of bins, 2 to 4 for a token."""
+    many = max(64, 1 << (2 * len(rank) - 1).bit_length())
     odd = np.bincount((rank & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -241,7 +241,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
             if not batch.num_rows:
                 continue
             apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True)], np.int64)
-            near = (100 + percent) * apart <= (100 - percent) * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            near = ((100 + percent) * apart <= (100 - percent) * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], ["a", "b"])
 
     def exact(batches):
