@@ -4,9 +4,10 @@ A text's set holds the distinct hashes of its 4-word shingles. Two sets of Jacca
 ``t * n`` tokens of either, so under any order of all tokens their first ``q = n - ceil(t n) + r`` tokens share at least
 ``r``. ``r`` here is ``1 + n / 50``, which shuts out pairs that share a few chance shingles.
 
-1. One scan finds heavy tokens: those frequent in some block of texts and in more than 1 of ``HEAVY`` texts over all. They
-   come last in every order (so passages that many texts share enter no prefix). Their number is at most ``HEAVY`` times
-   the mean set size, whatever the number of texts.
+1. One scan finds heavy tokens: those in more than 1 of ``HEAVY`` texts, as pairs within blocks of texts tell. They come
+   last in every order, so neither passages that many texts share nor chance shingles of common words enter a prefix, and
+   the share of entries in long runs does not grow with the corpus. They are ``SMALL`` at most, the most frequent; any set of
+   them gives the same links.
 2. One scan gives every text's set size, set fingerprint and prefix under the first order. Equal sets become one node.
 3. Prefix entries meet by token. Short runs give all their pairs; a pair stays if it shares ``r`` entries. Entries of long
    runs and of heavy tokens form stars around one node, in rounds, and are paired exhaustively only across components
@@ -35,7 +36,7 @@ from lumenframe.plans.storage import materialize
 
 SEEDS = (0x1B873593CC9E2D51, 0x7F4A7C15F39CC060, 0x3C6EF372FE94F82B)
 BLOCK = 2_000_000  # tokens counted together when looking for heavy ones
-HEAVY = 2000  # a token in more than 1 of so many texts is heavy
+HEAVY = 50_000  # a token in more than 1 of so many texts is heavy
 RUN = 48  # prefix entries of one token that are paired at once
 STARS = 2  # star rounds before the exhaustive one
 SMALL = 2_000_000  # ids that may be broadcast
@@ -77,27 +78,37 @@ def _apart(x: bytes, y: bytes) -> int:
 
 
 def _heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
+    """Tokens whose share of the texts, as pairs of texts of one block tell it, makes more than ``RUN`` and 1 of ``HEAVY``.
+
+    A token of share ``p`` is expected in ``p * p * m * (m - 1)`` ordered pairs of ``m`` texts, so ``pairs / m`` over all
+    blocks sums up to ``p * p * texts`` however rare the token is in one block. A block's equal sets count once.
+    """
+
     def run(batches):
-        def count(sets):
+        def count(sets, texts):
             token, times = np.unique(np.concatenate(sets), return_counts=True)
-            often = times >= max(4, len(sets) // 1000)
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["token", "n"])
+            token, times = token[times > 1], times[times > 1]
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(times * (times - 1) / texts)], ["token", "pairs"])
 
-        held, total = [], 0
+        held, texts, total = {}, 0, 0
         for b in batches:
             for w in bt.words(b.column("text")):
                 for s in bt.shingles(w, size):
-                    held.append(s)
+                    held[len(s), int(s.sum())] = s
+                    texts += 1
                     total += len(s)
                     if total >= BLOCK:
-                        yield count(held)
-                        held, total = [], 0
+                        yield count([*held.values()], texts)
+                        held, texts, total = {}, 0, 0
         if held:
-            yield count(held)
+            yield count([*held.values()], texts)
 
     texts = docs.count()
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = found.where(F.col("n") > max(RUN, texts / HEAVY)).select("token").toPandas()
+    found = docs.select("text").mapInArrow(run, "token long, pairs double").groupBy("token").agg(F.sum("pairs").alias("pairs"))
+    found = materialize(found.where(F.col("pairs") * texts > max(RUN, texts / HEAVY) ** 2))
+    if (many := found.count()) > SMALL:
+        found = found.where(F.col("pairs") > found.agg(F.percentile_approx("pairs", 1 - SMALL / many)).first()[0])
+    rows = found.select("token").toPandas()
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -161,6 +172,12 @@ def _runs(batches, percent: int):
         yield from emit(*rest)
 
 
+def _of(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` that are among ``ids`` (node), where these are few; else all, for the join that follows finds them."""
+    ids = materialize(ids.distinct())
+    return nodes.join(F.broadcast(ids), "node", "left_semi") if ids.count() <= SMALL else nodes
+
+
 def _across(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of nodes of different components that share a token, have room for the intersection and pass the bins.
 
@@ -175,7 +192,7 @@ def _across(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     sizes = rows.groupBy("token", "band", "root").agg(F.count("*").alias("k")).withColumn("own", F.when(F.col("k") > TILE, F.col("root")))
     parts = sizes.groupBy("token", "band", "own").agg(F.ceil(F.sum("k") / TILE).alias("parts"))
     sizes = sizes.alias("s").join(parts.alias("p"), (F.col("s.token") == F.col("p.token")) & (F.col("s.band") == F.col("p.band")) & F.col("s.own").eqNullSafe(F.col("p.own")))
-    dealt = rows.join(sizes.select("s.token", "s.band", "root", "s.own", "parts"), ["token", "band", "root"]).join(nodes.select("node", "bins"), "node")
+    dealt = rows.join(sizes.select("s.token", "s.band", "root", "s.own", "parts"), ["token", "band", "root"]).join(_of(nodes, rows.select("node")).select("node", "bins"), "node")
     packed = dealt.groupBy("token", "band", "own", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(
         F.collect_list(F.struct("node", "root", "n", "pos", "bins")).alias("held"), F.min("n").alias("least"), F.max("n").alias("most"),
         F.max(F.col("n") - F.col("pos")).alias("room"), F.min("root").alias("low"), F.max("root").alias("high"),
@@ -261,6 +278,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
                     keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
+    pairs = materialize(pairs)
+    nodes = _of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     low = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bins").alias("xa"))
     high = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("xb"))
     bounded = materialize(pairs.join(high, "b").join(low, "a").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a long, b long"))

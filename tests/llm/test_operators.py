@@ -489,6 +489,26 @@ def test_ngram_join_of_copies_just_too_far_apart_makes_few_pairs(spark, monkeypa
     assert asked[-1] < 150 * 149 / 2 / 10
 
 
+def test_ngram_join_of_chance_shingles_spread_thin_over_blocks(spark, monkeypatch):
+    """Shingles of common words, in a fifth of the texts and twice in a block, are heavy: no long run is left for the stars."""
+    rng, n = np.random.default_rng(17), 600
+    rows = []
+    for i in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 60)]
+        for k in range(3):
+            words[10 + 10 * k : 16 + 10 * k] = [f"of{k}and{i % 5}the{j}" for j in range(6)]
+        rows.append((i, " ".join(words if i % 7 else [*words[:-1], "end"]), "s", None))
+    rows += [(n + i, rows[i][1] + " more", "s", None) for i in range(0, n, 20)]
+    monkeypatch.setattr(ngram_join, "BLOCK", 10 * 57)
+    assert len(ngram_join._heavy_tokens(table(spark, rows), 4)) == 5 * 3 * 3
+    asked = []
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *more, real=ngram_join._verified: asked.append(pairs.count()) or real(pairs, *more))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(table(spark, rows)).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert len({c for _, c in got.values()}) == n
+    assert asked == [n // 20]
+
+
 def test_bins_bound_the_symmetric_difference():
     rng = np.random.default_rng(3)
     for n in (1, 5, 40, 400, 5000):
