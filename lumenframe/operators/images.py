@@ -34,11 +34,12 @@ def _pictures(batches):
 
 
 def image_metadata(images: DataFrame) -> DataFrame:
-    """Size, mode, aspect ratio and bytes; only the header fields are computed on."""
+    """Size, mode, aspect ratio and bytes; only the header fields are computed on. The aspect of an image of no height is infinite."""
     i = _fields(images)
     mode = F.when(F.col("nChannels") == 1, "L").when(F.col("nChannels") == 3, "RGB").otherwise("RGBA")
+    aspect = F.when(F.col("height") == 0, F.lit(float("inf"))).otherwise(F.try_divide("width", "height"))
     return i.select(
-        "origin", "width", "height", mode.alias("mode"), (F.col("width") / F.col("height")).alias("aspect"),
+        "origin", "width", "height", mode.alias("mode"), aspect.alias("aspect"),
         F.length("data").cast("long").alias("bytes"),
     )
 
