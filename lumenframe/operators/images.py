@@ -25,12 +25,15 @@ def _fields(images: DataFrame) -> DataFrame:
 
 
 def _pictures(batches):
-    """Lists of at most ``CHUNK`` images (origin, number of channels, pixels) of Arrow batches; the bytes are not copied."""
+    """Lists of at most ``CHUNK`` images (origin, number of channels, pixels) of Arrow batches; the bytes are not copied.
+
+    An image of no bytes, or of none known, has no pixels.
+    """
     for batch in batches:
         data, origins, channels = batch.column("data"), batch.column("origin").to_pylist(), batch.column("nChannels").to_pylist()
         for at in range(0, len(origins), CHUNK):
             some = range(at, min(at + CHUNK, len(origins)))
-            yield [(origins[i], channels[i], np.frombuffer(data[i].as_buffer(), dtype=np.uint8).reshape(-1, channels[i])) for i in some]
+            yield [(origins[i], channels[i], np.frombuffer(data[i].as_buffer() or b"", dtype=np.uint8).reshape(-1, channels[i])) for i in some]
 
 
 def image_metadata(images: DataFrame) -> DataFrame:
@@ -45,12 +48,12 @@ def image_metadata(images: DataFrame) -> DataFrame:
 
 
 def _per_channel(images: DataFrame, measure, schema: str) -> DataFrame:
-    """``measure(origin, channel name, values)`` yields rows; Python holds the rows of a few images at a time."""
+    """``measure(origin, channel name, values)`` yields rows, of images with pixels; Python holds the rows of a few images at a time."""
     fields = [f.split(" ") for f in schema.split(", ")]
 
     def run(batches):
         for pictures in _pictures(batches):
-            rows = [row for origin, n, pixels in pictures for c, name in enumerate(_NAMES[n]) for row in measure(origin, name, pixels[:, c])]
+            rows = [row for origin, n, pixels in pictures if len(pixels) for c, name in enumerate(_NAMES[n]) for row in measure(origin, name, pixels[:, c])]
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 

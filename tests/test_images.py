@@ -19,3 +19,9 @@ def test_metadata_of_an_image_without_pixels(spark, folder):
     got = {r.origin: (r.width, r.height, r.mode, r.aspect, r.bytes) for r in QUERIES["img1_image_metadata"](spark, folder).collect()}
     assert got["1"] == got[None] == (16, 0, "RGB", math.inf, 0)
     assert got["2"] == (16, None, "RGB", None, None) and got["4"] == (16, 3, "RGB", round(16 / 3, 8), 144) and len(got) == 7
+
+
+def test_stats_leave_out_an_image_without_pixels(spark, folder):
+    got = {(r.origin, r.channel): (r.min, r.max, r.mean, r.median) for r in QUERIES["img2_image_stats"](spark, folder).collect()}
+    assert {o for o, _ in got} == {"3", "4", "5", "6"} and len(got) == 12
+    assert got["3", "red"] == (97, 97, 97.0, 97.0)
