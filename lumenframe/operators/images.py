@@ -80,14 +80,14 @@ def image_histogram(images: DataFrame) -> DataFrame:
 
 
 def colour_features(images: DataFrame) -> DataFrame:
-    """(origin, features): share of pixels in each of 8 x 8 x 8 colour cells."""
+    """(origin, features): share of pixels in each of 8 x 8 x 8 colour cells, all 0 for an image without pixels."""
 
     def run(batches):
         for pictures in _pictures(batches):
             shares = np.empty((len(pictures), 512))
             for i, (_, n, p) in enumerate(pictures):
                 p = (np.repeat(p, 3, axis=1) if n == 1 else p[:, :3]).astype(int) // 32
-                shares[i] = np.bincount((p[:, 2] * 8 + p[:, 1]) * 8 + p[:, 0], minlength=512) / len(p)
+                shares[i] = np.bincount((p[:, 2] * 8 + p[:, 1]) * 8 + p[:, 0], minlength=512) / max(1, len(p))
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(pictures) + 1) * 512, pa.int32()), pa.array(shares.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([o for o, _, _ in pictures], pa.string()), x], ["origin", "x"])
 
