@@ -3,8 +3,10 @@
 Every point belongs to the cell of its nearest pivot and keeps its distance to it. A query first looks into its own cell,
 which bounds its k-th distance. The bound then rules out other cells by the triangle inequality (distance to the pivot less
 the cell's radius) and by the plane between two pivots, and rules out single points of the remaining cells by their distance
-to the pivot. Cells and the queries that reach them are packed into tiles of bounded size, and a pair of tiles is one row.
-Where cells hold few queries, those of several cells share a tile. Only points within the bound leave a comparison.
+to a centre. Cells and queries are packed into tiles of bounded size, which are written down; files of tiles of queries meet
+files of tiles of points where a cell is reached, as pairs of rows that are never shuffled, however many cells a query reaches.
+Where cells hold few queries, those of several cells share a tile. Products of matrices choose the pairs that are measured
+exactly, and only points within the bound leave a comparison.
 
 Equal points are one point with its k + 1 smallest ids, and equal queries are one query, so a value that a third of the rows
 share costs no pairs.
@@ -25,6 +27,8 @@ from lumenframe.plans.storage import materialize
 
 TILE = 2_000  # points or queries in a tile
 STEP = 256  # queries measured at a time
+MEASURED = 1 << 15  # pairs of a query and a point measured exactly at a time
+HELD = 8  # tiles in a file, so that a task holds few of them
 PIVOTS = 4_096  # at most; their rows are held by every task
 SLACK = 1e-9  # of a squared distance, for rounding
 
@@ -58,44 +62,94 @@ def _tiles(rows: DataFrame, fields: list[str], tile: int, prefix: str) -> DataFr
     return held.select("cell", *[(F.flatten(F.col("_rows.x")) if f == "x" else F.col(f"_rows.{f}")).alias(prefix + f) for f in fields])
 
 
-def _best(d: np.ndarray, q_ids: np.ndarray, t_ids: np.ndarray, q: np.ndarray, t: np.ndarray, keep: int) -> list[tuple]:
-    """The ``keep`` nearest of each query by (distance, id); ``d`` only chooses whom to measure exactly."""
-    n = min(keep, d.shape[1])
-    limit = np.partition(d, n - 1, axis=1)[:, n - 1]
-    limit = limit + SLACK * (limit + (q * q).sum(1))
-    i, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-    exact = ((q[i] - t[j]) ** 2).sum(1)
-    order = np.lexsort((t_ids[j], exact, i))
-    i, j, exact = i[order], j[order], exact[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    on = rank < keep
-    return [q_ids[i[on]], t_ids[j[on]], exact[on]]
+class _Nearest:
+    """The nearest points so far of the queries of one tile, with the squared distance beyond which a point is none of them."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, bound: np.ndarray, own: np.ndarray, keep: int):
+        self.ids, self.x, self.keep, self.own = ids, x, keep, own
+        self.bound = bound.astype(float)
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]  # query, point, squared distance
+        self.fresh = 0
+
+    def meet(self, t_ids: np.ndarray, t: np.ndarray, cell: int) -> None:
+        """Measure the points of a tile that may be nearer than the bounds; those of a query's own cell are known already."""
+        given, centre = t, t.mean(axis=0)
+        t = t - centre
+        r = np.sqrt((t * t).sum(axis=1))
+        on = np.flatnonzero(self.own != cell)
+        q = self.x[on] - centre
+        far = np.sqrt((q * q).sum(axis=1))
+        limit = self.bound[on] * (1 + SLACK) + SLACK * (1 + far)
+        near = far - r.max() <= limit
+        on, q, far, limit = on[near], q[near], far[near], limit[near]
+        if not len(on):
+            return
+        # a point nearer than the bound lies in a shell around the centre
+        shell = (r >= (far - limit).min()) & (r <= (far + limit).max())
+        t_ids, given, t, r = t_ids[shell], given[shell], t[shell], r[shell]
+        if not len(t):
+            return
+        span = float((far.max() + r.max()) ** 2)
+        kind = np.float32 if 1e-25 < span < 1e30 else np.float64
+        error = 2 * (t.shape[1] + 16) * float(np.finfo(kind).eps)  # of a distance from a product of matrices, in parts of (far + r) squared
+        slack = (error + SLACK) * (far + r.max()) ** 2
+        left, right = np.column_stack([q, far**2, np.ones(len(q))]).astype(kind), np.column_stack([-2 * t, np.ones(len(t)), r**2]).astype(kind).T
+        for at in range(0, len(on), STEP):
+            here = slice(at, at + STEP)
+            d = left[here] @ right
+            most = limit[here] ** 2
+            if np.isinf(most).any():
+                n = min(self.keep, d.shape[1])
+                most = np.minimum(most, np.maximum(np.partition(d, n - 1, axis=1)[:, n - 1], 0) + slack[here])
+            i, j = np.divmod(np.flatnonzero(d <= (most + slack[here]).astype(kind)[:, None]), d.shape[1])
+            for some in range(0, len(i), MEASURED):
+                a, b = i[some : some + MEASURED], j[some : some + MEASURED]
+                self.add(on[here][a], t_ids[b], ((self.x[on[here][a]] - given[b]) ** 2).sum(axis=1))
+
+    def add(self, i: np.ndarray, tid: np.ndarray, d: np.ndarray) -> None:
+        self.found.append((i, tid, d))
+        self.fresh += len(i)
+        if self.fresh > self.keep * len(self.ids):
+            self.settle()
+
+    def settle(self) -> None:
+        i, tid, d = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((tid, d, i))
+        i, tid, d = i[order], tid[order], d[order]
+        on = (rank := np.arange(len(i)) - np.searchsorted(i, i)) < self.keep
+        last = rank == self.keep - 1
+        self.bound[i[last]] = np.minimum(self.bound[i[last]], np.sqrt(d[last]))
+        self.found, self.fresh = [(i[on], tid[on], d[on])], 0
+
+    def rows(self) -> pd.DataFrame:
+        self.settle()
+        i, tid, d = self.found[0]
+        return pd.DataFrame({"qid": self.ids[i], "tid": tid, "d": d})
 
 
 def _compared(pairs: DataFrame, keep: int) -> DataFrame:
-    """(qid, tid, d): candidates of every pair of a tile of queries (q…) and a tile of points (t…)."""
+    """(qid, tid, d): candidates of every pair of a tile of queries (q…) and a tile of points (t…, cell).
+
+    Pairs of one tile of queries that follow each other share its bounds, which get closer, and leave ``keep`` rows a query.
+    """
 
     def run(frames):
+        held = None
         for f in frames:
-            for q_ids, q, bound, far, t_ids, t, r in zip(*(f[n] for n in ("q_id", "q_x", "q_bound", "q_far", "t_id", "t_x", "t_r")), strict=True):
-                all_q, t = q.reshape(len(q_ids), -1), t.reshape(len(t_ids), -1)
-                limit = bound * (1 + SLACK) + SLACK * (1 + far)
-                for at in range(0, len(all_q), STEP):
-                    here = slice(at, at + STEP)
-                    q, d = all_q[here], squared(all_q[here], t)
-                    # a point nearer than the bound lies in a shell around the pivot
-                    d[np.abs(far[here, None] - r[None, :]) > limit[here, None]] = np.inf
-                    d[d > limit[here, None] ** 2 + SLACK * ((q * q).sum(1)[:, None] + (t * t).sum(1)[None, :])] = np.inf
-                    some = np.isfinite(d).any(axis=1)
-                    if some.any():
-                        found = _best(d[some], q_ids[here][some], t_ids, q[some], t, keep)
-                        yield pd.DataFrame(dict(zip(("qid", "tid", "d"), found, strict=True)))
+            for q_ids, x, bound, own, t_ids, t, cell in zip(*(f[n] for n in ("q_id", "q_x", "q_bound", "q_own", "t_id", "t_x", "cell")), strict=True):
+                if held is None or not np.array_equal(held.ids, q_ids):
+                    if held is not None:
+                        yield held.rows()
+                    held = _Nearest(q_ids, x.reshape(len(q_ids), -1).astype(float), bound, own, keep)
+                held.meet(t_ids, t.reshape(len(t_ids), -1).astype(float), cell)
+        if held is not None:
+            yield held.rows()
 
     return pairs.mapInPandas(run, "qid long, tid long, d double")
 
 
 def _reached(tiles: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, keep: int) -> DataFrame:
-    """For every tile of queries and every other cell that may hold one of the ``keep`` nearest of some: those, as a tile.
+    """Every tile of queries with the other cells that may hold one of the ``keep`` nearest of some of them.
 
     ``q_known``: the distance of the keep-th candidate of the own cell, infinite if that has fewer points.
     """
@@ -103,26 +157,35 @@ def _reached(tiles: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radii: np.
 
     def run(frames):
         for f in frames:
-            for own, ids, x, r, known in zip(f["q_own"], f["q_id"], f["q_x"], f["q_r"], f["q_known"], strict=True):
-                x = x.reshape(len(ids), -1)
-                to = np.sqrt(squared(x, pivots))
-                reach = np.where(sizes > 0, to + radii, np.inf)  # no point of the cell is farther
-                order = np.argsort(reach, axis=1)
-                enough = (np.cumsum(sizes[order], axis=1) >= keep).argmax(axis=1)
-                bound = reach[np.arange(len(x)), order[np.arange(len(x)), enough]]
-                if sizes.sum() < keep:
-                    bound[:] = np.inf
-                bound = np.fmin(bound, known.astype(float))[:, None]
-                slack = SLACK * (1 + to + radii)
-                near = (to - radii <= bound + slack) & (sizes > 0)
-                gap = np.where(apart[own] > 0, (to**2 - r[:, None] ** 2) / np.maximum(2 * apart[own], 1e-300), 0.0)
-                near &= gap <= bound + slack * (1 + to / np.maximum(apart[own], 1e-300))
-                near[np.arange(len(x)), own] = False
-                for cell in np.flatnonzero(near.any(axis=0)).tolist():
-                    on = near[:, cell]
-                    yield pd.DataFrame({"cell": [cell], "q_id": [ids[on]], "q_x": [x[on].ravel()], "q_bound": [bound[on, 0]], "q_far": [to[on, cell]]})
-
-    return tiles.mapInPandas(run, "cell int, q_id array<long>, q_x array<double>, q_bound array<double>, q_far array<double>")
+            for own, ids, all_x, all_r, all_known in zip(f["q_own"], f["q_id"], f["q_x"], f["q_r"], f["q_known"], strict=True):
+                all_x, reached, bounds = all_x.reshape(len(ids), -1), np.zeros(len(pivots), bool), np.empty(len(ids))
+                for at in range(0, len(ids), STEP):
+                    here = slice(at, at + STEP)
+                    x, r, home = all_x[here], all_r[here], own[here]
+                    to = np.sqrt(squared(x, pivots))
+                    reach = np.where(sizes > 0, to + radii, np.inf)  # no point of the cell is farther
+                    order = np.argsort(reach, axis=1)
+                    enough = (np.cumsum(sizes[order], axis=1) >= keep).argmax(axis=1)
+                    bound = reach[np.arange(len(x)), order[np.arange(len(x)), enough]]
+                    if sizes.sum() < keep:
+                        bound[:] = np.inf
+                    bounds[here] = bound = np.fmin(bound, all_known[here].astype(float))
+                    bound = bound[:, None]
+                    slack = SLACK * (1 + to + radii)
+                    near = (to - radii <= bound + slack) & (sizes > 0)
+                    gap = np.where(apart[home] > 0, (to**2 - r[:, None] ** 2) / np.maximum(2 * apart[home], 1e-300), 0.0)
+                    near &= gap <= bound + slack * (1 + to / np.maximum(apart[home], 1e-300))
+                    near[np.arange(len(x)), home] = False
+                    reached |= near.any(axis=0)
+                if reached.any():
+                    yield pd.DataFrame({"q_id": [ids], "q_x": [all_x.ravel()], "q_bound": [bounds], "q_own": [own], "near": [np.flatnonzero(reached).astype(np.int32)]})
+
+    return tiles.mapInPandas(run, "q_id array<long>, q_x array<double>, q_bound array<double>, q_own array<int>, near array<int>")
+
+
+def _filed(tiles: DataFrame, rows: int, cells: int) -> DataFrame:
+    """Tiles of so many rows in so many cells, written down in files of some ``HELD`` tiles."""
+    return materialize(tiles.repartition(max(1, -(-(rows // TILE + cells) // HELD))))
 
 
 def _first(rows: DataFrame, by: str, keep: int) -> DataFrame:
@@ -136,8 +199,8 @@ def nearest(train: DataFrame, queries: DataFrame, keep: int, tile: int = TILE, p
     ``train``: distinct points (id, x); ``queries``: distinct points (id, x).
     """
     n = train.count()
-    many = pivots or min(PIVOTS, max(1, math.isqrt(n) // 4))
-    chosen = train.orderBy(F.xxhash64("id"), "id").limit(many).select("x").collect()  # at most PIVOTS rows
+    centred = pivots or min(PIVOTS, max(1, math.isqrt(n) // 4))
+    chosen = train.orderBy(F.xxhash64("id"), "id").limit(centred).select("x").collect()  # at most PIVOTS rows
     if not chosen:
         return train.sparkSession.createDataFrame([], "qid long, tid long, d double")
     centres = np.array([r.x for r in chosen], float)
@@ -146,18 +209,22 @@ def nearest(train: DataFrame, queries: DataFrame, keep: int, tile: int = TILE, p
     sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
     for f in facts:
         sizes[f.cell], radii[f.cell] = f.n, f.r
-    packed = materialize(_tiles(cells, ["id", "x", "r"], tile, "t_"))
+    packed = materialize(_tiles(cells, ["id", "x"], tile, "t_"))
     asked = materialize(_placed(queries, centres))
 
-    tiles = _tiles(asked.withColumns({"bound": F.lit(math.inf), "far": F.col("r")}), ["id", "x", "bound", "far"], tile, "q_")
+    tiles = _tiles(asked.withColumns({"bound": F.lit(math.inf), "own": F.lit(-1)}), ["id", "x", "bound", "own"], tile, "q_")
     own = materialize(_first(_compared(tiles.join(packed, "cell"), keep), "qid", keep))
     known = own.groupBy(F.col("qid").alias("id")).agg(F.when(F.count(F.lit(1)) >= keep, F.sqrt(F.max("d"))).alias("known"))
-    # the queries of so many cells fill a tile
-    wide = max(1, tile * len(centres) // max(1, asked.count()))
+    # queries of so many cells share a tile as make it as large as a cell's points
+    many = asked.count()
+    wide = max(1, n // max(1, many))
     bounded = match(asked, known, ["id"], "left").select("id", "x", "r", F.coalesce("known", F.lit(math.inf)).alias("known"), F.col("cell").alias("own"), F.floor(F.col("cell") / wide).alias("cell"))
-    tiles = _tiles(bounded, ["id", "x", "r", "known", "own"], tile, "q_")
-    others = _reached(tiles, centres, sizes, radii, keep)
-    return _first(own.unionByName(_compared(others.join(packed, "cell"), keep)), "qid", keep)
+    # every tile of queries goes past the files of points: neither is copied for the cells it reaches
+    tiles = _tiles(bounded, ["id", "x", "r", "known", "own"], max(tile, TILE), "q_")
+    others = _filed(_reached(tiles, centres, sizes, radii, keep), many, -(-len(centres) // wide))
+    points = _filed(packed if tile >= TILE else _tiles(cells, ["id", "x"], TILE, "t_"), n, len(centres))
+    met = others.hint("shuffle_replicate_nl").join(points, F.array_contains("near", F.col("cell"))).drop("near")
+    return _first(own.unionByName(_compared(met, keep)), "qid", keep)
 
 
 def _vector(features) -> Column:

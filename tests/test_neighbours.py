@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenframe.catalog import ORACLES, QUERIES
 from lumenframe.operators import neighbours as nb
 from lumenframe.operators.ml import knn
 
@@ -93,3 +94,31 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, x array<double>, c double")
     some = frame(spark, make(10, 2, 0))
     assert knn(none, some, "x", "c", "id").collect() == [] and knn(some, none, "x", "c", "id").collect() == []
+
+
+@pytest.mark.parametrize(("name", "problem"), [("ml11_knn", "classification")])
+def test_every_row_asks(spark, tmp_path, name, problem):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in x], int(c)) for i, x, c in zip(range(95, 315), rng.normal(0, 1, (220, 4)).round(3), rng.integers(0, 4, 220), strict=True)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r.prediction for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    exact = [(i, [float(np.float32(v)) for v in x], c) for i, x, c in rows]
+    assert got == pytest.approx(predictions(exact, [(i, x) for i, x, _ in exact], 5, problem, True))
+    assert "%" not in ORACLES[name]
+
+
+@pytest.mark.parametrize("scale", [1e-20, 1.0, 1e6, 1e20])
+def test_close_points_far_from_zero_and_ties(spark, scale):
+    rng = np.random.default_rng(9)
+    points = [[float(v) * scale for v in x] for x in [*(rng.normal(0, 1, (150, 3)) * 1e-3 + 7), *np.eye(3), *np.eye(3) * 2, *rng.integers(0, 3, (60, 3))]]
+    points = [list(x) for x in dict.fromkeys(map(tuple, points))]
+    rows = [(i, x, 0.0) for i, x in zip(rng.permutation(len(points)).tolist(), points, strict=True)]
+    df = frame(spark, rows).select("id", "x")
+    got = nb.nearest(df, df, 4, tile=20, pivots=9).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("d", "tid"))).alias("near")).collect()
+    assert {r.qid: [n.tid for n in r.near] for r in got} == plain(rows, [(i, x) for i, x, _ in rows], 4)
+
+
+def test_points_of_other_cells_are_not_shuffled_with_their_queries(spark):
+    df = frame(spark, make(300, 3, 5)).select("id", "x")
+    plan = nb.nearest(df, df, 4, pivots=12)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct array_contains" in plan
