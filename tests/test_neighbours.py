@@ -96,7 +96,7 @@ def test_empty_tables(spark):
     assert knn(none, some, "x", "c", "id").collect() == [] and knn(some, none, "x", "c", "id").collect() == []
 
 
-@pytest.mark.parametrize(("name", "problem"), [("ml11_knn", "classification")])
+@pytest.mark.parametrize(("name", "problem"), [("ml11_knn", "classification"), ("ml11_knn_regression", "regression")])
 def test_every_row_asks(spark, tmp_path, name, problem):
     rng = np.random.default_rng(8)
     rows = [(i, [float(v) for v in x], int(c)) for i, x, c in zip(range(95, 315), rng.normal(0, 1, (220, 4)).round(3), rng.integers(0, 4, 220), strict=True)]
