@@ -112,3 +112,14 @@ def test_query_on_a_whole_table(spark):
     assert result(QUERIES["op12_histogram_shards"](spark, folder)) == expected(rows)
     texts = dict(rows)
     assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.law == "bytes" and r.grown_shard is None for r in got)
+
+
+def test_texts_go_to_their_shards(spark, monkeypatch):
+    placed = []
+    monkeypatch.setattr(sharding, "shard_by_bytes", lambda *a, real=sharding.shard_by_bytes, **b: placed.append(real(*a, **b)) or placed[-1])
+    rows = odd_rows()
+    got = sharding.shard_query(frame(spark, rows))
+    assert result(got) == expected(rows)
+    at = {(r.doc_id, r.shard, r.slot): r.text for r in placed[0].collect()}  # what lies in the shards
+    assert {(r.doc_id, r.shard, r.slot): r.text_crc32 for r in got.collect()} == {k: zlib.crc32((t or "").encode()) for k, t in at.items()}
+    assert sorted(t or "" for t in at.values()) == sorted(t or "" for _, t in rows)
