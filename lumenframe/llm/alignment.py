@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.plans.storage import materialize
+from lumenframe.plans.storage import give_back, materialize
 
 BLOCK = 1 << 19  # bytes of text aligned at a time
 CHUNK = 4 << 20  # bytes of text that share one list of pairs
+FILED = 8  # chunks in a file: Spark's reader holds the rows of a file at once
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 _CHUNKS = pa.schema(
     [
@@ -220,16 +221,23 @@ def align_block(texts: list[str | None], a: Vocabulary, b: Vocabulary):
     return figures, digests, _links(ids_a, ids_b, ka, kb, np.repeat(kept, groups), len(a.pieces), len(b.pieces))
 
 
-def _chunk_row(chunk: int, docs: list, blocks: list) -> pa.RecordBatch:
-    """One row for the texts of some blocks."""
-    figures = np.concatenate([f for f, _, _ in blocks])
-    before = np.cumsum([0, *(len(d) for _, d, _ in blocks)])
-    doc, pair, times = (np.concatenate(x) for x in zip(*[(t + n, p, k) for (_, _, (t, p, k)), n in zip(blocks, before, strict=False)], strict=True))
+def _summed(doc: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, pair, occurrences) with every pair of a text once, by text and pair. A text lies in one block, so this holds for its chunk."""
     pairs, at = np.unique(pair, return_inverse=True)
-    key, place = np.unique(doc * len(pairs) + at, return_inverse=True)  # a pair of a text once
+    key, place = np.unique(doc * len(pairs) + at, return_inverse=True)
     sums = np.zeros(len(key), np.int64)
     np.add.at(sums, place, times)
-    owner, at = key // max(1, len(pairs)), key % max(1, len(pairs))
+    many = max(1, len(pairs))
+    return key // many, pairs[key % many], sums
+
+
+def _chunk_row(chunk: int, docs: list, blocks: list) -> pa.RecordBatch:
+    """One row for the texts of some blocks, whose links are summed."""
+    figures = np.concatenate([f for f, _, _ in blocks])
+    before = np.cumsum([0, *(len(d) for _, d, _ in blocks)])
+    owner = np.concatenate([t + n for (_, _, (t, _, _)), n in zip(blocks, before, strict=False)])
+    pairs, at = np.unique(np.concatenate([p for _, _, (_, p, _) in blocks]), return_inverse=True)
+    sums = np.concatenate([k for _, _, (_, _, k) in blocks])
     held = np.bincount(at, minlength=len(pairs))
     row = [
         docs, *figures.T, [d for _, ds, _ in blocks for d in ds], np.searchsorted(owner, np.arange(len(docs) + 1)), at.astype(np.int32), sums, pairs, held.astype(np.int64),
@@ -250,7 +258,8 @@ def _chunks(batches, a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
         while low < len(ids):
             high = low + 1 + int(np.searchsorted(np.cumsum(sizes[low + 1 :]) + sizes[low], BLOCK, "right"))
             docs += ids[low:high]
-            blocks.append(align_block(column[low:high].to_pylist(), a, b))
+            figures, digests, links = align_block(column[low:high].to_pylist(), a, b)
+            blocks.append((figures, digests, _summed(*links)))
             weight += int(sizes[low:high].sum())
             low = high
             if weight >= CHUNK:
@@ -258,20 +267,21 @@ def _chunks(batches, a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
                 chunk, docs, blocks, weight = chunk + 1, [], [], 0
     if docs:
         yield _chunk_row(chunk, docs, blocks)
+    give_back()
 
 
-def _totals(batches) -> Iterator[pa.RecordBatch]:
-    """A row per text from its chunk's row and the corpus counts of the chunk's pairs."""
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    for batch in batches:
-        for r in range(batch.num_rows):
-            row = {n: batch.column(n)[r] for n in batch.schema.names}
-            flat = {n: v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.empty(0, np.int64) for n, v in row.items() if n in ("first", "at", "times", "count", "best")}
-            at, times, first = flat["at"], flat["times"], flat["first"]
-            sums = [np.concatenate([[0], np.cumsum(flat[k].astype(np.int64)[at] * times if len(at) else [])]).astype(np.int64) for k in ("best", "count")]
-            best, counted = (s[first[1:]] - s[first[:-1]] for s in sums)
-            cols = [*(row[n].values for n in names[:5]), pa.array(best), pa.array(counted), row["groups_sha256"].values]
-            yield pa.RecordBatch.from_arrays(cols, names)
+def _totals(own: pa.Table, known: pa.Table) -> pa.Table:
+    """A row per text from its chunk's row and the corpus counts of the chunk's pairs, which lie at their ``place``."""
+    row = {n: own.column(n)[0] for n in own.schema.names}
+    at, times, first = (row[n].values.to_numpy(zero_copy_only=False) for n in ("at", "times", "first"))
+    place, sums = known.column("place").to_numpy(), []
+    for name in ("best", "count"):
+        of = np.zeros(known.num_rows, np.int64)
+        of[place] = known.column(name).to_numpy()
+        total = np.concatenate([[0], np.cumsum(of[at] * times)]).astype(np.int64)
+        sums.append(pa.array(total[first[1:]] - total[first[:-1]]))
+    columns = [*(row[n].values for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *sums, row["groups_sha256"].values]
+    return pa.Table.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -285,14 +295,14 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """
     wide = len(sentence_pieces(b_path).pieces)
     chunks = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _chunks(batches, a_path, b_path), _SCHEMA)
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _chunks(batches, a_path, b_path), _SCHEMA),
+        FILED,
     )
     held = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "texts")).alias("place", "p")).select("chunk", "place", F.col("p.pairs").alias("pair"), F.col("p.texts").alias("texts"))
     counts = held.groupBy("pair").agg(F.sum("texts").alias("count")).withColumn("id_a", F.expr(f"pair div {wide}"))
     counts = materialize(counts)
     top = counts.groupBy("id_a").agg(F.max("count").alias("top"))  # a row per id of A at most
     marked = counts.join(top, "id_a").select("pair", "count", (F.col("count") == F.col("top")).cast("long").alias("best"))
-    known = held.join(marked, "pair").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "count", "best"))).alias("k"))
-    known = known.select(F.col("chunk").alias("_chunk"), F.col("k.count").alias("count"), F.col("k.best").alias("best"))
-    own = chunks.drop("pairs", "texts")
-    return own.join(known, own["chunk"] == known["_chunk"], "left").drop("_chunk").mapInArrow(_totals, _RESULT)
+    known = held.join(marked, "pair").select(F.col("chunk").alias("_chunk"), "place", "count", "best")
+    # a chunk's counts meet its row in Python, one chunk at a time
+    return chunks.drop("pairs", "texts").groupBy("chunk").cogroup(known.groupBy("_chunk")).applyInArrow(_totals, _RESULT)

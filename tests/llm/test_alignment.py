@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.llm import alignment
 from lumenframe.llm.queries import QUERIES
@@ -124,3 +125,18 @@ def test_query_on_a_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert rows_of(QUERIES["op13_tokenizer_alignment"](spark, folder)) == plain(rows)
+
+
+def test_links_are_summed_block_by_block_and_files_hold_few_chunks(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(alignment, "materialize", lambda df, *a, real=alignment.materialize: made.append(real(df, *a)) or made[-1])
+    monkeypatch.setattr(alignment, "CHUNK", 100)
+    monkeypatch.setattr(alignment, "BLOCK", 100)
+    docs = spark.createDataFrame([(i, f"the text number {i} and the text number {i} again " * 5) for i in range(60)], "doc_id long, text string").coalesce(1)
+    got = alignment.align_documents(docs, A, B)
+    assert got.count() == 60
+    sizes = [r["count"] for r in made[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) > 3 * alignment.FILED and max(sizes) <= alignment.FILED  # a reader holds the rows of a file at once
+    doc, pair, times = alignment._summed(np.array([1, 0, 1, 1]), np.array([7, 9, 7, 8]), np.array([1, 2, 3, 4]))
+    assert list(zip(doc.tolist(), pair.tolist(), times.tolist(), strict=True)) == [(0, 9, 2), (1, 7, 4), (1, 8, 4)]
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
