@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from lumenframe.catalog import QUERIES
 from lumenframe.operators import text as tx
 
 TEXTS = ["red red blue", "blue green", "green red", "red yellow", None, "", "blue blue green red"]
@@ -31,3 +32,9 @@ def test_lda_tasks_do_not_grow_with_the_pieces(spark, monkeypatch):
     assert words.dtypes == [("topic", "int"), ("rank", "int"), ("term", "string"), ("weight", "double")]
     assert sorted((r.topic, r["rank"]) for r in got) == [(t, r) for t in range(2) for r in (1, 2, 3)]
     assert all({r.term for r in got if r.topic == t} == {"red", "blue", "green"} for t in range(2)) and shares.count() == 2 * len(TEXTS)
+
+
+def test_every_text_has_a_dominant_topic(spark, tmp_path):
+    frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.topic for r in QUERIES["tx12_dominant_topic"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(len(TEXTS))) and set(got.values()) <= set(range(4))
