@@ -107,3 +107,25 @@ def test_cells_are_not_shuffled_to_meet_few_factors(spark, monkeypatch):
     for a, b, key in ((few[0], many[0], "r"), (few[1], many[1], "c")):
         a, b = ({r[key]: (r.f0, r.f1) for r in x.collect()} for x in (a, b))
         assert a.keys() == b.keys() and all(abs(x - y) < 1e-9 for k in a for x, y in zip(a[k], b[k], strict=True))
+
+
+def test_more_factors_are_broadcast_block_by_block_and_old_ones_deleted(spark, monkeypatch):
+    plans, made, gone = [], [], []
+    monkeypatch.setattr(factors, "materialize", lambda df, real=factors.materialize: plans.append(df._jdf.queryExecution().executedPlan().toString()) or made.append(real(df)) or made[-1])
+    monkeypatch.setattr(factors, "discard", lambda df, real=factors.discard: gone.append(df.inputFiles()) or real(df))
+    cells = spark.range(600).selectExpr("id % 40 AS r", "concat('c', id % 31) AS c", "1.0D + id % 7 AS v").dropDuplicates(["r", "c"])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    few = factors.nmf(cells, "r", "c", "v", 2, 3, tolerance=0)
+    assert len(gone) == 5  # h before the first iteration, then w and h of the first and the second
+    del made[:], plans[:], gone[:]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(factors, "FEW", 15)  # three blocks of 31 and of 40
+    try:
+        many = factors.nmf(cells, "r", "c", "v", 2, 3, tolerance=0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum("BroadcastHashJoin" in p for p in plans) >= 3 * 6 and not any("SortMergeJoin" in p for p in plans)
+    assert len(gone) == 5 + 3 * 6 and len(made) - len(gone) == 3  # the cells and the last factors stay
+    for a, b, key in ((few[0], many[0], "r"), (few[1], many[1], "c")):
+        a, b = ({r[key]: (r.f0, r.f1) for r in x.collect()} for x in (a, b))
+        assert a.keys() == b.keys() and all(abs(x - y) < 1e-9 for k in a for x, y in zip(a[k], b[k], strict=True))
